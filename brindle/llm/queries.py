@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import hnsw, lattice, mixing, packing
 from .common import table
 
 
@@ -22,5 +22,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1, payload="crc32").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_best_fit_packing": op1_best_fit_packing}
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"), share=1.5, most=2.0, weights=(3, 1, 2))
+    return plan.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op5_embedding_near_dedup, op6_source_mixing, op8_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
