@@ -33,6 +33,8 @@ BLOCK_BYTES = 4 << 20
 #: Documents and bytes of sets that one task of a cluster holds from each of its two parts.
 PART_DOCS = 4096
 PART_BYTES = 16 << 20
+#: Up to so many ids (8 bytes each) are broadcast to drop their rows; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _LOW58 = np.uint64((1 << 58) - 1)
 
 
@@ -267,3 +269,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> Data
     component = F.coalesce("component", "id")
     no = lambda c: F.when(c != MAX_ID, c)
     return out.select(no(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), no(component).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """The rows of `docs` but those whose component holds a smaller doc_id (see jaccard_components)."""
+    gone = checkpointed(jaccard_components(docs, width, share).where(F.col("component_id") < F.coalesce("doc_id", F.lit(MAX_ID))).select(F.col("doc_id").alias("gone")).distinct())
+    some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(some, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")

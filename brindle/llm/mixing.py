@@ -31,6 +31,8 @@ STRATA = 1024
 BROADCAST_SOURCES = 10_000
 #: Blocks after the first that doesn't fit, in which documents that still fit are sought.
 MORE_BLOCKS = 3
+#: Up to so many drawn rows (about 30 bytes each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
@@ -172,9 +174,14 @@ def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 42) -> DataFrame:
     """The mixed corpus: the rows of `docs`, each as often as it is taken, with mix_shard
-    and mix_order (random inside a shard) beside their own columns. See mix_plan."""
-    plan = mix_plan(docs, share, most, weights, seed)
-    drawn = plan.select(F.col("tie").alias("mix_row"), F.posexplode("shards").alias("copy", "mix_shard"))
+    and mix_order (random inside a shard) beside their own columns. See mix_plan.
+
+    `docs` is read twice and must give the same rows in the same partitions, as a table or
+    a checkpoint does."""
+    plan = checkpointed(mix_plan(docs, share, most, weights, seed).where(F.size("shards") > 0).select(F.col("tie").alias("mix_row"), "shards"))
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    drawn = docs.withColumn("mix_row", F.monotonically_increasing_id()).join(plan, "mix_row")
+    drawn = drawn.select("*", F.posexplode("shards").alias("copy", "mix_shard")).drop("shards")
     drawn = drawn.withColumn("mix_order", F.xxhash64(F.lit(seed + 4), "mix_row", "copy")).drop("copy")
-    out = docs.withColumn("mix_row", F.monotonically_increasing_id()).join(drawn, "mix_row").drop("mix_row")
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+    return drawn.drop("mix_row").repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, hnsw, jaccard, lattice, mixing, packing, suffixarray
+from . import automaton, chat, hnsw, jaccard, lattice, licenses, mixing, packing, quality, suffixarray
 from .common import table
 
 
@@ -22,11 +22,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1, payload="crc32").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = automaton.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "quality_score", "weak_label", "keep")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -45,10 +53,14 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search(hnsw.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixarray.dedup_bytes(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_substring_dedup, op5_embedding_near_dedup, op6_source_mixing, op7_ngram_jaccard_join, op8_nearest_neighbours, op10_suffix_array_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_substring_dedup, op4_quality_classifier, op5_embedding_near_dedup, op6_source_mixing, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_chat_formatting, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
