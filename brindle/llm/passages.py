@@ -4,7 +4,7 @@ The two removal operators share this frame. A window is so many consecutive symb
 or bytes) of one document; windows are judged on the input.
 
 1. Blocks of documents send, for each window, the least hash of its k-grams (its anchor) to
-   buckets of anchors, each once per block with the smallest id that holds it.
+   buckets of anchors, each once per block.
 2. Buckets answer each block with its anchors that two documents hold.
 3. Blocks cut the runs of windows under such an anchor and send these slices, each distinct
    content once, to the anchor's shard. Equal windows have equal anchors, so they meet there.
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,11 +107,14 @@ def _groups(keys: np.ndarray):
     return order, edge
 
 
-_SENT = "bucket long, block long, hashes binary, ids binary, several binary"
+_SENT = "bucket long, block long, hashes binary, several binary"
+#: Bytes of an anchor that are sent. Anchors of a bucket that agree in them count as one, which costs a comparison, no result.
+SENT_BYTES = 6
+_SENT_MASK = np.uint64((1 << 8 * SENT_BYTES) - 1)
 
 
 def _send_anchors(method: Method, buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary()), ("several", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
 
     def run(t: pa.Table) -> pa.Table:
         b = Block(t["id"].combine_chunks(), t["bytes"].combine_chunks(), method.words)
@@ -122,32 +126,39 @@ def _send_anchors(method: Method, buckets: int):
         new[1:] = h[1:] != h[:-1]
         low = np.flatnonzero(new)
         last = np.append(low[1:], len(h)) - 1 if len(h) else low
-        h, least, several = h[low], ids[low], (ids[low] != ids[last]).astype(np.uint8)
+        h, several = h[low], (ids[low] != ids[last]).astype(np.uint8)
         order, edge = _groups(_bucket(h, buckets))
-        block, rows = t["block"][0].as_py(), ([], [], [], [], [])
+        block, rows = t["block"][0].as_py(), ([], [], [], [])
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             i = order[s:e]
-            for column, x in zip(rows, (int(_bucket(h[i[:1]], buckets)[0]), block, planes(h[i]), planes(least[i]), several[i].tobytes()), strict=True):
+            for column, x in zip(rows, (int(_bucket(h[i[:1]], buckets)[0]), block, _short(h[i]), several[i].tobytes()), strict=True):
                 column.append(x)
         return pa.table([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _short(h: np.ndarray) -> bytes:
+    return planes(h)[: SENT_BYTES * len(h)]
+
+
+def _long(data: bytes) -> np.ndarray:
+    return from_planes(data + bytes(len(data) // SENT_BYTES * (8 - SENT_BYTES)), np.uint64)
+
+
 def _shared_anchors(t: pa.Table) -> pa.Table:
-    """Of each block's anchors those that two documents hold."""
-    parts = [from_planes(x, np.uint64) for x in t["hashes"].to_pylist()]
+    """Of each block's anchors those that two documents hold: documents of one block, or blocks, as an id has one block."""
+    parts = [_long(x) for x in t["hashes"].to_pylist()]
     h = np.concatenate(parts)
-    ids = np.concatenate([from_planes(x, np.int64) for x in t["ids"].to_pylist()])
     several = np.concatenate([np.frombuffer(x, np.uint8) for x in t["several"].to_pylist()])
     order, edge = _groups(h)
     low = edge[:-1]
-    ids = ids[order]
-    shared = (np.minimum.reduceat(ids, low) != np.maximum.reduceat(ids, low)) | (np.maximum.reduceat(several[order], low) > 0)
+    turn = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order]
+    shared = (np.minimum.reduceat(turn, low) != np.maximum.reduceat(turn, low)) | (np.maximum.reduceat(several[order], low) > 0)
     flag = np.zeros(len(h), bool)
     flag[order] = np.repeat(shared, np.diff(edge))
     bounds = np.cumsum([0] + [len(p) for p in parts])
-    out = [(b, planes(h[s:e][flag[s:e]])) for b, s, e in zip(t["block"].to_pylist(), bounds[:-1], bounds[1:], strict=True) if flag[s:e].any()]
+    out = [(b, _short(h[s:e][flag[s:e]])) for b, s, e in zip(t["block"].to_pylist(), bounds[:-1], bounds[1:], strict=True) if flag[s:e].any()]
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["to", "shared"])
 
 
@@ -160,10 +171,11 @@ def _send_slices(method: Method, buckets: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         rows: tuple[list, ...] = tuple([] for _ in schema)
         if t.num_rows and answers.num_rows:
-            shared = np.sort(np.concatenate([from_planes(x, np.uint64) for x in answers["shared"].to_pylist()]))
+            shared = np.sort(np.concatenate([_long(x) for x in answers["shared"].to_pylist()]))
             b = Block(t["id"].combine_chunks(), t["bytes"].combine_chunks(), method.words)
             h, at, size = b.windows(method.window, method.gram)
-            hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
+            known = h & _SENT_MASK
+            hit = shared[np.minimum(np.searchsorted(shared, known), len(shared) - 1)] == known
             h, at, size = h[hit], at[hit], size[hit]
             doc = b.doc_of(at)
             order, edge = _groups(_bucket(h, buckets))
@@ -175,7 +187,7 @@ def _send_slices(method: Method, buckets: int):
                 which = np.array(which, np.int32)
                 first = np.unique(which, return_index=True)[1]
                 lengths = np.array([len(c) for c in known], np.int32)
-                row = (int(_bucket(h[i[:1]], buckets)[0]), t["block"][0].as_py(), b"".join(known), planes(lengths), planes(h[i[first]]), planes(which), planes(doc[i].astype(np.int32)), planes(b.ids[doc[i]]), planes((at[i] - b.first[doc[i]]).astype(np.int64)))
+                row = (int(_bucket(h[i[:1]], buckets)[0]), t["block"][0].as_py(), zstandard.compress(b"".join(known), 3), planes(lengths), planes(h[i[first]]), planes(which), planes(doc[i].astype(np.int32)), planes(b.ids[doc[i]]), planes((at[i] - b.first[doc[i]]).astype(np.int64)))
                 for column, x in zip(rows, row, strict=True):
                     column.append(x)
         return pa.table([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
@@ -204,7 +216,7 @@ def _covered_spans(method: Method):
         contents: dict[bytes, int] = {}
         owner, which, docs, ids, starts, rows = [], [], [], [], [], []
         for r in range(t.num_rows):
-            data, at = t["contents"][r].as_py(), 0
+            data, at = zstandard.decompress(t["contents"][r].as_py()), 0
             lengths, hashes = from_planes(t["lengths"][r].as_py(), np.int32).tolist(), from_planes(t["hashes"][r].as_py(), np.uint64)
             own = np.empty(len(lengths), np.int64)
             for i, n in enumerate(lengths):
