@@ -107,10 +107,11 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFr
     with a smaller doc_id too.
 
     Returns the rows of `docs` with text replaced by the kept words, joined by one space,
-    and n_words, n_removed and spans (word positions) added. See remove_passages for nulls
+    and n_words, n_removed and spans (word positions) added, or put in place of columns so
+    named. See remove_passages for nulls
     and repeated rows.
     """
     found = remove_passages(docs, Method(window, gram, True, _resolve))
     kept = F.col("kept").cast("string")
-    columns = [kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    columns = [kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
     return found.select(*columns, F.col("n_symbols").alias("n_words"), "n_removed", "spans")

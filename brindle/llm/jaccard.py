@@ -273,6 +273,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> Data
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """The rows of `docs` but those whose component holds a smaller doc_id (see jaccard_components)."""
-    gone = checkpointed(jaccard_components(docs, width, share).where(F.col("component_id") < F.coalesce("doc_id", F.lit(MAX_ID))).select(F.col("doc_id").alias("gone")).distinct())
+    gone = checkpointed(jaccard_components(docs, width, share).where(F.col("component_id") < F.coalesce("doc_id", F.lit(MAX_ID))).select(F.col("doc_id").alias("_gone")).distinct())
     some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(some, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(some, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -143,9 +143,9 @@ def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
     upto = F.sum("block_size").over(order)
     blocks = blocks.withColumn("upto", upto).withColumn("place", F.row_number().over(order))
     first_over = F.min(F.when(F.col("upto") > F.col("rest"), F.col("place"))).over(Window.partitionBy("rank"))
-    blocks = blocks.withColumn("first_over", first_over).withColumn("whole", F.col("upto") <= F.col("rest"))
+    blocks = blocks.withColumn("first_over", first_over).withColumn("whole", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
     before = F.max(F.when(F.col("whole"), F.col("upto"))).over(Window.partitionBy("rank"))
-    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0))).withColumn("edge", ~F.col("whole") & (F.col("place") <= F.col("first_over") + MORE_BLOCKS))
+    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0))).withColumn("edge", ~F.col("whole") & (F.col("rest") > 0) & (F.col("place") <= F.col("first_over") + MORE_BLOCKS))
     blocks = checkpointed(blocks.withColumn("units", F.col("passes") + (F.col("whole") | F.col("edge")).cast("int")))
 
     # the tree: strata of sources on the driver, sources inside their stratum in tasks
@@ -174,14 +174,15 @@ def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 42) -> DataFrame:
     """The mixed corpus: the rows of `docs`, each as often as it is taken, with mix_shard
-    and mix_order (random inside a shard) beside their own columns. See mix_plan.
+    and mix_order (random inside a shard) beside their own columns, of which any so named
+    are replaced. See mix_plan.
 
     `docs` is read twice and must give the same rows in the same partitions, as a table or
     a checkpoint does."""
-    plan = checkpointed(mix_plan(docs, share, most, weights, seed).where(F.size("shards") > 0).select(F.col("tie").alias("mix_row"), "shards"))
+    plan = checkpointed(mix_plan(docs, share, most, weights, seed).where(F.size("shards") > 0).select(F.col("tie").alias("_mix_row"), F.col("shards").alias("_mix_shards")))
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    drawn = docs.withColumn("mix_row", F.monotonically_increasing_id()).join(plan, "mix_row")
-    drawn = drawn.select("*", F.posexplode("shards").alias("copy", "mix_shard")).drop("shards")
-    drawn = drawn.withColumn("mix_order", F.xxhash64(F.lit(seed + 4), "mix_row", "copy")).drop("copy")
-    return drawn.drop("mix_row").repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+    drawn = docs.drop("mix_shard", "mix_order").withColumn("_mix_row", F.monotonically_increasing_id()).join(plan, "_mix_row")
+    drawn = drawn.select("*", F.posexplode("_mix_shards").alias("_mix_copy", "mix_shard")).drop("_mix_shards")
+    drawn = drawn.withColumn("mix_order", F.xxhash64(F.lit(seed + 4), "_mix_row", "_mix_copy")).drop("_mix_copy")
+    return drawn.drop("_mix_row").repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")

@@ -196,5 +196,5 @@ def dedup_bytes(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
     is left need not be valid UTF-8. See remove_passages for nulls and repeated rows.
     """
     found = remove_passages(docs, Method(window, gram, False, _resolve))
-    columns = [F.col("row")[c].alias(c) for c in docs.columns if c != "text"]
+    columns = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "spans")]
     return found.select(*columns, "kept", F.col("n_symbols").alias("n_bytes"), "n_removed", "spans")
