@@ -100,7 +100,7 @@ def json_amounts(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", vx.json_amount(F.col("props"), "k").alias("amount"))
 
 
-@query("""SELECT count(*) AS events, CAST(count(*) FILTER (event_type='error') AS BIGINT) AS failed, CAST(count(*) FILTER (value>50) AS BIGINT) AS large, CAST(count(*) FILTER (event_type IN ('purchase','signup') AND value<10) AS BIGINT) AS small_gains, CAST(epoch(min(ts)) AS BIGINT) AS first_at, CAST(epoch(max(ts))-epoch(min(ts)) AS BIGINT) AS span_s FROM events""")
+@query("""SELECT count(*) AS events, CAST(count(*) FILTER (event_type='error') AS BIGINT) AS failed, CAST(count(*) FILTER (value>50) AS BIGINT) AS large, CAST(count(*) FILTER (event_type IN ('purchase','signup') AND value<10) AS BIGINT) AS small_gains, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_at, CAST(floor(epoch(max(ts)))-floor(epoch(min(ts))) AS BIGINT) AS span_s FROM events""")
 def monitor_diagnostics(spark, sf_dir):
     """All counters of the monitor in one pass."""
     return t(spark, sf_dir, "events").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("value") > 50).alias("large"), F.count_if(F.col("event_type").isin("purchase", "signup") & (F.col("value") < 10)).alias("small_gains"), F.min(seconds("ts")).alias("first_at"), (F.max(seconds("ts")) - F.min(seconds("ts"))).alias("span_s"))
