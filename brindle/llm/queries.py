@@ -63,4 +63,25 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_substring_dedup, op4_quality_classifier, op5_embedding_near_dedup, op6_source_mixing, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_chat_formatting, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text,'')")} w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') g FROM (SELECT *, unnest(range(1, len(w)-11)) i FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) m FROM p GROUP BY g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i+13)) pos FROM p JOIN m USING (g) WHERE m < doc_id),
+k AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w)+1)) pos FROM d)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(c.pos) AS n_removed, sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.pos) FILTER (c.pos IS NULL AND k.pos IS NOT NULL), '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = k.doc_id AND c.pos = k.pos GROUP BY d.doc_id""",
+    "op5_embedding_near_dedup": """WITH RECURSIVE l AS (SELECT a.vec_id a, b.vec_id b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.98),
+r AS (SELECT vec_id a, vec_id b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, min(r.b) = e.vec_id AS kept FROM embeddings e JOIN r ON r.a = e.vec_id GROUP BY e.vec_id""",
+    "op7_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') g FROM (SELECT *, unnest(range(1, greatest(len(w)-2, 2))) i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.c >= 85 * (x.n + y.n - o.c)),
+r AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+}
