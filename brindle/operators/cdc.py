@@ -107,3 +107,21 @@ def breaker_states(outcomes: Column, threshold: int = 5, cooldown: int = 300) ->
         return F.struct(failures.alias("failures"), opened.alias("opened"), F.concat(s["states"], F.array(state)).alias("states"))
 
     return F.aggregate(outcomes, start, step, lambda s: s["states"])
+
+
+def promotion_events(observations: Column, as_of: Column) -> Column:
+    """Events of a promotion from its time-ordered observations (t, price, expires), of which a null
+    price says nothing: activated, updated when price or end changes, expired by the clock."""
+    start = F.struct(F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("expires"), F.array().cast("array<string>").alias("events"))
+
+    def step(s, o):
+        over = s["price"].isNotNull() & (s["expires"] <= o["t"])
+        ended = F.when(over, F.concat(s["events"], F.array(F.lit("promotion_expired")))).otherwise(s["events"])
+        price, expires = F.when(~F.coalesce(over, F.lit(False)), s["price"]), F.when(~F.coalesce(over, F.lit(False)), s["expires"])
+        seen = o["price"].isNotNull() & (F.coalesce(o["expires"], o["t"] + 1) > o["t"])
+        same = price.eqNullSafe(o["price"]) & expires.eqNullSafe(o["expires"])
+        event = F.when(seen & price.isNull(), "promotion_activated").when(seen & ~same, "promotion_updated")
+        return F.struct(F.when(seen, o["price"]).otherwise(price).alias("price"), F.when(seen, o["expires"]).otherwise(expires).alias("expires"), F.concat(ended, F.array_compact(F.array(event))).alias("events"))
+
+    last = lambda s: F.when(s["price"].isNotNull() & (s["expires"] <= as_of), F.concat(s["events"], F.array(F.lit("promotion_expired")))).otherwise(s["events"])
+    return F.aggregate(observations, start, step, last)

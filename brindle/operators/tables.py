@@ -99,3 +99,23 @@ def rates(df: DataFrame) -> DataFrame:
     d = df.withColumn("precision", ratio("tp", F.col("tp") + F.col("fp"))).withColumn("recall", ratio("tp", F.col("tp") + F.col("fn"))).withColumn("fpr", ratio("fp", F.col("fp") + F.col("tn")))
     total = F.col("precision") + F.col("recall")
     return d.withColumn("f1", F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / F.nullif(total, F.lit(0.0))))
+
+
+def resolve(sources: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """The first source's value that isn't blank, and the source's name."""
+    value, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for label, c in reversed(sources):
+        there = F.coalesce(F.trim(c) != "", F.lit(False))
+        value, name = F.when(there, c).otherwise(value), F.when(there, label).otherwise(name)
+    return value, name
+
+
+def merge_maps(first: Column, second: Column) -> Column:
+    """Both maps' entries; of a key in both the second's, even if it is null there."""
+    kept = F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k))
+    return F.map_concat(kept, second)
+
+
+def fill_gaps(first: Column, second: Column) -> Column:
+    """The first map with what only the second has."""
+    return merge_maps(F.map_filter(second, lambda k, v: v.isNotNull()), F.map_filter(first, lambda k, v: v.isNotNull()))

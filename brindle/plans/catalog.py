@@ -428,3 +428,98 @@ def extension_cube(spark, sf_dir):
 @query("""SELECT CAST(epoch(date_trunc('hour',ts)) AS BIGINT) AS hour, event_type, count(*) AS n FROM events GROUP BY 1,2""")
 def extension_tumbling(spark, sf_dir):
     return t(spark, sf_dir, "events").groupBy(F.unix_timestamp(F.window(F.col("ts").cast("timestamp"), "1 hour")["start"]).alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic=1)""")
+def in_list_scan(spark, sf_dir):
+    return t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select("doc_id")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_mktsegment='BUILDING' ORDER BY c_name, c_custkey LIMIT 25 OFFSET 10""")
+def catalog_page(spark, sf_dir):
+    return t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name").orderBy("c_name", "c_custkey").offset(10).limit(25)
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate>=TIMESTAMP '1997-01-01' AND o_orderdate<TIMESTAMP '1997-02-01' AND o_orderstatus IS NOT DISTINCT FROM 'O' AND o_orderpriority NOT IN ('1-URGENT')""")
+def half_open_range(spark, sf_dir):
+    o, day = t(spark, sf_dir, "orders"), lambda d: F.lit(d).cast("timestamp_ntz")
+    return o.where((F.col("o_orderdate") >= day("1997-01-01")) & (F.col("o_orderdate") < day("1997-02-01")) & F.col("o_orderstatus").eqNullSafe("O") & ~F.col("o_orderpriority").isin("1-URGENT")).select("o_orderkey")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size%3=0 THEN p_brand WHEN p_size%3=1 THEN p_type END AS value, CASE WHEN p_size%3=0 THEN 'variant' WHEN p_size%3=1 THEN 'specs' END AS source FROM part""")
+def attribute_precedence(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    size = F.col("p_size") % 3
+    value, source = tables.resolve([("variant", F.when(size == 0, F.col("p_brand"))), ("specs", F.when(size == 1, F.col("p_type")).otherwise(" "))])
+    return p.select("p_partkey", value.alias("value"), source.alias("source"))
+
+
+@query("""SELECT p_partkey, 'brand=' || p_brand || CASE WHEN p_size%2=0 THEN '|kind=snapshot' ELSE '' END || '|size=' || p_size AS merged FROM part""")
+def merged_metadata(spark, sf_dir):
+    """A snapshot's entries under those of the change; a null of the change wins."""
+    snapshot = F.create_map(F.lit("kind"), F.lit("snapshot"), F.lit("size"), F.lit("0"))
+    after = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    after = F.when(F.col("p_size") % 2 == 0, after).otherwise(F.map_concat(after, F.create_map(F.lit("kind"), F.lit(None).cast("string"))))
+    merged = F.map_filter(tables.merge_maps(snapshot, after), lambda k, v: v.isNotNull())
+    return t(spark, sf_dir, "part").select("p_partkey", tx.variant_key(merged).alias("merged"))
+
+
+@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) || ' GB' AS capacity, CAST(p_size*100 AS VARCHAR) || ' MHz' AS frequency, CAST(p_size*10 AS VARCHAR) || ' W' AS wattage, CAST(p_size AS VARCHAR) || ' mm' AS length FROM part""")
+def unit_normalisers(spark, sf_dir):
+    n = lambda k: (F.col("p_size") * k).cast("string")
+    title = F.concat(F.lit("kit "), n(1), F.lit("gb "), n(100), F.lit("mhz "), n(10), F.lit("W "), n(1), F.lit("MM"))
+    return t(spark, sf_dir, "part").select("p_partkey", vx.capacity(title).alias("capacity"), vx.frequency(title).alias("frequency"), vx.wattage(title).alias("wattage"), vx.length_mm(title).alias("length"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type='click' THEN 'auto_match' ELSE 'review' END AS decision, CAST(CASE WHEN event_type='click' THEN 0.9 ELSE 0.8 END AS DECIMAL(5,4)) AS confidence FROM events WHERE event_type IN ('click','view')""")
+def evidence_gate(spark, sf_dir):
+    e = t(spark, sf_dir, "events").where("event_type in ('click', 'view')")
+    g = matching.evidence_gate(F.lit("review"), F.lit(0.8), F.col("event_type") == "click", F.lit(0.95), F.lit(False))
+    return e.select("event_id", g.alias("g")).select("event_id", "g.*")
+
+
+@query("""SELECT rate_type, source, CAST(rate AS DECIMAL(24,12)) AS rate FROM (VALUES ('market','bcp','0.00071'),('ptax_buy','bcb','0.0007')) v(rate_type,source,rate)""")
+def rate_fallback(spark, sf_dir):
+    """The preferred source of each pair and type, else the next."""
+    both = rates(spark).unionByName(rates(spark).where("base = 'PYG'").withColumn("source", F.lit("zz")))
+    return fx.prefer_source(both, ("bcb", "bcp")).where("base = 'PYG'").select("rate_type", "source", "rate")
+
+
+@query("""SELECT CAST('PYG' AS VARCHAR) AS base, 'USD' AS quote, 'official' AS rate_type, CAST('0.000136986301' AS DECIMAL(24,12)) AS rate""")
+def rate_inverse(spark, sf_dir):
+    return fx.inverse(rates(spark), "USD", "PYG")
+
+
+def _word_case(rules, column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '\\b({'|'.join(words)})\\b') THEN '{name}'" for name, words in rules)
+
+
+@query(f"SELECT p_partkey, {_word_case(matching.CONDITIONS, 'p_name')} ELSE 'unknown' END AS condition, {_word_case(matching.CATEGORIES, 'p_name')} END AS category FROM part")
+def title_identity(spark, sf_dir):
+    """Category and condition by word lists, the first that holds."""
+    return t(spark, sf_dir, "part").select("p_partkey", matching.condition(F.col("p_name")).alias("condition"), matching.category(F.col("p_name")).alias("category"))
+
+
+@query()
+def promotion_lifecycle(spark, sf_dir):
+    o = F.struct(seconds_exact("ts").alias("t"), F.when(F.col("event_type") == "purchase", F.round("value")).alias("price"), F.when(F.col("event_type") == "purchase", seconds_exact("ts") + 3600).alias("expires"))
+    g = t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(o)).alias("seen"))
+    return g.select("user_id", F.array_join(cdc.promotion_events(F.col("seen"), F.lit(4e9)), ",").alias("events"))
+
+
+@query("""SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, CAST(max(l_quantity) AS BIGINT) AS top FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal>0) GROUP BY 1""")
+def extension_distinct(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "supplier").where("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    return li.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.max("l_quantity").cast("long").alias("top"))
+
+
+@query("""SELECT l_partkey AS k FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size>25""")
+def extension_intersect(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).intersect(t(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("k")))
+
+
+@query("""SELECT l_suppkey, l_orderkey*10+l_linenumber AS id, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber) AS q FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)""")
+def extension_ranks(spark, sf_dir):
+    w = Window.partitionBy("l_suppkey").orderBy("l_quantity")
+    v = Window.partitionBy("l_suppkey").orderBy("l_quantity", "l_orderkey", "l_linenumber")
+    return t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.ntile(4).over(v).cast("long").alias("q"))
