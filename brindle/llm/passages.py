@@ -147,7 +147,8 @@ def _long(data: bytes) -> np.ndarray:
 
 
 def _shared_anchors(t: pa.Table) -> pa.Table:
-    """Of each block's anchors those that two documents hold: documents of one block, or blocks, as an id has one block."""
+    """Of each block's anchors those that two documents hold: in one block or in two.
+    Rows of one id in two blocks count as two, which costs a comparison, no result."""
     parts = [_long(x) for x in t["hashes"].to_pylist()]
     h = np.concatenate(parts)
     several = np.concatenate([np.frombuffer(x, np.uint8) for x in t["several"].to_pylist()])
@@ -316,7 +317,8 @@ def remove_passages(docs: DataFrame, method: Method, block_bytes: int = BLOCK_BY
     blocks, buckets = max(32, -(-size // block_bytes)), max(32, -(-size // bucket_bytes))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), order_id(F.col("doc_id")).alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
     rows = rows.withColumn("row", F.col("row").dropFields("text") if len(docs.columns) > 1 else F.col("row"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    # the text too, so that rows without an id or with one that repeats are spread
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "bytes"), F.lit(blocks)))
     by_block = rows.groupBy("block")
     sent = by_block.applyInArrow(_send_anchors(method, buckets), _SENT)
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "to long, shared binary")
