@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,27 @@ def pieces_of(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers are kept between tasks, and what an
+    allocator holds on to counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def trimmed(run):
+    """A group function that gives memory back when it is done."""
+
+    def wrapped(*tables):
+        out = run(*tables)
+        give_back()
+        return out
+
+    return (lambda t: wrapped(t)) if run.__code__.co_argcount == 1 else (lambda t, u: wrapped(t, u))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, checkpointed, order_id, pieces_of, utf8
+from .common import MAX_ID, checkpointed, give_back, order_id, pieces_of, trimmed, utf8
 from .graph import components
 from .passages import _bucket, _groups, _long, _short
 from .textscan import LOWER, from_planes, mixed, planes, rolling, word_bounds, word_hashes
 
-BUCKET_SHINGLES = 1 << 20
-BLOCK_BYTES = 4 << 20
+BUCKET_SHINGLES = 1 << 19
+BLOCK_BYTES = 2 << 20
 #: Documents and bytes of sets that one task of a cluster holds from each of its two parts.
 PART_DOCS = 512
 PART_BYTES = 16 << 20
@@ -90,6 +90,7 @@ def _send(width: int, buckets: int):
                 rows += [[int(b[s]), turn, 1, _short(h[s:e]), planes(doc[s:e]), b"", b""] for s, e in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
                 turn += 1
+                give_back()
 
     return run
 
@@ -244,8 +245,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> Data
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, size // 7 // BUCKET_SHINGLES)
     sent = rows.mapInArrow(_send(width, buckets), _SENT)
-    counted = sent.groupBy("bucket").applyInArrow(_count, "to long, kind int, a binary, b binary, c binary, d binary")
-    sets = checkpointed(counted.groupBy("to").applyInArrow(_assemble, "id long, n long, name1 long, name2 long, shared binary"))
+    counted = sent.groupBy("bucket").applyInArrow(trimmed(_count), "to long, kind int, a binary, b binary, c binary, d binary")
+    sets = checkpointed(counted.groupBy("to").applyInArrow(trimmed(_assemble), "id long, n long, name1 long, name2 long, shared binary"))
 
     name = ["n", "name1", "name2"]
     classes = checkpointed(sets.where("n > 0").groupBy(*name).agg(F.min("id").alias("first")))
@@ -261,7 +262,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> Data
     # each two parts of a cluster, and each part by itself, are a task's
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("id", "n", "shared", "cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("side"))
-    links = checkpointed(dealt.groupBy("cluster", "p", "q").applyInArrow(_join_groups(share), "a long, b long"))
+    links = checkpointed(dealt.groupBy("cluster", "p", "q").applyInArrow(trimmed(_join_groups(share)), "a long, b long"))
     # rows that share an id are one node: each of their classes is tied to the id
     same = sets.where("n > 0").select(*name, "id").distinct().join(classes, name).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     of = components(links.unionByName(same))

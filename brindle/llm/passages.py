@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import MAX_ID, order_id
+from .common import MAX_ID, order_id, trimmed
 from .textscan import anchors, from_planes, mixed, planes, word_bounds, word_hashes
 
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 3 << 20
 SPANS = ArrayType(StructType().add("low", LongType()).add("high", LongType()))
 
 
@@ -320,9 +320,9 @@ def remove_passages(docs: DataFrame, method: Method, block_bytes: int = BLOCK_BY
     # the text too, so that rows without an id or with one that repeats are spread
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "bytes"), F.lit(blocks)))
     by_block = rows.groupBy("block")
-    sent = by_block.applyInArrow(_send_anchors(method, buckets), _SENT)
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "to long, shared binary")
-    slices = by_block.cogroup(shared.groupBy("to")).applyInArrow(_send_slices(method, buckets), _SLICES)
-    spans = slices.groupBy("bucket").applyInArrow(_covered_spans(method), "to long, docs binary, lows binary, highs binary")
+    sent = by_block.applyInArrow(trimmed(_send_anchors(method, buckets)), _SENT)
+    shared = sent.groupBy("bucket").applyInArrow(trimmed(_shared_anchors), "to long, shared binary")
+    slices = by_block.cogroup(shared.groupBy("to")).applyInArrow(trimmed(_send_slices(method, buckets)), _SLICES)
+    spans = slices.groupBy("bucket").applyInArrow(trimmed(_covered_spans(method)), "to long, docs binary, lows binary, highs binary")
     ddl = rows.select("row").schema.add("kept", "binary").add("n_symbols", "long").add("n_removed", "long").add("spans", SPANS)
-    return by_block.cogroup(spans.groupBy("to")).applyInArrow(_cut(method, to_arrow_schema(ddl)), ddl)
+    return by_block.cogroup(spans.groupBy("to")).applyInArrow(trimmed(_cut(method, to_arrow_schema(ddl))), ddl)
