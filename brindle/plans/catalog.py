@@ -412,11 +412,11 @@ def circuit_breaker(spark, sf_dir):
 
 @query()
 def product_matching(spark, sf_dir):
-    """Parts of one supplier matched to those of others by codes in their names, best per store."""
+    """All parts matched to all parts and copies of them by codes in their names, best per store."""
     p = t(spark, sf_dir, "part")
     side = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "#", "")).alias("title"), F.col("p_brand").alias("brand"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("gtin"), F.col("p_retailprice").cast("decimal(18,4)").alias("price"), F.lit("USD").alias("currency"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("store"), F.col("p_partkey").cast("string").alias("product_id"))
     side = side.withColumn("gtin", F.concat("gtin", vx.gtin_check_digit(F.col("gtin")).cast("string")))
-    scored = matching.match(side.where("id % 2 = 0"), side.unionByName(side.withColumn("id", F.col("id") + 1000000).withColumn("store", F.lit("copy"))))
+    scored = matching.match(side, side.unionByName(side.withColumn("id", F.col("id") + 1000000).withColumn("store", F.lit("copy"))))
     return matching.best_per_store(scored).select("l", "r", "store", "decision", "confidence", "reason")
 
 

@@ -43,6 +43,11 @@ def test_query(spark, duck, name):
     assert a == b
 
 
+def test_every_part_is_a_reference(spark):
+    parts = {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    assert {r.l for r in catalog.QUERIES["product_matching"](spark, SF).select("l").collect()} == parts
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
