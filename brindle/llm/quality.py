@@ -22,6 +22,8 @@ from .textscan import CHUNK, mixed, rolling, word_bounds, word_hashes
 SAMPLE = 5_000
 #: Hashed features: 2 to this power.
 BITS = 13
+#: Words on end of which variety counts the distinct ones, so that long texts compare with short ones.
+SPAN = 1_000
 ROUNDS = 200
 
 _CLASS = np.zeros(256, np.int64)
@@ -34,8 +36,8 @@ LABELLERS = ("symbols", "capitals", "exclamation", "table", "echo", "lines", "od
 def signals(text: bytes) -> np.ndarray:
     """Rates that the labellers look at: symbols, capitals, exclamation marks and bars by
     character or word; words that repeat the one before; lines that repeat an earlier one;
-    characters of no kind that prose has, and words with one; distinct words among the first
-    thousand."""
+    characters of no kind that prose has, and words with one; distinct words of every thousand
+    on end, as a share of all words."""
     data = np.frombuffer(text, np.uint8)
     kinds = _CLASS[data]
     n = np.bincount(kinds, minlength=10)
@@ -44,14 +46,13 @@ def signals(text: bytes) -> np.ndarray:
     words = word_hashes(data, starts, ends)
     many = max(1, len(words))
     lines = [line for line in text.split(b"\n") if line]
-    head = words[:1000]
     # a few words are no evidence: rates count in full from ten words on
     weight = min(1.0, len(words) / 10)
     rates = [n[8] / chars, n[2] / letters, n[6] / many, n[7] / many, (words[1:] == words[:-1]).mean() if len(words) > 1 else 0.0, 1 - len(set(lines)) / max(1, len(lines))]
     odd = np.isin(kinds, (6, 7, 8))
     sums = np.concatenate([[0], np.cumsum(odd)])
     rates += [odd.sum() / chars, float((sums[ends] > sums[starts]).mean()) if len(words) else 0.0]
-    variety = len(np.unique(head)) / max(1, len(head))
+    variety = sum(len(np.unique(words[at : at + SPAN])) for at in range(0, len(words), SPAN)) / many
     return np.array([*(x * weight for x in rates), 1 - (1 - variety) * weight, len(words)])
 
 

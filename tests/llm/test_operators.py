@@ -348,6 +348,15 @@ def test_quality(spark, docs, empty):
     assert good_kept >= 0.99 * good_all and right >= 0.98 * n
 
 
+def test_variety_covers_the_whole_text():
+    rng = random.Random(5)
+    varied = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1000))
+    cycled = " ".join(["some", "few", "words", "again"] * 1500)
+    vote = lambda text: quality.votes(quality.signals(text.encode()))[quality.LABELLERS.index("variety")]
+    assert vote(varied) == vote(varied + " " + varied) == 1
+    assert vote(varied + " " + cycled) == 0 and vote(cycled + " " + varied) == 0
+
+
 def test_labeller_model():
     rng = np.random.default_rng(4)
     counts = defaultdict(int)
