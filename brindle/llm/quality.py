@@ -161,7 +161,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict]:
     if total > sample:
         # a hash threshold keeps the draw spread over all tasks; the rest is then cut exactly
         chosen = chosen.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / total)))
-    chosen = chosen.where(F.length("text") <= 100_000)
 
     def run(batches):
         for b in pieces_of(batches):

@@ -357,6 +357,15 @@ def test_variety_covers_the_whole_text():
     assert vote(varied + " " + cycled) == 0 and vote(cycled + " " + varied) == 0
 
 
+def test_long_texts_train_the_scorer(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(15_000))
+    data = [(i, prose() if i % 2 else "@# || !! BUY " * 8_000) for i in range(8)]
+    got = quality.classify(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert min(len(t) for _, t in data) > 100_000
+    assert all(r.keep == (r.doc_id % 2 == 1) and r.quality_score != 0.5 for r in got)
+
+
 def test_labeller_model():
     rng = np.random.default_rng(4)
     counts = defaultdict(int)
