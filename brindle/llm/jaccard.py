@@ -8,17 +8,16 @@
    recorded as links to its first document, so it never becomes pairs.
 3. Components of those links are clusters of documents that could be linked at all. A
    cluster is joined in one task, or, if it is too large for one, in tasks for each two of
-   its parts. Inside, length, positional and suffix filters come before verification, and
-   documents that are linked already are not compared.
-4. Components of the verified links give the result.
+   its parts. Inside, length, positional and, for long sets, suffix filters come before
+   verification. Every pair that they leave is verified, and counts as a link of both.
+4. Components of the verified links, and the links of each document, give the result.
 
-Equal sets are one class and are expanded at the end only.
+Equal sets are one class, weigh as many as they are, and are expanded at the end only.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ BLOCK_BYTES = 2 << 20
 #: Documents and bytes of sets that one task of a cluster holds from each of its two parts.
 PART_DOCS = 512
 PART_BYTES = 16 << 20
+#: The suffix filter is for sets of so many shingles; shorter ones are verified as fast.
+LONG_SET = 8_192
 #: Up to so many ids (8 bytes each) are broadcast to drop their rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -169,107 +170,139 @@ def _overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     return bound(a, b, 2)
 
 
-def join_cluster(sizes: list[int], sets: list[np.ndarray], side: list[bool], share: int) -> list[tuple[int, int]]:
-    """Links (positions) of a cluster that connect all that is linked in it.
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    Documents come shortest first. For each, the groups of its prefix shingles are kept by
-    component; a component that it is linked to already is passed over, and in the others
-    every document is compared until one links. `side` parts a task of two parts: only
-    documents of unlike side are compared, if both occur.
+
+def join_cluster(sizes: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, apart: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set of a cluster the weight of all that it links with, and one set of its component.
+
+    Sets come shortest first. Each meets the earlier ones that share a shingle of both
+    prefixes, and every such pair that the filters leave is verified once. With `apart` only
+    sets of unlike side are compared.
     """
-    two = any(side) and not all(side)
-    parent = list(range(len(sizes)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    groups: dict[int, dict[tuple[int, bool], list[tuple[int, int]]]] = {}
-    links = []
-    for a in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):
-        n, own = sizes[a], sets[a]
-        tried: set[int] = set()
-        for i, gram in enumerate(own[: _prefix(n, len(own), share)].tolist()):
-            held = groups.setdefault(gram, {})
-            for key in list(held):
-                part = key[1]
-                top = root(key[0])
-                if top != key[0]:  # the component was joined to another meanwhile
-                    held.setdefault((top, part), []).extend(held.pop(key))
-            for (top, part), members in list(held.items()):
-                if (two and part == side[a]) or root(a) == root(top):
-                    continue
-                for b, j in members:
-                    if b in tried:
-                        continue
-                    m = sizes[b]
-                    need = -(-share * (n + m) // (100 + share))
-                    tried.add(b)  # this is the first shingle that both hold: in b's order none before it is missing
-                    if 100 * m < share * n or min(len(own) - i, len(sets[b]) - j) < need:
-                        continue
-                    if _overlap_bound(own, sets[b]) < need:
-                        continue
-                    common = len(np.intersect1d(own, sets[b], assume_unique=True))
-                    if 100 * common >= share * (n + m - common):
-                        links.append((a, b))
-                        parent[root(b)] = root(a)
-                        break
-            held.setdefault((root(a), side[a]), []).append((a, i))
-    return links
+    order = np.lexsort((np.arange(len(sizes)), sizes))
+    size, weight, side = sizes[order], weights[order], side[order]
+    own = np.array([len(sets[i]) for i in order])
+    edge = np.concatenate([[0], np.cumsum(own)])
+    codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    # the sets of each prefix shingle, shortest first; up to `fill` they have come
+    prefix = np.array([_prefix(int(n), int(k), share) for n, k in zip(size, own, strict=True)])
+    doc = np.repeat(np.arange(len(size)), prefix)
+    place = _ranges(np.zeros(len(size), np.int64), prefix)
+    gram = codes[edge[doc] + place]
+    by_gram = np.argsort(gram, kind="stable")
+    doc, place = doc[by_gram], place[by_gram]
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    start = np.searchsorted(gram[by_gram], np.arange(len(mark)))
+    fill = start.copy()
+    total, top = np.zeros(len(size), np.int64), np.arange(len(size))
+    for a in range(len(size)):
+        mine = codes[edge[a] : edge[a + 1]]
+        pre = mine[: prefix[a]]
+        s, e = start[pre], fill[pre]
+        at = _ranges(s, e)
+        np.add.at(fill, pre, 1)
+        if not len(at):
+            continue
+        # the first shingle that both hold: in either's order none before it is shared
+        first = np.full(a + 1, -1)
+        first[doc[at[::-1]]] = np.arange(len(at) - 1, -1, -1)
+        b = np.flatnonzero(first >= 0)
+        i, j = np.repeat(np.arange(len(pre)), e - s)[first[b]], place[at[first[b]]]
+        need = -(-share * (size[a] + size[b]) // (100 + share))
+        fits = (100 * size[b] >= share * size[a]) & (np.minimum(own[a] - i, own[b] - j) >= need) & (b < a)
+        if apart:
+            fits &= side[b] != side[a]
+        b, need = b[fits], need[fits]
+        if own[a] >= LONG_SET:
+            fits = [_overlap_bound(mine, codes[edge[x] : edge[x + 1]]) >= n for x, n in zip(b.tolist(), need.tolist(), strict=True)]
+            b = b[np.array(fits, bool)]
+        if not len(b):
+            continue
+        mark[mine] = True
+        sums = np.concatenate([[0], np.cumsum(mark[codes[_ranges(edge[b], edge[b + 1])]])])
+        mark[mine] = False
+        common = np.diff(sums[np.concatenate([[0], np.cumsum(own[b])])])
+        b = b[100 * common >= share * (size[a] + size[b] - common)]
+        total[a] += weight[b].sum()
+        total[b] += weight[a]
+        for x in np.unique(top[b]).tolist():
+            top[top == x] = top[a]
+    out, root = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    out[order], root[order] = total, order[top]
+    return out, root
 
 
 def _join_groups(share: int):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids = t["id"].to_pylist()
+        t = t.sort_by([("id", "ascending"), ("name1", "ascending"), ("name2", "ascending")])
         sets = [np.frombuffer(x, np.uint64) for x in t["shared"].to_pylist()]
-        links = join_cluster(t["n"].to_pylist(), sets, t["side"].to_pylist(), share)
-        return pa.table([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
+        column = lambda c: t[c].to_numpy()
+        links, top = join_cluster(column("n"), sets, column("rows"), column("side"), t["p"][0] != t["q"][0], share)
+        ids, some = column("id"), np.flatnonzero(links)
+        return pa.table([ids[some], ids[top[some]], *(column(c)[some] for c in ("n", "name1", "name2")), links[some]], names=["a", "b", "n", "name1", "name2", "links"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> DataFrame:
-    """Components of documents linked where 100 * intersection >= share * union of their
-    sets of `width`-word shingles (ASCII lower case).
+_NAME = ["n", "name1", "name2"]
 
-    Returns one row per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id
-    reachable, its own if none). A text with fewer words is one shingle; one without words,
-    or a null text, has an empty set and links with nothing. Rows that repeat a doc_id are
-    one node. A null doc_id comes after every other and its component, if no id is
-    reachable, is null. Set items are 64-bit hashes; the items of two texts are compared by 48
-    of their bits, so two sets of 20,000 shingles have one in 700,000 odds to differ by one.
-    """
-    rows = docs.select(order_id(F.col("doc_id")).alias("id"), utf8(F.col("text")).alias("text"))
+
+def _linked(rows: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text): the set of each row (id, n, name1, name2), the links of the rows of each set
+    that has any (n, name1, name2, n_links), and the component (node, component) of linked ids."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, size // 7 // BUCKET_SHINGLES)
     sent = rows.mapInArrow(_send(width, buckets), _SENT)
     counted = sent.groupBy("bucket").applyInArrow(trimmed(_count), "to long, kind int, a binary, b binary, c binary, d binary")
     sets = checkpointed(counted.groupBy("to").applyInArrow(trimmed(_assemble), "id long, n long, name1 long, name2 long, shared binary"))
 
-    name = ["n", "name1", "name2"]
-    classes = checkpointed(sets.where("n > 0").groupBy(*name).agg(F.min("id").alias("first")))
+    classes = checkpointed(sets.where("n > 0").groupBy(*_NAME).agg(F.min("id").alias("first"), F.count("*").alias("rows")))
     # one row of each class carries its set on
-    heads = sets.where(F.octet_length("shared") > 0).join(classes.withColumnRenamed("first", "id"), [*name, "id"], "left_semi").dropDuplicates([*name, "id"]).select("id", "n", "shared")
-    grams = checkpointed(heads.mapInArrow(_prefixes(share), "gram long, id long").distinct())
+    heads = sets.where(F.octet_length("shared") > 0).join(classes.withColumnRenamed("first", "id"), [*_NAME, "id"]).dropDuplicates([*_NAME, "id"]).select("id", *_NAME, "rows", "shared")
+    grams = checkpointed(heads.select("id", "n", "shared").mapInArrow(_prefixes(share), "gram long, id long").distinct())
     first = grams.groupBy("gram").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("gram", "lead")
     clusters = components(grams.join(first, "gram").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
-    members = checkpointed(heads.join(clusters, F.col("id") == F.col("node")).select("id", "n", "shared", F.col("component").alias("cluster")))
+    members = checkpointed(heads.join(clusters, F.col("id") == F.col("node")).select("id", *_NAME, "rows", "shared", F.col("component").alias("cluster")))
     extent = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum(F.octet_length("shared")).alias("b"))
     extent = extent.select("cluster", F.greatest(F.ceil(F.col("c") / PART_DOCS), F.ceil(F.col("b") / PART_BYTES)).cast("int").alias("parts"))
     dealt = members.join(extent, "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # each two parts of a cluster, and each part by itself, are a task's
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("id", "n", "shared", "cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("side"))
-    links = checkpointed(dealt.groupBy("cluster", "p", "q").applyInArrow(trimmed(_join_groups(share)), "a long, b long"))
+    dealt = dealt.select("id", *_NAME, "rows", "shared", "cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("side"))
+    links = checkpointed(dealt.groupBy("cluster", "p", "q").applyInArrow(trimmed(_join_groups(share)), "a long, b long, n long, name1 long, name2 long, links long"))
     # rows that share an id are one node: each of their classes is tied to the id
-    same = sets.where("n > 0").select(*name, "id").distinct().join(classes, name).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    of = components(links.unionByName(same))
-    out = sets.select("id", "n").join(of, F.col("id") == F.col("node"), "left")
+    same = sets.where("n > 0").select(*_NAME, "id").distinct().join(classes, _NAME).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    within = classes.where("rows > 1").select(*_NAME, (F.col("rows") - 1).alias("links"))
+    counts = checkpointed(within.unionByName(links.select(*_NAME, "links")).groupBy(*_NAME).agg(F.sum("links").alias("n_links")))
+    return sets.select("id", *_NAME), counts, components(links.select("a", "b").unionByName(same))
+
+
+def jaccard_links(docs: DataFrame, width: int = 4, share: int = 85) -> DataFrame:
+    """Components of documents linked where 100 * intersection >= share * union of their
+    sets of `width`-word shingles (ASCII lower case).
+
+    Returns one row per row of `docs`: doc_id, n_shingles, n_links (the other rows that its
+    text is linked with, those with an equal set among them), component_id (the smallest doc_id
+    reachable, its own if none). A text with fewer words is one shingle; one without words,
+    or a null text, has an empty set and links with nothing. Rows that repeat a doc_id are
+    one node of the components. A null doc_id comes after every other and its component, if no id is
+    reachable, is null. Set items are 64-bit hashes; the items of two texts are compared by 48
+    of their bits, so two sets of 20,000 shingles have one in 700,000 odds to differ by one.
+    """
+    sets, counts, of = _linked(docs.select(order_id(F.col("doc_id")).alias("id"), utf8(F.col("text")).alias("text")), width, share)
+    out = sets.join(counts, _NAME, "left").join(of, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
     no = lambda c: F.when(c != MAX_ID, c)
-    return out.select(no(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), no(component).alias("component_id"))
+    return out.select(no(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), no(component).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id of jaccard_links."""
+    return jaccard_links(docs, width, share).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:

@@ -131,6 +131,27 @@ def test_jaccard_parts_of_a_cluster(spark, monkeypatch):
     assert {r.component_id for r in got.collect()} == {3}
 
 
+@pytest.mark.parametrize("part, long", [(512, 8192), (4, 1)])
+def test_jaccard_links_of_every_pair(spark, monkeypatch, part, long):
+    monkeypatch.setattr(jaccard, "PART_DOCS", part)
+    monkeypatch.setattr(jaccard, "LONG_SET", long)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    data = []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice((0, 1, 2, 3))):
+            w[at] = f"z{i}"
+        data.append((i if i % 9 else None, " ".join(w)))
+    data += [(50, None), (51, "alone here with nobody else"), (3, "alone here with nobody else")]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in ((t or "").split() for _, t in data)]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((str(d), len(s), sum(linked(s, o) for o in sets) - bool(s)) for (d, _), s in zip(data, sets, strict=True))
+    assert max(n for *_, n in want) > 10 and len({n for *_, n in want}) > 5
+    got = jaccard.jaccard_links(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 4, 85)
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got.collect()) == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (5, 5), (20, 21), (21, 20)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
