@@ -306,7 +306,35 @@ def jaccard_components(docs: DataFrame, width: int = 4, share: int = 85) -> Data
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """The rows of `docs` but those whose component holds a smaller doc_id (see jaccard_components)."""
+    """The rows of `docs` but those whose component holds a smaller doc_id (see jaccard_components).
+
+    Decides by doc_id: rows that share one, or have none, stay or go together. keep_rows
+    decides by row.
+    """
     gone = checkpointed(jaccard_components(docs, width, share).where(F.col("component_id") < F.coalesce("doc_id", F.lit(MAX_ID))).select(F.col("doc_id").alias("_gone")).distinct())
     some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(some, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def keep_rows(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """Of the rows of `docs` that are linked (see jaccard_links), the one with the smallest doc_id;
+    a null id comes last. All rows that link with nothing stay.
+
+    Each doc_id and text is a node by its 64-bit hash, so rows that share an id, or have none, are
+    decided each by itself; among them the smallest hash stays. Of rows with the same id and
+    text any one stays.
+    """
+    key, text = order_id(F.col("doc_id")), utf8(F.col("text"))
+    node = F.xxhash64(key, text)
+    sets, _, of = _linked(docs.select(node.alias("id"), text.alias("text")), width, share)
+    rank = F.struct(key.alias("key"), node.alias("node"))
+    linked = checkpointed(docs.select(rank.alias("rank"), node.alias("node")).distinct().join(of, "node").select("rank", "component"))
+    least = linked.groupBy("component").agg(F.min("rank").alias("least"))
+    gone = checkpointed(linked.join(least, "component").where("rank <> least").select(F.col("rank.node").alias("_node")))
+    again = checkpointed(sets.where("n > 0").groupBy(F.col("id").alias("_node")).agg(F.count("*").alias("c")).where("c > 1").select("_node"))
+    some = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
+    kept = docs.withColumn("_node", node).join(some(gone), "_node", "left_anti")
+    if again.count():
+        single = kept.join(some(again), "_node", "left_anti")
+        kept = single.unionByName(kept.join(some(again), "_node", "left_semi").dropDuplicates(["_node"]))
+    return kept.select(docs.columns)

@@ -152,6 +152,16 @@ def test_jaccard_links_of_every_pair(spark, monkeypatch, part, long):
     assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got.collect()) == want
 
 
+def test_rows_without_an_id_of_their_own_are_kept_one_by_one(spark):
+    say = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    data = [(1, say("a")), (None, say("a") + " tail"), (None, say("b")), (None, say("c")), (None, say("c")), (None, None), (None, ""), (2, say("d")), (2, say("a")), (2, say("e")), (3, say("e")), (4, say("f")), (4, say("f"))]
+    docs = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, source string").repartition(3)
+    kept = jaccard.keep_rows(docs)
+    want = [(1, say("a")), (None, say("b")), (None, say("c")), (None, None), (None, ""), (2, say("d")), (2, say("e")), (4, say("f"))]
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (5, 5), (20, 21), (21, 20)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
