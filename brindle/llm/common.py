@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +19,33 @@ MAX_ID = (1 << 63) - 1
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session shares.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set, as in
-    local tests, a local one is used.
+    The folder is the session's ``spark.checkpoint.dir``. Only where none is set and the
+    master is local, as in tests, a temporary one is used, and removed with the session; on a cluster
+    that would be another folder on every machine, so it is an error there.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column is so named."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

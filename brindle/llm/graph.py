@@ -44,8 +44,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Self-links and repeated links make no difference. Nodes without a link to another node
     have no row. Tasks first shrink their own links to stars; then each round links every
-    node's larger neighbours, then its smaller ones, to the smallest of them, until nothing
-    changes. The links stay in tables all the time.
+    node's larger neighbours, then its smaller ones, to the smallest node that it knows, until
+    nothing changes. The links stay in tables all the time.
     """
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     now = checkpointed(now.mapInArrow(_local, "a long, b long").distinct())
@@ -55,11 +55,17 @@ def components(links: DataFrame) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark = new
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # Only larger nodes are looked up, and the lookups are tables of their own: both sides of
+        # each join are then plain shuffles, which adaptive execution splits where one node has many links.
+        up = _smallest(now)
+        large = checkpointed(now.join(up.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        low = _smallest(large)
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = checkpointed(moved.unionByName(low.withColumnRenamed("m", "b")).distinct())
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)
+
+
+def _smallest(links: DataFrame) -> DataFrame:
+    """(a, m): the smallest of each larger node's smaller neighbours."""
+    return checkpointed(links.groupBy("a").agg(F.min("b").alias("m")))
