@@ -2,9 +2,9 @@
 
 The corpus is too large for one automaton, and an automaton that every task held would have
 no size bound. So the passages that two documents share are dealt to shards by their
-anchors (see passages.py); a shard's automaton holds its distinct passages with the smallest
-document id at every state, and the passages are streamed through it for their matching
-statistics, held at the window's length.
+anchors (see passages.py). A shard's automaton holds its distinct passages that differ under one anchor,
+with the smallest document id at every state, and the passages are streamed through it for their
+matching statistics, held at the window's length.
 """
 
 from __future__ import annotations
@@ -86,20 +86,12 @@ class SuffixAutomaton:
 
 
 def _resolve(contents: list[bytes], anchors: np.ndarray, least: np.ndarray, window: int) -> list[np.ndarray]:
-    """Contents with unlike anchors share no window, so each anchor's have their own automaton."""
-    out: list = [None] * len(contents)
-    order = np.argsort(anchors, kind="stable")
-    a = anchors[order]
-    edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
-    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        group = order[s:e].tolist()
-        index, words = SuffixAutomaton(), [contents[i].split(b" ") for i in group]
-        for i, w in zip(group, words, strict=True):
-            index.add(w, int(least[i]))
-        index.finish()
-        for i, w in zip(group, words, strict=True):
-            out[i] = index.windows(w, window)
-    return out
+    """One automaton of the shard's passages; each passage is streamed through it."""
+    index, words = SuffixAutomaton(), [c.split(b" ") for c in contents]
+    for w, owner in zip(words, least.tolist(), strict=True):
+        index.add(w, owner)
+    index.finish()
+    return [index.windows(w, window) for w in words]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:

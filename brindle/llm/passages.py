@@ -9,11 +9,12 @@ or bytes) of one document; windows are judged on the input.
 3. Blocks cut the runs of windows under such an anchor and send these slices, each distinct
    content once, to the anchor's shard. Equal windows have equal anchors, so they meet there.
 4. A shard compares the contents exactly, by the operator's own index, and answers with the
-   spans that are covered by a window of an earlier document.
-5. Blocks cut the spans out.
+   smallest document at each window of a content. Where else a block holds the content stays
+   out of the shard: the block's own list of these places comes back to it by another way.
+5. Blocks cut out the windows that have a smaller document.
 
 What is shuffled is bounded by the block: a passage that a third of all documents hold is
-sent once per block and bucket. Texts are shuffled once and read three times.
+sent once per block and bucket, with one place. Texts are shuffled once and read three times.
 """
 
 from __future__ import annotations
@@ -163,11 +164,13 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["to", "shared"])
 
 
-_SLICES = "bucket long, block long, contents binary, lengths binary, hashes binary, which binary, docs binary, ids binary, starts binary"
+_SLICES = "bucket long, block long, kind int, contents binary, lengths binary, hashes binary, at binary, least binary, most binary"
 
 
 def _send_slices(method: Method, buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("contents", "lengths", "hashes", "which", "docs", "ids", "starts"))])
+    """Of each bucket the block's distinct contents under its anchors, with their first place in the
+    block and their smallest and largest id (kind 1), and once the other places of contents (kind 0)."""
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("contents", "lengths", "hashes", "at", "least", "most"))])
 
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         rows: tuple[list, ...] = tuple([] for _ in schema)
@@ -175,20 +178,31 @@ def _send_slices(method: Method, buckets: int):
             shared = np.sort(np.concatenate([_long(x) for x in answers["shared"].to_pylist()]))
             b = Block(t["id"].combine_chunks(), t["bytes"].combine_chunks(), method.words)
             h, at, size = b.windows(method.window, method.gram)
-            known = h & _SENT_MASK
-            hit = shared[np.minimum(np.searchsorted(shared, known), len(shared) - 1)] == known
+            short = h & _SENT_MASK
+            hit = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
             h, at, size = h[hit], at[hit], size[hit]
-            doc = b.doc_of(at)
+            ids = b.ids[b.doc_of(at)]
             order, edge = _groups(_bucket(h, buckets))
             lows, highs = at.tolist(), (at + size + method.window - 1).tolist()
+            block, firsts, others = t["block"][0].as_py(), [], []
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 i = order[s:e]
                 known: dict[bytes, int] = {}
-                which = [known.setdefault(b.content(lows[j], highs[j]), len(known)) for j in i.tolist()]
-                which = np.array(which, np.int32)
-                first = np.unique(which, return_index=True)[1]
+                which = np.array([known.setdefault(b.content(lows[j], highs[j]), len(known)) for j in i.tolist()], np.int32)
+                by, bound = _groups(which)
+                first = by[bound[:-1]]
+                least, most = np.minimum.reduceat(ids[i[by]], bound[:-1]), np.maximum.reduceat(ids[i[by]], bound[:-1])
+                again = np.ones(len(by), bool)
+                again[bound[:-1]] = False
+                firsts.append(at[i[first[which[by[again]]]]])
+                others.append(at[i[by[again]]])
                 lengths = np.array([len(c) for c in known], np.int32)
-                row = (int(_bucket(h[i[:1]], buckets)[0]), t["block"][0].as_py(), zstandard.compress(b"".join(known), 3), planes(lengths), planes(h[i[first]]), planes(which), planes(doc[i].astype(np.int32)), planes(b.ids[doc[i]]), planes((at[i] - b.first[doc[i]]).astype(np.int64)))
+                row = (int(_bucket(h[i[:1]], buckets)[0]), block, 1, zstandard.compress(b"".join(known), 3), planes(lengths), planes(h[i[first]]), planes(at[i[first]].astype(np.int32)), planes(least), planes(most))
+                for column, x in zip(rows, row, strict=True):
+                    column.append(x)
+            if sum(map(len, firsts)):
+                first, other = np.concatenate(firsts).astype(np.int32), np.concatenate(others).astype(np.int32)
+                row = (int(_bucket(np.array([block], np.uint64), buckets)[0]), block, 0, b"", b"", planes(other), planes(first), b"", b"")
                 for column, x in zip(rows, row, strict=True):
                     column.append(x)
         return pa.table([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
@@ -210,72 +224,97 @@ def _merged(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return key[at], low[at], top[np.append(at[1:], len(key)) - 1]
 
 
-def _covered_spans(method: Method):
-    """A shard's answer: for each block the spans covered by windows of earlier documents."""
+_ANSWERS = "to long, kind int, at binary, windows binary, starts binary, ids binary"
+
+
+def _smallest_documents(method: Method):
+    """A shard's answer: for each block, at the first places of its contents, runs of windows
+    (windows of each run, first window, smallest id). Lists of other places pass through."""
+    schema = pa.schema([("to", pa.int64()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("at", "windows", "starts", "ids"))])
 
     def run(t: pa.Table) -> pa.Table:
         contents: dict[bytes, int] = {}
-        owner, which, docs, ids, starts, rows = [], [], [], [], [], []
+        owner, which, at, least, most, rows, out = [], [], [], [], [], [], []
         for r in range(t.num_rows):
-            data, at = zstandard.decompress(t["contents"][r].as_py()), 0
+            if t["kind"][r].as_py() == 0:
+                out.append((t["block"][r].as_py(), 0, t["at"][r].as_py(), b"", t["hashes"][r].as_py(), b""))
+                continue
+            data, start = zstandard.decompress(t["contents"][r].as_py()), 0
             lengths, hashes = from_planes(t["lengths"][r].as_py(), np.int32).tolist(), from_planes(t["hashes"][r].as_py(), np.uint64)
             own = np.empty(len(lengths), np.int64)
             for i, n in enumerate(lengths):
-                own[i] = k = contents.setdefault(data[at : at + n], len(contents))
-                at += n
+                own[i] = k = contents.setdefault(data[start : start + n], len(contents))
+                start += n
                 if k == len(owner):
                     owner.append(hashes[i])
-            which.append(own[from_planes(t["which"][r].as_py(), np.int32)])
-            docs.append(from_planes(t["docs"][r].as_py(), np.int32).astype(np.int64))
-            ids.append(from_planes(t["ids"][r].as_py(), np.int64))
-            starts.append(from_planes(t["starts"][r].as_py(), np.int64))
-            rows.append(np.full(len(docs[-1]), r))
-        which, docs, ids, starts, rows = map(np.concatenate, (which, docs, ids, starts, rows))
-        least = np.full(len(contents), MAX_ID)
-        np.minimum.at(least, which, ids)
-        owner = np.array(owner, np.uint64)
-        texts = list(contents)
-        size = np.array([c.count(b" ") + 1 if method.words else len(c) for c in texts]) - method.window + 1
-        # an anchor with one content needs no comparison: its windows have the content's smallest id
-        order, edge = _groups(owner)
-        several = np.repeat(np.diff(edge), np.diff(edge)) > 1
-        mixed_ones = np.sort(order[several])
-        low, high = least.copy(), least.copy()
-        found: dict[int, np.ndarray] = {}
-        if len(mixed_ones):
-            answers = method.resolve([texts[i] for i in mixed_ones.tolist()], owner[mixed_ones], least[mixed_ones], method.window)
-            for i, g in zip(mixed_ones.tolist(), answers, strict=True):
-                found[i], low[i], high[i] = g, g.min(), g.max()
-        whole = ids > high[which]
-        key = rows * (1 << 32) + docs
-        spans = [(key[whole], starts[whole], (starts + size[which] + method.window - 1)[whole])]
-        for j in np.flatnonzero(~whole & (ids > low[which])).tolist():
-            covered = found[which[j]] < ids[j]
-            edge = np.flatnonzero(np.diff(covered.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-            spans.append((np.full(len(edge) // 2, key[j]), starts[j] + edge[::2], starts[j] + edge[1::2] + method.window - 1))
-        key, lo, hi = _merged(*(np.concatenate([s[i] for s in spans]) for i in range(3)))
-        out = []
-        for r, s, e in zip(*_bounds(key >> 32), strict=True):
-            out.append((t["block"][int(r)].as_py(), planes((key[s:e] & 0xFFFFFFFF).astype(np.int32)), planes(lo[s:e]), planes(hi[s:e])))
-        names = ["to", "docs", "lows", "highs"]
-        return pa.table([pa.array([x[i] for x in out], pa.binary() if i else pa.int64()) for i in range(4)], names=names)
+            which.append(own)
+            at.append(from_planes(t["at"][r].as_py(), np.int32))
+            least.append(from_planes(t["least"][r].as_py(), np.int64))
+            most.append(from_planes(t["most"][r].as_py(), np.int64))
+            rows.append(np.full(len(own), r))
+        if which:
+            which, at, first, most, rows = map(np.concatenate, (which, at, least, most, rows))
+            least = np.full(len(contents), MAX_ID)
+            np.minimum.at(least, which, first)
+            owner = np.array(owner, np.uint64)
+            texts = list(contents)
+            size = np.array([c.count(b" ") + 1 if method.words else len(c) for c in texts]) - method.window + 1
+            # an anchor with one content needs no comparison: its windows have the content's smallest id
+            order, edge = _groups(owner)
+            mixed_ones = np.sort(order[np.repeat(np.diff(edge), np.diff(edge)) > 1])
+            runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            low = least.copy()
+            if len(mixed_ones):
+                answers = method.resolve([texts[i] for i in mixed_ones.tolist()], owner[mixed_ones], least[mixed_ones], method.window)
+                for i, g in zip(mixed_ones.tolist(), answers, strict=True):
+                    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                    runs[i], low[i] = (start, g[start]), g.min()
+            for r, s, e in zip(*_bounds(rows), strict=True):
+                some = s + np.flatnonzero(low[which[s:e]] < most[s:e])
+                if not len(some):
+                    continue
+                parts = [runs.get(k, (_FIRST, least[k : k + 1])) for k in which[some].tolist()]
+                many = np.array([len(p[0]) for p in parts])
+                starts = np.concatenate([p[0] for p in parts])
+                end = np.append(starts[1:], 0)
+                end[np.cumsum(many) - 1] = size[which[some]]
+                out.append((t["block"][int(r)].as_py(), 1, planes(np.repeat(at[some], many)), planes((end - starts).astype(np.int32)), planes(starts.astype(np.int32)), planes(np.concatenate([p[1] for p in parts]))))
+        return pa.table([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
 
+_FIRST = np.zeros(1, np.int64)
+
+
 def _bounds(sorted_keys: np.ndarray):
     edge = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1], [True]])) if len(sorted_keys) else np.zeros(1, np.int64)
     return sorted_keys[edge[:-1]], edge[:-1], edge[1:]
 
 
+def _covered(b: Block, window: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of a block's documents (document, from, to) that windows of smaller documents cover."""
+    kinds = answers["kind"].to_pylist()
+    pick = lambda kind, column, dtype: np.concatenate([np.zeros(0, dtype), *(from_planes(answers[column][i].as_py(), dtype) for i, k in enumerate(kinds) if k == kind)])
+    at, windows, starts, ids = pick(1, "at", np.int32), pick(1, "windows", np.int32), pick(1, "starts", np.int32), pick(1, "ids", np.int64)
+    first, other = pick(0, "at", np.int32), pick(0, "starts", np.int32)
+    # a content's runs hold at its other places too
+    order = np.argsort(at, kind="stable")
+    low, high = np.searchsorted(at[order], first), np.searchsorted(at[order], first, "right")
+    again = order[np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange((high - low).sum())] if len(first) else np.zeros(0, np.int64)
+    at = np.concatenate([at, np.repeat(other, high - low)]).astype(np.int64)
+    run = np.concatenate([np.arange(len(windows)), again])
+    doc = b.doc_of(at)
+    gone = ids[run] < b.ids[doc]
+    doc, run, at = doc[gone], run[gone], at[gone]
+    start = at - b.first[doc] + starts[run]
+    return _merged(doc, start, start + windows[run] + window - 1)
+
+
 def _cut(method: Method, schema: pa.Schema):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(t["id"].combine_chunks(), t["bytes"].combine_chunks(), method.words)
-        if answers.num_rows:
-            doc, low, high = (np.concatenate([from_planes(x, k) for x in answers[c].to_pylist()]) for c, k in (("docs", np.int32), ("lows", np.int64), ("highs", np.int64)))
-            doc, low, high = _merged(doc.astype(np.int64), low, high)
-        else:
-            doc = low = high = np.zeros(0, np.int64)
+        doc, low, high = _covered(b, method.window, answers)
         edge = np.searchsorted(doc, np.arange(len(b.ids) + 1))
         texts, sizes, removed, spans = ([None] * len(b.ids) for _ in range(4))
         for place, row in enumerate(b.order):
@@ -323,6 +362,6 @@ def remove_passages(docs: DataFrame, method: Method, block_bytes: int = BLOCK_BY
     sent = by_block.applyInArrow(trimmed(_send_anchors(method, buckets)), _SENT)
     shared = sent.groupBy("bucket").applyInArrow(trimmed(_shared_anchors), "to long, shared binary")
     slices = by_block.cogroup(shared.groupBy("to")).applyInArrow(trimmed(_send_slices(method, buckets)), _SLICES)
-    spans = slices.groupBy("bucket").applyInArrow(trimmed(_covered_spans(method)), "to long, docs binary, lows binary, highs binary")
+    answers = slices.groupBy("bucket").applyInArrow(trimmed(_smallest_documents(method)), _ANSWERS)
     ddl = rows.select("row").schema.add("kept", "binary").add("n_symbols", "long").add("n_removed", "long").add("spans", SPANS)
-    return by_block.cogroup(spans.groupBy("to")).applyInArrow(trimmed(_cut(method, to_arrow_schema(ddl))), ddl)
+    return by_block.cogroup(answers.groupBy("to")).applyInArrow(trimmed(_cut(method, to_arrow_schema(ddl))), ddl)
