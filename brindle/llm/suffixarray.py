@@ -1,9 +1,12 @@
 """Suffix-array dedup on bytes: induced sorting of shard arrays and permuted common prefixes.
 
 Shards hold the passages that two documents share (see passages.py). A shard's passages are
-joined by separators; its suffix array is induced bucket by bucket, whole buckets at a time
-in array operations. The permuted common prefixes, held at the window's length, split the
-array into runs of suffixes that begin with the same window.
+joined by separators. Its suffixes are classified; the leftmost-smaller substrings are sorted
+by induction, named, and, where names repeat, sorted by the same procedure on the shorter
+string of names, down to distinct names; their order then induces that of all suffixes.
+Names and common prefixes are compared symbol by symbol, never by hashes. The permuted common
+prefixes, held at the window's length, split the array into runs of suffixes that begin with
+the same window.
 """
 
 from __future__ import annotations
@@ -13,28 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import Method, remove_passages
-from .textscan import mixed
-
-#: Above so many distinct symbols, ranks are doubled instead of induced: one bucket at a time no longer pays.
-MOST_BUCKETS = 1024
-
-
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling."""
-    n, width = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].ravel().astype(np.int64)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == n - 1 or width >= n:
-            return order
+
+#: Up to so many distinct symbols, a bucket is induced at a time in array operations; with more,
+#: as strings of names have, buckets are too small for that and positions go one by one.
+ARRAY_BUCKETS = 1024
 
 
 def _spread(lists: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> None:
@@ -46,12 +31,8 @@ def _spread(lists: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray)
         lists[symbols[s]].append(at[s:e])
 
 
-def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols: int) -> np.ndarray:
-    """The order of all suffixes from that of the leftmost-smaller ones (`smaller`: S-type).
-
-    Buckets are met in order. What a bucket induces into itself is met in further rounds.
-    """
-    none = np.zeros(0, np.int64)
+def _induce_by_bucket(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols: int) -> np.ndarray:
+    """As _induce, whole buckets at a time. What a bucket induces into itself is met in further rounds."""
     seeded: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
     _spread(seeded, seeds, s[seeds])
     large: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
@@ -89,7 +70,64 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols: in
         parts += large[c]
         if small[c]:
             parts.append(np.concatenate(small[c])[::-1])
-    return np.concatenate(parts) if parts else none
+    return np.concatenate(parts)
+
+
+def _induce_by_position(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols: int) -> np.ndarray:
+    """As _induce, one position after the other."""
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n_symbols))])
+    order = np.zeros(len(s), np.int64)  # a free place looks like position 0, which nothing comes before
+    # seeds stand at the ends of their buckets, in their own order
+    symbols = s[seeds]
+    by_symbol = np.argsort(symbols, kind="stable")
+    of = symbols[by_symbol]
+    last = np.searchsorted(of, of, "right")
+    order[bounds[of + 1] - (last - np.arange(len(of)))] = seeds[by_symbol]
+    order[0] = len(s) - 1  # the sentinel
+    placed = order.tolist()
+    # the bucket that each position sends the one before it to, in either pass
+    before = np.concatenate([[-1], s[:-1]])
+    is_small = np.concatenate([[False], smaller[:-1]])
+    to, next_ = np.where(is_small, -1, before).tolist(), bounds[:-1].tolist()
+    for at in placed:  # what is placed comes behind the loop's own place
+        c = to[at]
+        if c >= 0:
+            place = next_[c]
+            placed[place] = at - 1
+            next_[c] = place + 1
+    to, next_ = np.where(is_small, before, -1).tolist(), bounds[1:].tolist()
+    for at in reversed(placed):
+        c = to[at]
+        if c >= 0:
+            next_[c] = place = next_[c] - 1
+            placed[place] = at - 1
+    return np.array(placed, np.int64)
+
+
+def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols: int) -> np.ndarray:
+    """The order of all suffixes from that of the leftmost-smaller ones (`smaller`: S-type).
+
+    The last symbol is a sentinel, smaller than all others. From the left, buckets of first
+    symbols take in the larger suffixes before what they hold; from the right, the smaller ones.
+    """
+    by = _induce_by_bucket if n_symbols <= ARRAY_BUCKETS else _induce_by_position
+    return by(s, smaller, seeds, n_symbols)
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all spans, one after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def _names(s: np.ndarray, smaller: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Names, from 1, of substrings that come in order: equal ones, in symbols and types, are neighbours."""
+    same = lengths[1:] == lengths[:-1]
+    pair = np.flatnonzero(same)
+    a, b, n = _spans(starts[pair], lengths[pair]), _spans(starts[pair + 1], lengths[pair]), lengths[pair]
+    differs = np.concatenate([[0], np.cumsum((s[a] != s[b]) | (smaller[a] != smaller[b]))])
+    edge = np.concatenate([[0], np.cumsum(n)])
+    same[pair] = differs[edge[1:]] == differs[edge[:-1]]
+    return np.concatenate([[1], 1 + np.cumsum(~same)])
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -99,8 +137,6 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return np.arange(n)
     s = np.append(s.astype(np.int64), 0)  # the sentinel
     n_symbols = int(s.max()) + 1
-    if n_symbols > MOST_BUCKETS:
-        return _doubled(s[:-1])
     # S-type: smaller than the suffix to the right; equal symbols follow their right neighbour
     differs = np.flatnonzero(s[1:] != s[:-1])
     rises = s[differs + 1] > s[differs]
@@ -111,56 +147,50 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     is_mark = np.zeros(n + 1, bool)
     is_mark[marks] = True
     ordered = order[is_mark[order]]
-    # name the leftmost-smaller substrings: equal ones, up to the next mark, have equal hashes and lengths
-    ends = np.append(marks[1:], n)
-    sums = np.zeros(n + 2, np.uint64)
-    powers = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    inverse = np.full(n + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    np.cumsum((s + 1).astype(np.uint64) * powers, out=sums[1:])
-    code = mixed((sums[ends + 1] - sums[marks]) * inverse[marks] + (ends - marks).astype(np.uint64))
     place = np.empty(n + 1, np.int64)
     place[marks] = np.arange(len(marks))
-    code = code[place[ordered]]
+    ends = np.append(marks[1:], n)  # a substring goes up to and with the next mark
+    at = place[ordered]
     name = np.empty(len(marks), np.int64)
-    name[place[ordered]] = np.concatenate([[1], 1 + np.cumsum(code[1:] != code[:-1])])
-    if name.max() < len(marks):
-        reduced = suffix_array(name)
-    else:
-        reduced = np.argsort(name, kind="stable")
+    name[at] = _names(s, smaller, ordered, ends[at] - ordered + 1)
+    # strings of names get shorter by half at least
+    reduced = suffix_array(name) if name.max(initial=0) < len(marks) else np.argsort(name, kind="stable")
     return _induce(s, smaller, marks[reduced], n_symbols)[1:]
 
 
 def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each position, the common prefix with the suffix before it in the array, at most `most`.
 
-    By hashes of halved lengths, so that all positions go at once; the hashes of `most`
-    symbols are joined from shorter ones.
+    Several symbols are packed into one number, as many as its bits hold, so that all positions
+    take a stride at a time; the last strides are shorter.
     """
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    sizes = [1]
-    while sizes[-1] * 2 <= most:
-        sizes.append(sizes[-1] * 2)
-    hashes = [mixed(s.astype(np.uint64) + np.uint64(1))]
-    for size in sizes[1:]:
-        h = hashes[-1]
+    bits = max(1, int(s.max(initial=0)).bit_length())
+    packed, sizes = [s.astype(np.uint64)], [1]
+    while 2 * sizes[-1] * bits <= 64 and 2 * sizes[-1] <= most:
+        size, h = sizes[-1], packed[-1]
         right = np.zeros(n, np.uint64)
-        right[: max(0, n - size // 2)] = h[size // 2 :]
-        hashes.append(mixed(h * np.uint64(0x9E3779B97F4A7C15) + right))
+        right[: max(0, n - size)] = h[size:]
+        packed.append((h << np.uint64(size * bits)) | right)
+        sizes.append(2 * size)
     at, out = np.flatnonzero(before >= 0), np.zeros(n, np.int64)
     length, left, right = np.zeros(len(at), np.int64), at, before[at]
-    for size, h in zip(reversed(sizes), reversed(hashes), strict=True):
-        for _ in range(2):  # a second step, as `most` may be less than twice the largest size
-            i, j = left + length, right + length
-            fits = (i + size <= n) & (j + size <= n)
+    open_ = np.arange(len(at))
+    for size, h in zip(reversed(sizes), reversed(packed), strict=True):
+        # full strides go on while all symbols agree; each shorter one is tried once
+        for _ in range(most // size if size == sizes[-1] else 1):
+            i, j = left[open_] + length[open_], right[open_] + length[open_]
+            fits = (i + size <= n) & (j + size <= n) & (length[open_] + size <= most)
             same = fits & (h[np.minimum(i, n - 1)] == h[np.minimum(j, n - 1)])
-            length = length + size * same
-    out[at] = np.minimum(length, most)
+            length[open_[same]] += size
+            if size == sizes[-1]:
+                open_ = open_[same]
+                if not len(open_):
+                    break
+        open_ = np.arange(len(at))
+    out[at] = length
     return out
 
 
