@@ -1,26 +1,34 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Vectors are dealt to shards of bounded size by a hash of their id. A shard's graph is built
-at once from exact neighbour lists of its layers, pruned by the usual diversity rule, and
-stored as flat arrays. Query blocks meet every shard; all queries of a block walk a shard's
-graph in step. The shards' best are merged by distance.
+layer by layer from exact neighbour lists, pruned by the usual diversity rule, and stored as
+flat arrays. Lists of nearest neighbours alone fall apart on grouped vectors; so every node is
+looked for by a walk from the nearest node of the layer above, and what walks don't find sends a
+node up, until all are found. Query blocks stream past every shard; all queries of a block
+walk its graph in step. The shards' best are merged by distance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, trimmed
 
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
 LINKS = 16
 CANDIDATES = 48
-BEAM = 128
-#: Up to so many shards their list (16 bytes each) is broadcast to the queries.
+#: Nodes kept while walking: the lowest layer, and those above.
+BEAM, BEAM_ABOVE = 128, 64
+#: Nodes kept on the walks that tell what a graph finds.
+BEAM_CHECK = 8
+#: Up to so many shards their list (16 bytes each) is broadcast to the query blocks.
 BROADCAST_SHARDS = 100_000
 
 
@@ -87,6 +95,18 @@ def _with_reverse(forward: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def _lost(x: np.ndarray, graph: np.ndarray, above: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """The nodes of those sought that a walk from the nearest node above doesn't find."""
+    out, rows = [], np.arange(len(x))
+    sq = (x[above] ** 2).sum(1)
+    for at in range(0, len(sought), 512):
+        own = sought[at : at + 512]
+        entry = above[(sq - 2 * (x[own] @ x[above].T)).argmin(1)]
+        found, _ = _walk(x[own], x, graph, np.append(rows, -1), entry[:, None], BEAM_CHECK)
+        out.append(own[(found != own[:, None]).all(1)])
+    return np.concatenate(out)
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id").reset_index(drop=True)
     ids = pdf["vec_id"].to_numpy(np.int64)
@@ -96,18 +116,28 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(inverse, kind="stable")
     starts = np.searchsorted(inverse[order], np.arange(len(vectors) + 1))
     level = _levels(ids[order][starts[:-1]])
-    top = int(level.max())
-    x, names, links = vectors.astype(np.float32), [], []
-    for k in range(top + 1):
-        nodes = np.flatnonzero(level >= k)
+    x, names, links = vectors / np.abs(vectors).max(), [], []  # so that no square overflows
+    nodes, k = np.arange(len(x)), 0
+    while True:
         graph = _with_reverse(_layer(x[nodes], LINKS), 2 * LINKS)
         links.append(np.where(graph >= 0, nodes[graph], -1).astype(np.int32))
         names.append(nodes.astype(np.int32))
-    row = {"shard": int(pdf["shard"].iloc[0]), "dim": vectors.shape[1], "ids": ids[order].tobytes(), "starts": starts.astype(np.int64).tobytes(), "vectors": vectors.tobytes(), "layer_sizes": [len(n) for n in names], "nodes": np.concatenate(names).tobytes(), "neighbours": np.concatenate(links).tobytes()}
+        lost = np.arange(len(nodes))
+        while len(lost):
+            up = np.flatnonzero(level[nodes] > k)
+            if len(up):
+                lost = _lost(x[nodes], graph, up, lost)
+            lost = lost[level[nodes[lost]] <= k]
+            level[nodes[lost[:1]]] = k + 1
+        above = nodes[level[nodes] > k]
+        if len(above) in (1, len(nodes)):  # one entry is enough; where no node links to another all are entries
+            break
+        nodes, k = above, k + 1
+    row = {"shard": int(pdf["shard"].iloc[0]), "dim": vectors.shape[1], "ids": ids[order].tobytes(), "starts": starts.astype(np.int64).tobytes(), "vectors": vectors.tobytes(), "layer_sizes": [len(n) for n in names], "entries": above.astype(np.int32).tobytes(), "nodes": np.concatenate(names).tobytes(), "neighbours": np.concatenate(links).tobytes()}
     return pd.DataFrame([row])
 
 
-INDEX = "shard long, dim int, ids binary, starts binary, vectors binary, layer_sizes array<int>, nodes binary, neighbours binary"
+INDEX = "shard long, dim int, ids binary, starts binary, vectors binary, layer_sizes array<int>, entries binary, nodes binary, neighbours binary"
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -129,7 +159,7 @@ def _walk(q: np.ndarray, x: np.ndarray, links: np.ndarray, row_of: np.ndarray, s
     n, qs = len(x), np.arange(len(q))
     seen = np.zeros((len(q), n + 1), bool)
     ids = np.full((len(q), beam), n, np.int64)
-    dist = np.full((len(q), beam), np.inf, np.float32)
+    dist = np.full((len(q), beam), np.inf)
     done = np.zeros((len(q), beam), bool)
     for j in range(start.shape[1]):
         node = start[:, j]
@@ -150,7 +180,7 @@ def _walk(q: np.ndarray, x: np.ndarray, links: np.ndarray, row_of: np.ndarray, s
         fresh = ~seen[live[:, None], near] & (near < n)
         seen[live[:, None], near] = True
         diff = x[np.minimum(near, n - 1)] - q[live, None]
-        d = np.where(fresh, np.einsum("qkd,qkd->qk", diff, diff), np.inf).astype(np.float32)
+        d = np.where(fresh, np.einsum("qkd,qkd->qk", diff, diff), np.inf)
         all_d = np.concatenate([dist[live], d], 1)
         part = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
         dist[live] = np.take_along_axis(all_d, part, 1)
@@ -158,61 +188,103 @@ def _walk(q: np.ndarray, x: np.ndarray, links: np.ndarray, row_of: np.ndarray, s
         done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros(d.shape, bool)], 1), part, 1)
 
 
-def _searcher(k: int, beam: int):
-    def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(index) or not len(queries):
-            return empty
-        row = index.iloc[0]
-        ids, starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
-        exact = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-        x, n = exact.astype(np.float32), len(exact)
-        sizes = [int(s) for s in row["layer_sizes"]]
-        nodes = np.split(np.frombuffer(row["nodes"], np.int32), np.cumsum(sizes)[:-1])
-        links = np.split(np.frombuffer(row["neighbours"], np.int32).reshape(-1, 2 * LINKS), np.cumsum(sizes)[:-1])
-        query_ids = queries["vec_id"].to_numpy(np.int64)
-        q64 = np.array(queries["embedding"].tolist(), np.float64)
-        q = q64.astype(np.float32)
-        start = np.full((len(q), 1), int(nodes[-1][0]), np.int64)
-        for layer in range(len(sizes) - 1, -1, -1):
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; differences whose squares leave its range are scaled first."""
+    diff = np.abs(x - q)
+    out = np.sqrt((diff**2).sum(1))
+    top = diff.max(1, initial=0)
+    odd = np.flatnonzero(~np.isfinite(out) | ((out < 1e-140) & (top > 0)))
+    out[odd] = top[odd] * np.sqrt(((diff[odd] / top[odd, None]) ** 2).sum(1))
+    return out
+
+
+class Shard:
+    """A shard's graph as flat arrays, ready for walks."""
+
+    def __init__(self, row: dict):
+        self.ids, self.starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+        self.scale = float(np.abs(self.vectors).max())
+        self.x = self.vectors / self.scale
+        cuts = np.cumsum(row["layer_sizes"])[:-1]
+        self.nodes = np.split(np.frombuffer(row["nodes"], np.int32), cuts)
+        self.links = np.split(np.frombuffer(row["neighbours"], np.int32).reshape(-1, 2 * LINKS), cuts)
+        self.entries = np.frombuffer(row["entries"], np.int32).astype(np.int64)
+
+    def nearest(self, names: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
+        """(query, vector id, distance) of the k nearest found of each query, but for its own id."""
+        n = len(self.x)
+        # far outside the shard all directions are alike, so a query's reach is held where squares are safe
+        q = np.clip(queries / self.scale, -1e150, 1e150)
+        start = np.tile(self.entries, (len(q), 1))
+        for layer in range(len(self.nodes) - 1, -1, -1):
             row_of = np.full(n + 1, -1, np.int64)
-            row_of[nodes[layer]] = np.arange(sizes[layer])
-            found, dist = _walk(q, x, links[layer], row_of, start, beam if layer == 0 else 4)
-            start = found if layer else start
+            row_of[self.nodes[layer]] = np.arange(len(self.nodes[layer]))
+            wide = max(beam if layer == 0 else BEAM_ABOVE, start.shape[1])
+            start, _ = _walk(q, self.x, self.links[layer], row_of, start, wide)
         out = []
-        for i, (name, got) in enumerate(zip(query_ids.tolist(), found, strict=True)):
+        for name, query, got in zip(names.tolist(), queries, start, strict=True):
             got = got[got < n]
-            score = np.sqrt(((exact[got] - q64[i]) ** 2).sum(1))
-            order = np.argsort(score, kind="stable")
+            score = _distances(self.vectors[got], query)
             rows, held = [], 0
-            for j in order.tolist():
+            for j in np.argsort(score, kind="stable").tolist():
                 if held >= k and score[j] > rows[-1][0]:
                     break
-                mine = [v for v in ids[starts[got[j]] : starts[got[j] + 1]][: k + 1].tolist() if v != name]
-                rows += [(score[j], v) for v in mine]
+                mine = [v for v in self.ids[self.starts[got[j]] : self.starts[got[j] + 1]][: k + 1].tolist() if v != name]
+                rows += [(float(score[j]), v) for v in mine]
                 held += len(mine)
             out += [(name, v, s) for s, v in sorted(rows)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
+        return out
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _searcher(k: int, beam: int):
+    """Rows come sorted by shard, each shard's graph before the query blocks that visit it."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = at = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["graph"] is not None:
+                    shard, at = Shard(row["graph"]), row["shard"]
+                elif at == row["shard"]:
+                    names = np.frombuffer(row["names"], np.int64)
+                    found = shard.nearest(names, np.frombuffer(row["queries"], np.float64).reshape(len(names), -1), k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t.type) for c, t in enumerate(_FOUND)], schema=_FOUND)
 
     return search
 
 
+def _blocks(t: pa.Table) -> pa.Table:
+    names = t["vec_id"].to_numpy()
+    order = np.argsort(names, kind="stable")
+    vectors = np.array(t["embedding"].to_pylist(), np.float64)[order]
+    return pa.table({"dim": pa.array([vectors.shape[1]], pa.int32()), "names": pa.array([names[order].tobytes()], pa.binary()), "queries": pa.array([vectors.tobytes()], pa.binary())})
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k nearest found of each query's own id and vector, by Euclidean distance.
 
     Returns query_id, rank (from 1), vec_id, score (the distance in double precision), with
     ties in order of vec_id. A row with the query's own id is never its neighbour. Unusable
     queries give no rows; a vec_id that repeats is asked once, with its smallest vector.
+    Finite components of any size are compared.
     """
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     asked = checkpointed(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
     index = checkpointed(index)
     blocks = max(1, -(-asked.count() // query_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    # each block of the stated queries visits each shard
-    shards = index.select(F.col("shard").alias("to"), F.col("dim").alias("d"))
-    visits = asked.join(F.broadcast(shards) if shards.count() <= BROADCAST_SHARDS else shards, F.col("dim") == F.col("d"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = held.groupBy("shard", "block").cogroup(visits.select("vec_id", "embedding", "to", F.col("block").alias("of")).groupBy("to", "of")).applyInPandas(_searcher(k, beam), "query_id long, vec_id long, score double")
+    asked = asked.withColumn("block", F.struct("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("turn")))
+    packed = checkpointed(asked.groupBy("block").applyInArrow(trimmed(_blocks), "dim int, names binary, queries binary"))
+    # each block of the stated queries visits each shard of its dimension
+    shards = index.select("shard", F.col("dim").alias("d"))
+    few = shards.count()
+    visits = packed.join(F.broadcast(shards) if few <= BROADCAST_SHARDS else shards, F.col("dim") == F.col("d")).select("shard", F.lit(1).alias("turn"), F.lit(None).cast(index.drop("shard").select(F.struct("*").alias("g")).schema["g"].dataType).alias("graph"), "names", "queries")
+    graphs = index.select("shard", F.lit(0).alias("turn"), F.struct(*(c for c in index.columns if c != "shard")).alias("graph"), F.lit(None).cast("binary").alias("names"), F.lit(None).cast("binary").alias("queries"))
+    met = graphs.unionByName(visits).repartition(max(1, few), "shard").sortWithinPartitions("shard", "turn")
+    found = met.mapInArrow(_searcher(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
