@@ -3,7 +3,10 @@
 Equal vectors are folded first. Each distinct vector is projected to eight random
 directions per table and decoded to the nearest point of the E8 lattice; a vector is kept
 at its own cell and asks the neighbouring cells that its remainder leans to. Vectors that
-meet in a cell are compared by cosine in double precision, in blocks, inside the task.
+meet in a cell are compared by cosine in double precision, in blocks, inside the task. Every vector
+carries the list of all its cells, so a pair is counted where it meets first and nowhere else. A task gives
+back what each of its vectors counts, and a link that ties it to its group: as many rows as it
+holds vectors, however many pairs there are.
 """
 
 from __future__ import annotations
@@ -79,13 +82,13 @@ def _cells(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) ->
 
 
 def _hasher(tables: int, probes: int, scale: float, seed: int, kind: str):
-    """A row for each table and cell that a vector is kept at or asks."""
-    names = ["cell", "probe", "id", "label", "own", "tab", "vector"]
+    """A row for each table and cell that a vector is kept at or asks, with the list of all of them."""
+    names = ["cell", "probe", "id", "label", "n", "tab", "cells", "vector"]
 
     def run(batches):
         for b in pieces_of(batches, 256):
-            offsets = np.asarray(b.column(2).offsets)
-            values = np.asarray(b.column(2).flatten(), np.float64)
+            offsets = np.asarray(b.column(3).offsets)
+            values = np.asarray(b.column(3).flatten(), np.float64)
             lengths = np.diff(offsets)
             for dim in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == dim)
@@ -96,16 +99,16 @@ def _hasher(tables: int, probes: int, scale: float, seed: int, kind: str):
                 cells = np.concatenate([own[:, :, None], near], 2) ^ mixed(salt.astype(np.uint64)).view(np.int64)
                 n, each = len(rows), 1 + probes
                 at = np.repeat(np.arange(n), tables * each)
-                columns = [cells.ravel(), np.tile(np.arange(each) > 0, n * tables), np.asarray(b.column(0))[rows][at], labels[at]]
-                owns = pa.array(list(map(bytes, own.view(np.uint8).reshape(n, -1))), pa.binary())
-                vectors = pa.array(list(map(bytes, x.astype(kind).view(np.uint8).reshape(n, -1))), pa.binary())
+                lists = pa.array([c.tobytes() for c in cells], pa.binary())
+                vectors = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                 tab = np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), owns.take(pa.array(at)), pa.array(tab), vectors.take(pa.array(at))], names)
+                columns = [cells.ravel(), np.tile(np.arange(each) > 0, n * tables), np.asarray(b.column(0))[rows][at], labels[at], np.asarray(b.column(2))[rows][at], tab]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists.take(pa.array(at)), vectors.take(pa.array(at))], names)
 
     return run
 
 
-ROWS = "cell long, probe boolean, id long, label long, own binary, tab int, vector binary"
+ROWS = "cell long, probe boolean, id long, label long, n long, tab int, cells binary, vector binary"
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -113,36 +116,60 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _comparer(threshold: float, kind: str):
-    """Links of a bucket's cells: vectors kept in a cell with each other and with those that
-    ask it. A pair whose own cells agree in an earlier table was compared there."""
+def _first_met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs' cell lists (pairs, tables, own cell and those asked): the first table where they
+    meet, and whether there a asks b's own cell and b asks a's."""
+    asks_b, asks_a = (a[:, :, 1:] == b[:, :, :1]).any(2), (b[:, :, 1:] == a[:, :, :1]).any(2)
+    first = ((a[:, :, 0] == b[:, :, 0]) | asks_b | asks_a).argmax(1)
+    rows = np.arange(len(a))
+    return first, asks_b[rows, first], asks_a[rows, first]
+
+
+def _tie(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of a and b: top leads every place to the smallest of its group."""
+    while True:
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        if (low == high).all():
+            return
+        np.minimum.at(top, high, low)
+        while (top[top] != top).any():
+            top[:] = top[top]
+
+
+def _comparer(threshold: float, kind: str, tables: int):
+    """Of a bucket's cells: vectors kept in a cell with each other and with those that ask it."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "bin"], kind="stable").reset_index(drop=True)
-        cell, bins = pdf["cell"].to_numpy(np.int64), pdf["bin"].to_numpy(np.int64)
-        ids, labels, tabs = (pdf[c].to_numpy(np.int64) for c in ("id", "label", "tab"))
+        pdf = pdf.assign(bytes=pdf["vector"].str.len()).sort_values(["cell", "bin", "bytes"], kind="stable").reset_index(drop=True)
+        ids, place = np.unique(pdf["id"].to_numpy(np.int64), return_inverse=True)
+        labels, weight, tabs = (pdf[c].to_numpy(np.int64) for c in ("label", "n", "tab"))
         asks, away = pdf["probe"].to_numpy(bool), pdf["part"].to_numpy(np.int64) != 0
-        sizes = pdf["vector"].str.len().to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (bins[1:] != bins[:-1]), [True]]))
-        out = []
+        key = pdf[["cell", "bin", "bytes"]].to_numpy(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
+        links, top = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if high - low < 2:
-                continue
             base = low + np.flatnonzero(~asks[low:high] & ~away[low:high])
-            if not len(base) or (sizes[low:high] != sizes[low]).any():
+            if high - low < 2 or not len(base):
                 continue
             x = _units(np.frombuffer(b"".join(pdf["vector"].iloc[low:high]), kind).reshape(high - low, -1).astype(np.float64))
-            own = np.frombuffer(b"".join(pdf["own"].iloc[low:high]), np.int64).reshape(high - low, -1)[:, : tabs[low]]
-            for at in range(0, len(base), 512):
-                rows = base[at : at + 512]
+            cells = np.frombuffer(b"".join(pdf["cells"].iloc[low:high]), np.int64).reshape(high - low, tables, -1)
+            for at in range(0, len(base), 256):
+                rows = base[at : at + 256]
                 i, j = np.nonzero(x[rows - low] @ x.T >= threshold)
                 a, b = rows[i], low + j
-                ok = (labels[a] == labels[b]) & (ids[a] != ids[b]) & (asks[b] | (ids[a] < ids[b]))
+                ok = (labels[a] == labels[b]) & (place[a] != place[b]) & (asks[b] | (place[a] < place[b]))
                 a, b = a[ok], b[ok]
-                new = ~(own[a - low] == own[b - low]).any(1)
-                out.append(np.stack([ids[a[new]], ids[b[new]]], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}).drop_duplicates()
+                for part in range(0, len(a), 1 << 16):
+                    p, q = a[part : part + (1 << 16)], b[part : part + (1 << 16)]
+                    first, asks_q, _ = _first_met(cells[p - low], cells[q - low])
+                    # two that ask each other's cell meet in both: it counts where the smaller is kept
+                    once = (first == tabs[low]) & ~(asks[q] & asks_q & (place[q] < place[p]))
+                    p, q = p[once], q[once]
+                    np.add.at(links, place[p], weight[q])
+                    np.add.at(links, place[q], weight[p])
+                    _tie(top, place[p], place[q])
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"a": ids[some], "b": ids[top[some]], "links": links[some]})
 
     return compare
 
@@ -160,9 +187,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    classes = checkpointed(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    # each distinct vector of a label is a node of its own, whatever ids its rows have
+    classes = checkpointed(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    hashed = classes.select("id", "label", "embedding").mapInArrow(_hasher(tables, probes, scale, seed, kind), ROWS)
+    hashed = classes.select("id", "label", "n", "embedding").mapInArrow(_hasher(tables, probes, scale, seed, kind), ROWS)
     buckets = max(32, classes.count() * tables * (1 + probes) // BUCKET_ROWS)
     # A cell of more than CELL_ROWS vectors: its kept ones are dealt to parts, and every other row visits each part.
     sizes = hashed.where(~F.col("probe")).groupBy("cell").count().where(F.col("count") > CELL_ROWS)
@@ -174,12 +202,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
         mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         held = held.withColumn("mine", mine).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         placed = held.withColumn("part", F.when(F.col("probe") | (F.col("bin") == F.col("mine")), 0).otherwise(1)).drop("parts", "mine")
-    links = checkpointed(placed.withColumn("bucket", F.pmod(F.xxhash64("cell", "bin"), F.lit(buckets))).groupBy("bucket").applyInPandas(_comparer(threshold, kind), "a long, b long").distinct())
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(classes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").groupBy("a").agg(F.sum("nb").alias("near"))
-    of_class = components(links)
-    known = classes.join(counts.withColumnRenamed("a", "id"), "id", "left").join(of_class.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    met = checkpointed(placed.withColumn("bucket", F.pmod(F.xxhash64("cell", "bin"), F.lit(buckets))).groupBy("bucket").applyInPandas(_comparer(threshold, kind, tables), "a long, b long, links long"))
+    counts = met.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("near"))
+    known = checkpointed(classes.join(counts, "id", "left").join(components(met.select("a", "b")).withColumnRenamed("node", "id"), "id", "left"))
+    leaders = known.where("component is not null").groupBy("component").agg(F.min("least").alias("leader"))
+    known = known.join(leaders, "component", "left").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("leader", "least").alias("component_id"))
     out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
