@@ -2,10 +2,12 @@
 
 Each source's documents are dealt into blocks. A source's target is so many whole passes
 over its blocks and a rest, drawn as a prefix of a random permutation of the blocks and
-ended document by document. The drawn blocks are the balls of an urn: a tree over the
+ended document by document. The drawn blocks are the balls of an urn: a tree over groups of
 output shards splits each source's block quota in two at every node by a multivariate
 hypergeometric draw, and a source's permuted blocks fill its quotas in order, so that the
-shards' blocks are disjoint. Inside a shard the documents are in random order.
+groups' blocks are disjoint. A group's blocks, permuted, are cut into its output shards, which is the same
+draw again. A document is taken once for every shard that its block is dealt to. Inside a
+shard the documents are in random order.
 
 Only block and source tables are moved, and the texts once if they are asked for.
 """
@@ -14,25 +16,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, unused
 
 WEIGHTS = (3, 1, 2)
 #: Words of a block at least, and blocks of the whole corpus at most (besides one a source).
 BLOCK_WORDS = 65_536
-MOST_BLOCKS = 1 << 18
-#: Blocks of an output shard, shards at most, and strata of sources that the tree on the driver splits.
+MOST_BLOCKS = 1 << 20
+#: Blocks of an output shard at most; leaves of the tree on the driver, and strata of sources that it splits.
 SHARD_BLOCKS = 8
-MOST_SHARDS = 4096
-STRATA = 1024
+LEAVES = 1024
+STRATA = 256
 #: Up to so many sources their table is broadcast; beyond, the join is left to the optimiser.
 BROADCAST_SOURCES = 10_000
-#: Blocks after the first that doesn't fit, in which documents that still fit are sought.
-MORE_BLOCKS = 3
-#: Up to so many drawn rows (about 30 bytes each) are broadcast to the texts; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Blocks of a source that are searched at a time for documents that fit what is left of its target.
+SEARCHED = 4
+#: Up to so many drawn rows (about 90 bytes each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
@@ -81,39 +83,81 @@ def split_quota(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return np.array(split(counts.astype(np.int64), 0, shards))
 
 
-def _stratum_filler(quotas: dict[int, list[int]], seed: int):
-    """Split a stratum's quota of each shard among its sources, and list the shards of each source's blocks."""
+def _stratum_filler(quotas: dict[int, np.ndarray], seed: int):
+    """Split a stratum's quota of each leaf among its sources, down the same tree, and list the leaves of each source's blocks."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
         stratum = int(pdf["stratum"].iloc[0])
-        rng = np.random.default_rng([seed, 7, stratum])
-        left, lists = pdf["units"].to_numpy(np.int64), [[] for _ in range(len(pdf))]
-        for shard, n in enumerate(quotas[stratum]):
-            if n:
-                drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
-                left = left - drawn
-                for i in np.flatnonzero(drawn).tolist():
-                    lists[i] += [shard] * int(drawn[i])
-        return pd.DataFrame({"rank": pdf["rank"], "shards": lists})
+        rng, quota = np.random.default_rng([seed, 7, stratum]), quotas[stratum]
+        upto, lists = np.concatenate([[0], np.cumsum(quota)]), [[] for _ in range(len(pdf))]
+
+        def split(left: np.ndarray, low: int, high: int) -> None:
+            if not left.any():
+                return
+            if high - low == 1:
+                for i in np.flatnonzero(left).tolist():
+                    lists[i] += [low] * int(left[i])
+                return
+            mid = (low + high) // 2
+            first = rng.multivariate_hypergeometric(left, int(upto[mid] - upto[low]), method="marginals")
+            split(first, low, mid)
+            split(left - first, mid, high)
+
+        split(pdf["units"].to_numpy(np.int64), 0, len(quota))
+        return pd.DataFrame({"rank": pdf["rank"], "leaves": lists})
 
     return fill
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of documents in permuted order, those that fit into what is left of the target, and
-    one more, the smallest, if that comes nearer."""
+    """Of some documents of a source, in permuted order, those that fit into what is left of its target
+    (their ties), and then one row without a tie: what is left now, the last place seen, and the
+    smallest document so far that wasn't taken."""
     pdf = pdf.sort_values(["place", "draw", "tie"]).reset_index(drop=True)
-    left, took, least = float(pdf["left"].iloc[0]), [], None
-    for i, n in enumerate(pdf["size"].tolist()):
+    head = pdf.iloc[0]
+    left, took, least = float(head["left"]), [], (head["least"], head["least_tie"])
+    for n, tie in zip(pdf["size"].tolist(), pdf["tie"].tolist(), strict=True):
         if n <= left:
             left -= n
-            took.append(i)
-        elif least is None or n < pdf["size"].iloc[least]:
-            least = i
-    if least is not None and pdf["size"].iloc[least] - left < left:
-        took.append(least)
-    return pdf.iloc[took][["tie"]].assign(picked=True)
+            took.append(tie)
+        elif n and not n >= least[0]:
+            least = (float(n), float(tie))
+    out = pd.DataFrame({"rank": int(head["rank"]), "tie": pd.array([*took, None], "Int64")})
+    return out.assign(left=left, seen=int(pdf["place"].max()), least=least[0], least_tie=pd.array([None if pd.isna(least[1]) else int(least[1])] * len(out), "Int64"))
+
+
+_FIT = "rank long, tie long, left double, seen long, least double, least_tie long"
+
+
+def _picked(rows: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """Ties of the documents that end the sources' targets, of blocks that aren't taken whole.
+
+    A round searches the next few blocks of each source that hold a document which still fits,
+    and rounds go on until none does. The smallest document met that didn't fit is taken too where
+    that comes nearer to the target.
+    """
+    part = blocks.where(~F.col("whole") & (F.col("rest") > 0))
+    sized = checkpointed(rows.join(part.select("rank", "block", "place"), ["rank", "block"]).select("rank", "place", F.xxhash64(F.lit(seed + 3), "doc_id", "size").alias("draw"), "tie", "size"))
+    smallest = checkpointed(sized.where("size > 0").groupBy("rank", "place").agg(F.min("size").alias("smallest")))
+    state = part.groupBy("rank").agg(F.min("left").cast("double").alias("left")).select("rank", "left", F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("long").alias("least_tie"))
+    taken = None
+    while True:
+        state = checkpointed(state)
+        open_ = smallest.join(state, "rank").where((F.col("place") > F.col("seen")) & (F.col("smallest") <= F.col("left")))
+        if taken is None:  # the first blocks, whether or not anything fits
+            open_ = smallest.join(state, "rank")
+        turn = F.row_number().over(Window.partitionBy("rank").orderBy("place"))
+        now = checkpointed(open_.withColumn("turn", turn).where(F.col("turn") <= SEARCHED).drop("turn", "smallest", "seen"))
+        if now.isEmpty():
+            break
+        got = checkpointed(sized.join(now, ["rank", "place"]).groupBy("rank").applyInPandas(_fit, _FIT))
+        ties = got.where("tie is not null").select("tie")
+        taken = ties if taken is None else taken.unionByName(ties)
+        after = got.where("tie is null").drop("tie")
+        state = state.join(after.select("rank"), "rank", "left_anti").unionByName(after)
+    last = state.where("least - left < left").select(F.col("least_tie").alias("tie"))
+    return (last if taken is None else taken.unionByName(last)).withColumn("picked", F.lit(True))
 
 
 def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 42) -> DataFrame:
@@ -121,13 +165,21 @@ def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
 
     A document's size is its number of words (null text: 0). Returns one row per input row:
     tie (the row's number in this plan), doc_id, source, size, source_size, target (its
-    source's) and shards (array<int>, one entry for each time it is taken, at most
+    source's) and shards (array<long>, one entry for each time it is taken, at most
     ceil(most) times). The same input and seed give the same plan. Null sources are one
     source, the last. Rows that repeat a doc_id are drawn apart. Documents without words
-    are taken as their block is. An empty table gives an empty plan.
+    are taken as their block is. Texts of any length are counted whole. An empty table gives an empty plan.
     """
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")))
+    rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    return _plan(rows, share, most, weights, seed)
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _plan(rows: DataFrame, share: float, most: float, weights, seed: int) -> DataFrame:
+    """mix_plan of numbered rows (tie, doc_id, source, size)."""
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     total, n_sources = sources.agg(F.sum("source_size"), F.count("*")).first()
     block_words = max(BLOCK_WORDS, (total or 0) // MOST_BLOCKS)
@@ -142,47 +194,55 @@ def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
     order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "block"), "block")
     upto = F.sum("block_size").over(order)
     blocks = blocks.withColumn("upto", upto).withColumn("place", F.row_number().over(order))
-    first_over = F.min(F.when(F.col("upto") > F.col("rest"), F.col("place"))).over(Window.partitionBy("rank"))
-    blocks = blocks.withColumn("first_over", first_over).withColumn("whole", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
+    blocks = blocks.withColumn("whole", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
     before = F.max(F.when(F.col("whole"), F.col("upto"))).over(Window.partitionBy("rank"))
-    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0))).withColumn("edge", ~F.col("whole") & (F.col("rest") > 0) & (F.col("place") <= F.col("first_over") + MORE_BLOCKS))
-    blocks = checkpointed(blocks.withColumn("units", F.col("passes") + (F.col("whole") | F.col("edge")).cast("int")))
+    blocks = checkpointed(blocks.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0))))
+    picks = checkpointed(_picked(rows, blocks, seed))
+    edges = rows.join(picks, "tie").select("rank", "block").distinct().withColumn("edge", F.lit(True))
+    blocks = blocks.join(edges, ["rank", "block"], "left").withColumn("units", F.col("passes") + (F.col("whole") | F.coalesce("edge", F.lit(False))).cast("int"))
+    blocks = checkpointed(blocks.select("rank", "block", "whole", "units"))
+    placed = _deal(blocks, seed)
+    rows = rows.join(blocks.select("rank", "block", "whole"), ["rank", "block"]).join(placed, ["rank", "block"], "left").join(picks, "tie", "left")
+    times = F.col("passes") + (F.col("whole") | F.coalesce(F.col("picked"), F.lit(False))).cast("int")
+    taken = F.slice(F.coalesce(F.col("block_shards"), F.array().cast("array<long>")), F.lit(1), times)
+    return rows.select("tie", "doc_id", "source", "size", "source_size", "target", taken.alias("shards"))
+
 
-    # the tree: strata of sources on the driver, sources inside their stratum in tasks
+def _deal(blocks: DataFrame, seed: int) -> DataFrame:
+    """The shards of every block (rank, block, block_shards), one for each of its units."""
     strata = blocks.groupBy("rank").agg(F.sum("units").alias("units")).withColumn("stratum", (F.col("rank") % STRATA).cast("int"))
+    # at most STRATA rows
     counted = {r["stratum"]: r["units"] for r in strata.groupBy("stratum").agg(F.sum("units").alias("units")).collect()}
     names = sorted(counted)
     counts = np.array([counted[s] for s in names], np.int64)
-    shards = int(min(MOST_SHARDS, max(1, -(-int(counts.sum()) // SHARD_BLOCKS))))
-    quota = split_quota(counts, shards, np.random.default_rng([seed, 5])) if names else np.zeros((1, 0), np.int64)
-    quotas = {s: quota[:, i].tolist() for i, s in enumerate(names)}
-    lists = strata.groupBy("stratum").applyInPandas(_stratum_filler(quotas, seed), "rank long, shards array<int>").withColumnRenamed("shards", "dealt")
-
+    leaves = int(min(LEAVES, max(1, -(-int(counts.sum()) // SHARD_BLOCKS))))
+    quota = split_quota(counts, leaves, np.random.default_rng([seed, 5])) if names else np.zeros((1, 0), np.int64)
+    quotas = {s: quota[:, i] for i, s in enumerate(names)}
+    lists = strata.groupBy("stratum").applyInPandas(_stratum_filler(quotas, seed), "rank long, leaves array<int>")
     # a source's blocks, permuted, fill its quotas
     units = blocks.where(F.col("units") > 0).select("rank", "block", F.explode(F.sequence(F.lit(1), F.col("units"))).alias("copy"))
-    turn = F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "block", "copy"), "block", "copy"))
-    placed = units.withColumn("turn", turn).join(lists, "rank").select("rank", "block", F.struct("copy", F.element_at("dealt", F.col("turn")).alias("shard")).alias("unit"))
-    placed = placed.groupBy("rank", "block").agg(F.transform(F.array_sort(F.collect_list("unit")), lambda u: u["shard"]).alias("block_shards"))
-    state = blocks.select("rank", "block", "whole", "edge", "left", "place").join(placed, ["rank", "block"], "left")
-    rows = rows.join(state, ["rank", "block"])
-    picks = rows.where("edge").select("rank", "place", F.xxhash64(F.lit(seed + 3), "doc_id", "size").alias("draw"), "tie", "size", "left").groupBy("rank").applyInPandas(_fit, "tie long, picked boolean")
-    rows = rows.join(picks, "tie", "left")
-    times = F.col("passes") + (F.col("whole") | F.coalesce(F.col("picked"), F.lit(False))).cast("int")
-    taken = F.slice(F.coalesce(F.col("block_shards"), F.array().cast("array<int>")), F.lit(1), times)
-    return rows.select("tie", "doc_id", "source", "size", "source_size", "target", taken.alias("shards"))
+    own = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "block", "copy"), "block", "copy")
+    dealt = units.withColumn("turn", F.row_number().over(own)).join(lists, "rank").select("rank", "block", "copy", F.element_at("leaves", F.col("turn")).alias("leaf"))
+    # and a leaf's blocks, permuted, its output shards
+    inside = Window.partitionBy("leaf").orderBy(F.xxhash64(F.lit(seed + 5), "rank", "block", "copy"), "rank", "block", "copy")
+    most = int(quota.sum(1).max(initial=0)) // SHARD_BLOCKS + 1
+    shard = F.col("leaf").cast("long") * most + F.floor((F.row_number().over(inside) - 1) / SHARD_BLOCKS)
+    dealt = dealt.select("rank", "block", F.struct("copy", shard.alias("shard")).alias("unit"))
+    return dealt.groupBy("rank", "block").agg(F.transform(F.array_sort(F.collect_list("unit")), lambda u: u["shard"]).alias("block_shards"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 42) -> DataFrame:
     """The mixed corpus: the rows of `docs`, each as often as it is taken, with mix_shard
     and mix_order (random inside a shard) beside their own columns, of which any so named
-    are replaced. See mix_plan.
-
-    `docs` is read twice and must give the same rows in the same partitions, as a table or
-    a checkpoint does."""
-    plan = checkpointed(mix_plan(docs, share, most, weights, seed).where(F.size("shards") > 0).select(F.col("tie").alias("_mix_row"), F.col("shards").alias("_mix_shards")))
+    are replaced. See mix_plan. Rows are numbered once, in a checkpoint that holds them too."""
+    docs = docs.drop("mix_shard", "mix_order")
+    number, size, shards, copy = unused(docs.columns, "number", "size", "shards", "copy")
+    numbered = checkpointed(docs.withColumn(number, F.monotonically_increasing_id()).withColumn(size, word_count(F.col("text"))))
+    rows = numbered.select(F.col(number).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(size).alias("size"))
+    plan = checkpointed(_plan(rows, share, most, weights, seed).where(F.size("shards") > 0).select(F.col("tie").alias(number), F.col("shards").alias(shards)))
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    drawn = docs.drop("mix_shard", "mix_order").withColumn("_mix_row", F.monotonically_increasing_id()).join(plan, "_mix_row")
-    drawn = drawn.select("*", F.posexplode("_mix_shards").alias("_mix_copy", "mix_shard")).drop("_mix_shards")
-    drawn = drawn.withColumn("mix_order", F.xxhash64(F.lit(seed + 4), "_mix_row", "_mix_copy")).drop("_mix_copy")
-    return drawn.drop("_mix_row").repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+    drawn = numbered.drop(size).join(plan, number)
+    drawn = drawn.select("*", F.posexplode(shards).alias(copy, "mix_shard")).drop(shards)
+    drawn = drawn.withColumn("mix_order", F.xxhash64(F.lit(seed + 4), number, copy)).drop(number, copy)
+    return drawn.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
