@@ -4,7 +4,9 @@ Tokenising is one pass over the texts in Arrow batches; packing then moves only
 table (ids and lengths). Pieces are dealt to partitions that each run best-fit decreasing
 and certify their bin count by dual-feasible-function lower bounds. A partition gives its
 least filled bins back, the more the further it is from its bound, and those documents are
-exchanged up a tree of partitions that run best-fit decreasing again.
+exchanged up a tree of partitions that run best-fit decreasing again. Each row carries the
+certificate of the partition that packed it last, and `certificate` sets all sequences
+against the bound of all lengths.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces_of, utf8
+from .common import checkpointed, pieces_of, unused, utf8
 
 #: Pieces that one partition packs, and partitions that meet in one at the next round.
 GROUP_PIECES = 32768
@@ -145,23 +147,26 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 409
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(run, columns)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """Least number of bins by dual feasible functions: the identity, the threshold family
-    that rounds large items up and small ones away, and the rounding family u(k)."""
+    that rounds large items up and small ones away, and the rounding family u(k). With counts,
+    each length stands for so many items."""
     if not len(lengths):
         return 0
-    x = np.sort(np.asarray(lengths, np.int64))
-    total = np.concatenate([[0], np.cumsum(x)])
+    x = np.asarray(lengths, np.int64)
+    order = np.argsort(x, kind="stable")
+    x, c = x[order], (np.ones(len(x), np.int64) if counts is None else np.asarray(counts, np.int64)[order])
+    total, many = np.concatenate([[0], np.cumsum(x * c)]), np.concatenate([[0], np.cumsum(c)])
     best = -(-int(total[-1]) // capacity)
     cut = np.unique(x[x * 2 <= capacity])
     if len(cut):
         low, high = np.searchsorted(x, cut, "left"), np.searchsorted(x, capacity - cut, "right")
-        value = (len(x) - high) * capacity + total[high] - total[low]
+        value = (many[-1] - many[high]) * capacity + total[high] - total[low]
         best = max(best, -(-int(value.max()) // capacity))
-    best = max(best, int((2 * x > capacity).sum()))
+    best = max(best, int(c[2 * x > capacity].sum()))
     for k in range(1, 24):
         whole, rest = np.divmod(x * (k + 1), capacity)
-        value = np.where(rest == 0, x * k, whole * capacity).sum()
+        value = (np.where(rest == 0, x * k, whole * capacity) * c).sum()
         best = max(best, -(-int(value) // (capacity * k)))
     return best
 
@@ -193,58 +198,74 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return np.array(bins, np.int64), np.array(offsets, np.int64), np.array(fill, np.int64)
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int, level: int, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "tie"], ascending=[False, True, True, True, True], na_position="last", kind="stable").reset_index(drop=True)
-    lengths = pdf["length"].to_numpy(np.int64)
-    bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-    gap = len(fill) - lower_bound(lengths, capacity)
-    back = np.zeros(len(fill), bool)
-    if not last:
-        least = np.argsort(fill, kind="stable")[: 4 * (gap + 1)]
-        back[least[fill[least] < capacity]] = True
-    group = int(pdf["group"].iloc[0])
-    pdf["sequence_id"] = (level << 56) + (group << 24) + bins
-    pdf["offset"] = offsets
-    pdf["open"] = back[bins]
-    return pdf
+def _group_packer(capacity: int, level: int, last: bool, group: str, tie: str, open_: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", tie], ascending=[False, True, True, True, True], na_position="last", kind="stable").reset_index(drop=True)
+        lengths = pdf["length"].to_numpy(np.int64)
+        bins, offsets, fill = best_fit_decreasing(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        back = np.zeros(len(fill), bool)
+        if not last:
+            least = np.argsort(fill, kind="stable")[: 4 * (len(fill) - bound + 1)]
+            back[least[fill[least] < capacity]] = True
+        certificate = {"sequence_id": (level << 56) + (int(pdf[group].iloc[0]) << 24) + bins, "offset": offsets, "round": level, "partition": int(pdf[group].iloc[0]), "partition_bins": len(fill), "partition_bound": bound}
+        return pdf.assign(**certificate, **{open_: back[bins]})
+
+    return run
 
 
-def _group_packer(capacity: int, level: int, last: bool):
-    return lambda pdf: _pack_group(pdf, capacity, level, last)
+#: What pack adds to its pieces.
+PACKED = ("sequence_id", "offset", "round", "partition", "partition_bins", "partition_bound")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Put pieces of at most `capacity` into as few sequences of that length as it can.
 
-    Takes doc_id, piece, start, length and any further columns of its own; adds
-    sequence_id and offset, gapless from 0 in each sequence. A piece of the whole capacity
-    is a sequence by itself. Pieces of length 0 or over the capacity are an error. Rows
-    that are equal in all columns count apart. An empty table gives an empty result.
+    Takes doc_id, piece, start, length and any further columns; adds sequence_id and offset,
+    gapless from 0 in each sequence, and the certificate of the partition that packed the piece
+    last: round, partition, partition_bins (what best-fit decreasing took, the bins given back
+    included) and partition_bound (the least that its lengths need). Columns so named are
+    replaced. A piece of the whole capacity is a sequence by itself, of round -1. Pieces of
+    length 0 or over the capacity are an error. Rows that are equal in all columns count
+    apart. Ties go by doc_id, piece and start. An empty table gives an empty result.
     """
+    pieces = pieces.drop(*PACKED)
     keep = pieces.columns
+    tie, group, open_ = unused(keep, "tie", "group", "open")
     pieces = checkpointed(pieces)
     n, low, high = pieces.agg(F.count("*"), F.min("length"), F.max("length")).first()
     if n and (low < 1 or high > capacity):
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
-    full = pieces.where(F.col("length") == capacity).select(*keep, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = {"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0), "round": F.lit(-1), "partition": F.lit(None), "partition_bins": F.lit(1), "partition_bound": F.lit(1)}
+    full = pieces.where(F.col("length") == capacity).select(*keep, *(whole[c].cast("long").alias(c) for c in PACKED))
     groups = max(1, -(-n // group_pieces))
     levels = 1
     while FAN_IN ** (levels - 1) < groups:
         levels += 1
-    now = pieces.where(F.col("length") < capacity).withColumn("tie", F.monotonically_increasing_id())
-    now = now.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(groups)))
+    now = pieces.where(F.col("length") < capacity).withColumn(tie, F.monotonically_increasing_id())
+    now = now.withColumn(group, F.pmod(F.xxhash64("doc_id", "piece", tie), F.lit(groups)))
     done = full
     for level in range(levels):
         last = level == levels - 1
-        schema = now.select(*keep, "tie", "group").schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
-        packed = now.groupBy("group").applyInPandas(_group_packer(capacity, level, last), schema)
+        schema = now.select(*keep, tie, group).schema
+        for c in PACKED:
+            schema = schema.add(c, "long")
+        packed = now.groupBy(group).applyInPandas(_group_packer(capacity, level, last, group, tie, open_), schema.add(open_, "boolean"))
         if not last:
             packed = checkpointed(packed)
-        done = done.unionByName(packed.where(~F.col("open")).select(*keep, "sequence_id", "offset") if not last else packed.select(*keep, "sequence_id", "offset"))
-        now = packed.where(F.col("open")).select(*keep, "tie", F.floor(F.col("group") / FAN_IN).cast("long").alias("group"))
+        done = done.unionByName(packed.where(~F.col(open_)).select(*keep, *PACKED) if not last else packed.select(*keep, *PACKED))
+        now = packed.where(F.col(open_)).select(*keep, tie, F.floor(F.col(group) / FAN_IN).cast("long").alias(group))
     return done
 
 
+def certificate(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row: sequences, bound (the least number that the lengths of all pieces need) and gap.
+    The bound is of the counts of the lengths, at most `capacity` rows."""
+    counts = packed.groupBy("length").count().collect()
+    bound = lower_bound(np.array([r["length"] for r in counts]), capacity, np.array([r["count"] for r in counts]))
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, payload: str = "ids") -> DataFrame:
     """Tokenise and pack: see tokenize_documents and pack."""
     return pack(tokenize_documents(docs, tokenizer_path, capacity, end_id, payload), capacity)
