@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import give_back, pieces_of, utf8
-from .textscan import CHUNK, mixed, rolling, word_bounds, word_hashes
+from .textscan import CHUNK, LOWER, mixed, rolling, word_bounds, word_hashes
 
 #: Documents at most that the scorer is trained on, those with the smallest hashes of their ids.
 SAMPLE = 5_000
 #: Hashed features: 2 to this power.
-BITS = 13
+BITS = 15
 #: Words on end of which variety counts the distinct ones, so that long texts compare with short ones.
 SPAN = 1_000
 ROUNDS = 200
+#: How much all words together weigh beside all trigrams.
+WORDS_WEIGHT = 0.5
 
 _CLASS = np.zeros(256, np.int64)
 for _kind, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"()?-", b"!", b"|", b"#$%&*@^~=+_<>{}[]\\/`"), 1):
@@ -94,8 +96,8 @@ def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, fl
         for k, w in enumerate((n * (1 - good), n * good)):
             for i in range(len(LABELLERS)):
                 c = np.bincount(v[:, i], weights=w, minlength=3) + BELIEF_SHARE * n.sum() * BELIEF[k]
-                rates[i, k] = c / c.sum()
-        score = np.log(share / (1 - share)) + sum(np.log(rates[i, 1, v[:, i]] / rates[i, 0, v[:, i]]) for i in range(len(LABELLERS)))
+                rates[i, k] = c / max(c.sum(), 1e-300)
+        score = np.log(share / (1 - share)) + sum((np.log(rates[i, 1, v[:, i]] / rates[i, 0, v[:, i]]) for i in range(len(LABELLERS))), np.zeros(len(codes)))
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         done = np.abs(new - good).max(initial=0) < 1e-9
         good = new
@@ -105,18 +107,23 @@ def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, fl
 
 
 def features(text: bytes, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features and their values: byte trigrams by root of frequency, the signals' steps."""
-    size = 1 << BITS
+    """Hashed features and their values: words in ASCII lower case and trigrams of byte classes, each
+    by root of frequency and of length 1, and the signals' steps."""
+    size, parts = 1 << BITS, []
     data = np.frombuffer(text, np.uint8)
+    starts, ends = word_bounds(data)
+    words = word_hashes(LOWER[data], starts, ends)
+    parts.append(np.unique((words >> np.uint64(20)) & np.uint64(size - 1), return_counts=True))
     total = np.zeros(size)
     for at in range(0, max(1, len(data) - 2), CHUNK):
         total += np.bincount((rolling(_CLASS[data[at : at + CHUNK + 2]].astype(np.uint8), 3) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     at = np.flatnonzero(total)
-    value = np.sqrt(total[at])
-    value /= max(1e-12, np.linalg.norm(value))
+    parts.append((at, total[at]))
+    values = [np.sqrt(count) for _, count in parts]
+    values = [v / max(1e-12, np.linalg.norm(v)) for v in values]
     steps = np.array([int(min(x, 1.0) * 20) for x in s[:9]]) + np.arange(9) * 32 + (1 << 20)
     own = (mixed(steps.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
-    return np.concatenate([at, own]), np.concatenate([value, np.full(9, 0.5)])
+    return np.concatenate([*(at.astype(np.int64) for at, _ in parts), own]), np.concatenate([WORDS_WEIGHT * values[0], values[1], np.full(9, 0.5)])
 
 
 def train(got: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, passes: int = 12, rate: float = 0.5) -> np.ndarray:
@@ -151,13 +158,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict]:
     """Weights of the scorer, and what the weak-label model found.
 
     The vote counts cover all rows; only the training texts are a bounded sample, drawn by
-    hash in tasks, labelled by the posteriors.
+    hash of id and text in tasks, labelled by the posteriors. Texts of any length may be drawn;
+    rows that repeat an id and a text are drawn together, and any of them are left out where
+    the bound cuts among them. Without rows the scorer is all zeros.
     """
     # at most 3 to the number of labellers rows
     counts = {r["pattern"]: r["n"] for r in vote_patterns(docs).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, rates, share = estimate(counts)
     total = sum(counts.values())
-    chosen = docs.select(F.xxhash64("doc_id", F.lit(4)).alias("draw"), utf8(F.col("text")).alias("text"))
+    chosen = docs.select(F.xxhash64("doc_id", "text", F.lit(4)).alias("draw"), utf8(F.col("text")).alias("text"))
     if total > sample:
         # a hash threshold keeps the draw spread over all tasks; the rest is then cut exactly
         chosen = chosen.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / total)))
@@ -182,8 +191,9 @@ def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> D
     of its votes) and keep (score at least `threshold`).
 
     A null or empty text has no signals: it scores what the scorer says of no features, and
-    is kept only if that reaches the threshold. Repeated rows score alike. An empty table
-    gives an empty result.
+    is kept only if that reaches the threshold. Texts of any length are read whole. Repeated rows
+    score alike, and rows without an id like others. Columns of `docs` with the added names are
+    replaced. An empty table gives an empty result.
     """
     docs = docs.drop("quality_score", "weak_label", "keep")
     weights, model = fit(docs, sample)
