@@ -6,9 +6,10 @@
 2. A document's shared shingles, rarest first, after its own ones, are its prefix order.
    Documents whose prefix holds a shared shingle meet in that shingle's group; a group is
    recorded as links to its first document, so it never becomes pairs.
-3. Components of those links are clusters of documents that could be linked at all. A
-   cluster is joined in one task, or, if it is too large for one, in tasks for each two of
-   its parts. Inside, length, positional and, for long sets, suffix filters come before
+3. Components of those links are clusters of documents that could be linked at all. Inside a
+   cluster only sets of nearby sizes can be linked, so it falls into bands of size that meet the
+   next band only. A band is joined in one task, or, if it is too large for one, in tasks for each
+   two of its parts. Inside, length, positional and, for long sets, suffix filters come before
    verification. Every pair that they leave is verified, and counts as a link of both.
 4. Components of the verified links, and the links of each document, give the result.
 
@@ -17,6 +18,8 @@ Equal sets are one class, weigh as many as they are, and are expanded at the end
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ from .textscan import LOWER, from_planes, mixed, planes, rolling, word_bounds, w
 
 BUCKET_SHINGLES = 1 << 19
 BLOCK_BYTES = 2 << 20
-#: Documents and bytes of sets that one task of a cluster holds from each of its two parts.
+#: Documents and bytes of sets that one tile holds from each of its two parts.
 PART_DOCS = 512
 PART_BYTES = 16 << 20
 #: The suffix filter is for sets of so many shingles; shorter ones are verified as fast.
@@ -236,18 +239,31 @@ def join_cluster(sizes: np.ndarray, sets: list[np.ndarray], weights: np.ndarray,
     return out, root
 
 
-def _join_groups(share: int):
-    def run(t: pa.Table) -> pa.Table:
+def _join_tiles(share: int):
+    """The tiles of one key: sets of a cluster and a pair of bands or parts."""
+
+    def tile(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("name1", "ascending"), ("name2", "ascending")])
         sets = [np.frombuffer(x, np.uint64) for x in t["shared"].to_pylist()]
         column = lambda c: t[c].to_numpy()
-        links, top = join_cluster(column("n"), sets, column("rows"), column("side"), t["p"][0] != t["q"][0], share)
+        links, top = join_cluster(column("n"), sets, column("rows"), column("side"), t["apart"][0].as_py(), share)
         ids, some = column("id"), np.flatnonzero(links)
         return pa.table([ids[some], ids[top[some]], *(column(c)[some] for c in ("n", "name1", "name2")), links[some]], names=["a", "b", "n", "name1", "name2", "links"])
 
+    def run(t: pa.Table) -> pa.Table:
+        keys = t.group_by(_TILE).aggregate([]).to_pylist()
+        if len(keys) == 1:
+            return tile(t)
+        out = []
+        for key in keys:  # tiles whose hashes agree
+            mask = pa.array(np.logical_and.reduce([t[c].to_numpy() == v for c, v in key.items()]))
+            out.append(tile(t.filter(mask)))
+        return pa.concat_tables(out)
+
     return run
 
 
+_TILE = ["cluster", "band", "low", "high"]
 _NAME = ["n", "name1", "name2"]
 
 
@@ -267,13 +283,31 @@ def _linked(rows: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFra
     first = grams.groupBy("gram").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("gram", "lead")
     clusters = components(grams.join(first, "gram").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
     members = checkpointed(heads.join(clusters, F.col("id") == F.col("node")).select("id", *_NAME, "rows", "shared", F.col("component").alias("cluster")))
-    extent = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum(F.octet_length("shared")).alias("b"))
-    extent = extent.select("cluster", F.greatest(F.ceil(F.col("c") / PART_DOCS), F.ceil(F.col("b") / PART_BYTES)).cast("int").alias("parts"))
-    dealt = members.join(extent, "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # each two parts of a cluster, and each part by itself, are a task's
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("id", *_NAME, "rows", "shared", "cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("side"))
-    links = checkpointed(dealt.groupBy("cluster", "p", "q").applyInArrow(trimmed(_join_groups(share)), "a long, b long, n long, name1 long, name2 long, links long"))
+    few = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
+    extent = lambda d, *key: d.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum(F.octet_length("shared")) / PART_BYTES)).cast("int").alias("parts"))
+    large = checkpointed(extent(members, "cluster").where("parts > 1").select("cluster", F.lit(True).alias("large")))
+    # sets of linked documents differ in size by the share at most: by one band or none
+    band = F.floor(F.log(F.col("n").cast("double")) / (-math.log(share / 100) * (1 + 1e-9))).cast("int")
+    members = members.join(few(large), "cluster", "left").withColumn("own", F.when(F.col("large"), band))
+    whole = members.where("large is null").select("id", *_NAME, "rows", "shared", "cluster", *(F.lit(0).alias(c) for c in _TILE[1:]), F.lit(False).alias("side"), F.lit(False).alias("apart"))
+    members = members.where("large")
+    extent = checkpointed(extent(members, "cluster", "own"))
+    # a band's parts meet each other in its own tiles, and the parts of the band below in that one's
+    places = extent.select("cluster", "own", "parts", F.col("own").alias("band"), F.col("parts").alias("others"), F.lit(0).alias("side"))
+    above = extent.select("cluster", F.col("own").alias("band"), F.col("parts").alias("others"))
+    up = extent.withColumn("band", F.col("own") - 1).join(above, ["cluster", "band"]).select("cluster", "own", "parts", "band", "others", F.lit(1).alias("side"))
+    next_ = extent.select("cluster", F.col("own").alias("next"), F.col("parts").alias("others"))
+    down = extent.withColumn("next", F.col("own") + 1).join(next_, ["cluster", "next"]).select("cluster", "own", "parts", F.col("own").alias("band"), "others", F.lit(2).alias("side"))
+    dealt = members.join(few(checkpointed(places.unionByName(up).unionByName(down))), ["cluster", "own"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    inner, upper = F.col("side") == 0, F.col("side") == 1
+    low = F.when(inner, F.least("part", "other")).when(upper, F.col("other")).otherwise(F.col("part"))
+    # the tiles between two bands are counted from below zero, so that they aren't those inside one
+    high = F.when(inner, F.greatest("part", "other")).when(upper, -1 - F.col("part")).otherwise(-1 - F.col("other"))
+    dealt = dealt.select("id", *_NAME, "rows", "shared", "cluster", "band", low.alias("low"), high.alias("high"), F.when(inner, F.col("part") > F.col("other")).otherwise(upper).alias("side"), (~inner | (F.col("part") != F.col("other"))).alias("apart"))
+    # the key is the tile's, so that the tiles of a cluster are dealt to all tasks
+    dealt = whole.unionByName(dealt).withColumn("tile", F.xxhash64(*_TILE))
+    links = checkpointed(dealt.groupBy("tile").applyInArrow(trimmed(_join_tiles(share)), "a long, b long, n long, name1 long, name2 long, links long"))
     # rows that share an id are one node: each of their classes is tied to the id
     same = sets.where("n > 0").select(*_NAME, "id").distinct().join(classes, _NAME).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     within = classes.where("rows > 1").select(*_NAME, (F.col("rows") - 1).alias("links"))
