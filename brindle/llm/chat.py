@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
-Lines are parsed into quote levels. Every quoted line is normalised, hashed and linked to
-the latest earlier message of its conversation that holds it unquoted; a message answers
-the message that most of its first-level quoted lines come from, or else the one before it.
-Conversations are put in reply order, each branch behind the message that it answers, and
-texts lose their quotes.
+Lines are parsed into quote levels. Lines of one level in a row are a passage, whatever line
+breaks it has; its words in lower case are what is compared. Messages of conversations that hold
+quotes are scanned for the hash of each passage's first words, the places found are checked
+against the hash and the words of the whole passage, and the latest earlier message that holds it
+unquoted is its source. A message answers the message that most of its first-level quoted words
+come from, or else the one before it. Conversations are put in reply order, each branch behind the
+message that it answers, and texts lose their quotes.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 _MARKS = r"^((?:\s*>)+)"
+#: First words of a passage by which its places are found.
+LEAD = 6
 
 
 def quote_level(line: Column) -> Column:
@@ -23,26 +27,61 @@ def quote_level(line: Column) -> Column:
 
 
 def quote_body(line: Column) -> Column:
-    """The line without its quote marks, in lower case and with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"\s+", " "))
+    """The line without its quote marks."""
+    return F.regexp_replace(line, _MARKS, "")
+
+
+def words_of(text: Column) -> Column:
+    """Words in lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def passages_of(text: Column) -> Column:
+    """The text's lines as passages (level, body): lines of one level in a row; level 0 is not quoted."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.struct(quote_level(line).alias("level"), quote_body(line).alias("body")))
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+
+    def passage(start, turn):
+        end = F.coalesce(F.get(starts, turn + 1), F.size(lines))
+        return F.struct(F.get(lines, start)["level"].alias("level"), F.array_join(F.transform(F.slice(lines, start + 1, end - start), lambda x: x["body"]), "\n").alias("body"))
+
+    return F.transform(starts, passage)
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """Quoted lines and where they come from: row, at (line number), level, of (row of the
-    latest earlier message of the conversation that holds the line unquoted, or null)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = messages.select("row", "conv_id", "seq", F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.select("row", "conv_id", "seq", "at", quote_level(F.col("line")).alias("level"), quote_body(F.col("line")).alias("body")).where(F.col("body") != "")
-    lines = lines.withColumn("hash", F.xxhash64("body")).drop("body")
-    # only hashes that are quoted somewhere in the conversation can be an answer
-    quoted = lines.where(F.col("level") > 0).select("conv_id", "hash").distinct()
-    lines = lines.join(quoted, ["conv_id", "hash"], "left_semi")
-    # one original per message and line; quotes are looked up in order of messages, before the message's own lines
-    originals = lines.where(F.col("level") == 0).groupBy("conv_id", "hash", "row", "seq").agg(F.lit(1).alias("mine")).select("conv_id", "hash", "row", "seq", F.lit(1).alias("mine"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("level"))
-    quotes = lines.where(F.col("level") > 0).select("conv_id", "hash", "row", "seq", F.lit(0).alias("mine"), "at", "level")
-    order = Window.partitionBy("conv_id", "hash").orderBy("seq", "mine").rowsBetween(Window.unboundedPreceding, 0)
+    """Quoted passages and where they come from: row, at (the passage's number in its message), level,
+    size (its words), of and of_seq (row and place of the latest earlier message of the conversation that holds
+    its words, unquoted and in a row, or null)."""
+    quoted = messages.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^\s*>"))
+    parts = quoted.select("row", "conv_id", "seq", F.posexplode(passages_of(F.col("text"))).alias("at", "p"))
+    parts = parts.select("row", "conv_id", "seq", "at", "p.level", words_of(F.col("p.body")).alias("words")).where((F.col("level") > 0) & (F.size("words") > 0))
+    lead = F.least(F.size("words"), F.lit(LEAD))
+    parts = parts.withColumn("size", F.size("words")).withColumn("lead", lead).withColumn("first", F.xxhash64(F.slice("words", F.lit(1), lead))).withColumn("hash", F.xxhash64("words"))
+    parts = checkpointed(parts)
+    sought = parts.select("conv_id", "lead", "first").distinct()
+    # own words of the messages that may be a source, and the hash of so many of them from each place
+    leads = sought.groupBy("conv_id").agg(F.array_sort(F.collect_set("lead")).alias("leads"))  # LEAD numbers at most
+    own = F.filter(passages_of(F.col("text")), lambda p: p["level"] == 0)
+    sources = messages.join(leads, "conv_id").select("row", "conv_id", "seq", "leads", words_of(F.array_join(F.transform(own, lambda p: p["body"]), "\n")).alias("own"))
+    sources = checkpointed(sources.where(F.size("own") > 0))
+    starts = F.flatten(F.transform("leads", lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: i + n <= F.size("own")), lambda i: F.struct(n.alias("lead"), i.alias("start"), F.xxhash64(F.slice("own", i + 1, n)).alias("first")))))
+    found = sources.select("row", "conv_id", F.explode(starts).alias("s")).select("row", "conv_id", "s.*").join(sought, ["conv_id", "lead", "first"], "left_semi")
+    # each distinct passage once, at each place that begins like it
+    distinct = parts.groupBy("conv_id", "lead", "first", "hash", "size").agg(F.first("words").alias("words"))
+    places = found.join(sources.select("row", "seq", "own"), "row").join(distinct, ["conv_id", "lead", "first"])
+    held = F.slice("own", F.col("start") + 1, F.col("size"))
+    originals = places.where((F.xxhash64(held) == F.col("hash")) & (held == F.col("words"))).select("conv_id", "hash", "size", "row", "seq").distinct()
+    # one original per message; quotes look back over the originals, before the message's own
+    originals = originals.select("*", F.lit(1).alias("mine"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("level"))
+    quotes = parts.select("conv_id", "hash", "size", "row", "seq", F.lit(0).alias("mine"), "at", "level")
+    order = Window.partitionBy("conv_id", "hash", "size").orderBy("seq", "mine").rowsBetween(Window.unboundedPreceding, 0)
     source = F.last(F.when(F.col("mine") == 1, F.struct("row", "seq")), ignorenulls=True).over(order)
-    return originals.unionByName(quotes).withColumn("source", source).where(F.col("mine") == 0).select("row", "at", "level", F.col("source.row").alias("of"), F.col("source.seq").alias("of_seq"))
+    return originals.unionByName(quotes).withColumn("source", source).where(F.col("mine") == 0).select("row", "at", "level", "size", F.col("source.row").alias("of"), F.col("source.seq").alias("of_seq"))
+
+
+def escaped(text: Column) -> Column:
+    """Text in which nothing reads as a turn mark: a bar beside an angle bracket gets a backslash between, beside those there are."""
+    return F.regexp_replace(F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|"), r"\|(\\*)>", r"|$1\\>")
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
@@ -50,11 +89,14 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     Takes (conv_id, turn, role, text); returns one row per row: conv_id, turn, role,
     reply_to (turn of the message answered; null for the first), position (from 0, in reply
-    order), n_quoted and n_linked (quoted lines, and those whose source was found), text
-    (without quoted lines, trimmed) and formatted (role and text between turn marks).
+    order), n_quoted and n_linked (quoted passages, and those whose source was found), text
+    (without quoted lines, trimmed) and formatted (role and text between turn marks; see
+    escaped).
 
     Null turns come first and equal turns in order of role and text; null conv_ids are one
-    conversation. A null text is empty. Rows that are equal in all four columns stay apart.
+    conversation. A null text is empty, texts of any length are read whole, and other columns don't
+    matter. Rows that are equal in all four columns stay apart. A conversation's rows are sorted together,
+    in one task that spills; nothing of it is collected into a row but the paths of its branches.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first(), "row")
@@ -64,7 +106,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     keyed = rows.withColumn("conv_id", F.struct(F.col("conv_id").isNull().alias("none"), key.alias("id")))
     links = checkpointed(link_quotes(keyed))
     totals = links.groupBy("row").agg(F.count("*").alias("n_quoted"), F.count("of").alias("n_linked"))
-    votes = links.where((F.col("level") == 1) & F.col("of").isNotNull()).groupBy("row", "of_seq").agg(F.count("*").alias("votes"))
+    votes = links.where((F.col("level") == 1) & F.col("of").isNotNull()).groupBy("row", "of_seq").agg(F.sum("size").alias("votes"))
     parent = votes.groupBy("row").agg(F.max_by("of_seq", F.struct("votes", "of_seq")).alias("answers"))
     told = keyed.join(totals, "row", "left").join(parent, "row", "left")
     # a branch begins where the message answered isn't the one before
@@ -90,7 +132,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     text = F.trim(F.array_join(kept, "\n"))
     out = placed.select("row", "seq", "answers", "position", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), text.alias("plain"))
     out = rows.select("row", "conv_id", "turn", "role").join(out, "row").join(turns, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("answers") == F.col("s2")), "left")
-    formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("plain"), F.lit("\n<|end|>"))
+    formatted = F.concat(F.lit("<|"), escaped(F.coalesce("role", F.lit(""))), F.lit("|>\n"), escaped(F.col("plain")), F.lit("\n<|end|>"))
     return out.select("conv_id", "turn", "role", "reply_to", "position", "n_quoted", "n_linked", F.col("plain").alias("text"), formatted.alias("formatted"))
 
 
