@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1, payload="crc32").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1, payload="crc32").select("doc_id", "piece", "start", "length", "ids_crc32", *packing.PACKED)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"), share=1.5, most=2.0, weights=(3, 1, 2))
-    return plan.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"))
+    # a document is taken once for every output shard that the tree has dealt it to
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda total, shard: total + F.col("size"))
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shards")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+
+
+def _templates() -> str:
+    """The license templates' word pairs as SQL values."""
+    rows, at = [], 0
+    for base, group in (("true", licenses.PHRASES), ("false", licenses.PASSAGES)):
+        for label, text in group:
+            w = text.split()
+            rows += [f"({at},'{label}',{base},{len(w)},{i},'{w[i]}','{w[i + 1]}')" for i in range(len(w) - 1)]
+            at += 1
+    return ",".join(rows)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
+p AS (SELECT doc_id, unnest(w[1:len(w)-1]) a, unnest(w[2:]) b, unnest(range(len(w)-1)) pos FROM d WHERE len(w) > 1),
+t(template, label, base, size, place, w1, w2) AS (VALUES {_templates()}),
+h AS (SELECT doc_id, template, label, base, size, place, pos, pos - place AS diagonal FROM p JOIN t ON a = w1 AND b = w2),
+b AS (SELECT doc_id, label, diagonal FROM h WHERE base GROUP BY doc_id, template, label, size, diagonal HAVING count(*) = size - 1),
+s AS (SELECT DISTINCT doc_id, template, label, size, diagonal FROM h WHERE NOT base),
+r AS (SELECT s.doc_id, s.label, s.size, list({{'pos': h.pos, 'place': h.place}} ORDER BY h.pos, h.place DESC) hits FROM s JOIN h USING (doc_id, template) WHERE h.diagonal BETWEEN s.diagonal AND s.diagonal + floor(0.5 * s.size) GROUP BY s.doc_id, s.template, s.label, s.size, s.diagonal HAVING count(DISTINCT h.place) >= 0.8 * (s.size - 1)),
+c AS (SELECT doc_id, label, list_reduce(hits, lambda best, x: list_transform(best, lambda old, i: CASE WHEN i > x.place + 1 AND old < best[x.place + 1] + 1 THEN best[x.place + 1] + 1 ELSE old END), list_transform(range(size), lambda z: 0))[size] / (size - 1) AS share FROM r),
+f AS (SELECT doc_id, label, true AS base, diagonal, 1.0 AS share FROM b UNION ALL SELECT doc_id, label, false, NULL, share FROM c WHERE share >= 0.8)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(*) FILTER (f.base) AS n_base, CAST(min(f.diagonal) AS BIGINT) AS first_word, CAST(max(f.diagonal) AS BIGINT) AS last_word,
+coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.base), '') AS base_labels, coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels, CAST(coalesce(max(f.share), 0) AS DOUBLE) AS score FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""",
     "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text,'')")} w FROM documents),
 p AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') g FROM (SELECT *, unnest(range(1, len(w)-11)) i FROM d WHERE len(w) >= 13)),
 m AS (SELECT g, min(doc_id) m FROM p GROUP BY g),
@@ -84,4 +110,14 @@ o AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g A
 l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.c >= 85 * (x.n + y.n - o.c)),
 r AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op10_suffix_array_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text,''))) h FROM documents),
+e AS (SELECT doc_id, c, h[2*1000*c+1:2*1000*c+2*1049] h FROM (SELECT *, unnest(range(0, greatest(len(h)//2-49, 0)//1000+1)) c FROM d)),
+p AS (SELECT doc_id, 1000*c+i AS i, h[2*i+1:2*i+100] g FROM (SELECT *, unnest(range(0, len(h)//2-49)) i FROM e WHERE len(h) >= 100)),
+m AS (SELECT g, min(doc_id) m FROM p GROUP BY g),
+c AS (SELECT doc_id, i, i > coalesce(lag(i) OVER w, -51) + 50 AS fresh FROM p JOIN m USING (g) WHERE m < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) span FROM c),
+s AS (SELECT doc_id, min(i) low, max(i) + 50 high FROM n GROUP BY doc_id, span),
+k AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) before FROM s),
+x AS (SELECT doc_id, sum(high - low) gone, count(*) spans, max(high) top, string_agg(h[2*before+1:2*low], '' ORDER BY low) kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h)//2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2*coalesce(top, 0)+1:])) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)""",
 }

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,17 @@ def test_suffix_arrays():
             assert common[b] == n
 
 
+def test_suffix_arrays_recur(monkeypatch):
+    rng, calls, inner = np.random.default_rng(3), [], suffixarray.suffix_array
+    monkeypatch.setattr(suffixarray, "suffix_array", lambda s: calls.append(len(s)) or inner(s))
+    words = [rng.integers(1, 2000, rng.integers(3, 9)) for _ in range(60)]
+    s = np.concatenate([*(words[i] for i in rng.integers(0, 60, 4000)), rng.integers(1, 4, 3000), np.tile([5, 3, 7], 900)])
+    order = suffixarray.suffix_array(s)
+    data = s.astype(">u2").tobytes()
+    assert order.tolist() == sorted(range(len(s)), key=lambda i: data[2 * i :])
+    assert len(calls) >= 3 and all(b <= a / 2 for a, b in zip(calls, calls[1:], strict=False))
+
+
 def test_jaccard(docs, empty):
     data, sets = rows(), []
     for r in data:
@@ -123,6 +135,20 @@ def test_jaccard(docs, empty):
     assert {r.doc_id for r in kept.collect()} == {d for d, _, c in want if d == c}
 
 
+def test_jaccard_bands_of_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_DOCS", 6)
+    rng = random.Random(12)
+    word = [f"w{i}" for i in range(400)]
+    data = []
+    for i in range(120):  # prefixes of one text: sizes over many bands, linked to those of like size
+        w = word[: rng.randint(20, 400)]
+        data.append((i, " ".join(w)))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for _, t in data)]
+    want = sorted((i, sum(100 * len(s & o) >= 85 * len(s | o) for o in sets) - 1) for i, s in enumerate(sets))
+    got = jaccard.jaccard_links(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 4, 85)
+    assert sorted((r.doc_id, r.n_links) for r in got.collect()) == want
+
+
 def test_jaccard_parts_of_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PART_DOCS", 4)
     words = [f"w{i}" for i in range(100)]
@@ -205,6 +231,21 @@ def test_packing_rounds_meet_the_bound(spark):
     assert packing.lower_bound(lengths, 64) <= n <= 1.01 * whole + 1
 
 
+def test_packing_certificates(spark):
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 65, 2000)
+    values, counts = np.unique(lengths, return_counts=True)
+    assert packing.lower_bound(values, 64, counts) == packing.lower_bound(lengths, 64)
+    data = [(i, 0, 0, int(n), "t", 1, True) for i, n in enumerate(lengths)]
+    packed = packing.pack(spark.createDataFrame(data, "doc_id long, piece int, start long, length long, tie string, offset int, open boolean"), 64, group_pieces=400)
+    assert {"tie", "open"} <= set(packed.columns) and packed.columns.count("offset") == 1
+    whole = packing.certificate(packed, 64).first()
+    assert whole.gap == whole.sequences - whole.bound and 0 <= whole.gap <= 0.02 * whole.bound
+    for r in packed.select("round", "partition", "partition_bins", "partition_bound").distinct().collect():
+        assert r.partition_bins >= r.partition_bound
+    assert packing.certificate(packed.limit(0), 64).first().sequences == 0
+
+
 def test_odd_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
@@ -242,6 +283,41 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_fills_a_target_from_any_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    # long documents in nearly all blocks, and a few short ones anywhere
+    sizes = [90 if i % 40 else 1 for i in range(400)]
+    data = [(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)] + [(1000 + i, "w " * 10, "b") for i in range(20)]
+    plan = mixing.mix_plan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    mine = [r for r in plan if r.source == "a"]
+    left = mine[0].target - sum(r.size * len(r.shards) for r in mine)
+    passes = int(mine[0].target // mine[0].source_size)
+    # nothing fits any more, or the smallest was put on top
+    assert left < min([r.size for r in mine if len(r.shards) == passes], default=1) and abs(left) <= 45
+
+
+def test_mixing_shards_come_from_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(mixing, "LEAVES", 4)
+    data = [(i, "w " * (5 + i % 7), "abc"[i % 3], 1, "x") for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, number int, shards string").repartition(5)
+    plan = mixing.mix_plan(docs).collect()
+    taken = defaultdict(set)
+    for r in plan:
+        for shard in r.shards:
+            taken[shard].add(r.doc_id)
+    mixed = mixing.mix(docs)
+    assert {"number", "shards"} <= set(mixed.columns)
+    got = defaultdict(list)
+    for r in mixed.collect():
+        got[r.mix_shard].append(r)
+    by_id = lambda rows: sorted(r.doc_id for r in rows)
+    assert {s: by_id(r) for s, r in got.items()} == {s: sorted(d for r in plan for x in r.shards if x == s for d in [r.doc_id]) for s in taken}
+    # even shards: at most SHARD_BLOCKS blocks of about 50 words each
+    words = [sum(len(r.text.split()) for r in rows) for rows in got.values()]
+    assert len(got) > 20 and max(words) < 1.6 * mixing.SHARD_BLOCKS * 50
+
+
 def test_licenses(docs, empty):
     got = licenses.scan_licenses(docs)
     for r in got.where("n_base > 0").collect():
@@ -263,6 +339,14 @@ def test_license_readings(spark):
     assert got[4].n_base == 0
 
 
+def test_license_words_that_repeat_are_no_passage(spark):
+    texts = ["licensed under " * 6, "under the " * 4 + "licensed under the gnu", "cc by nc " * 3, " ".join(reversed(dict(licenses.PASSAGES)["bsd"].split())), "licensed under " * 6 + "licensed under the gnu lesser general public license", "no " * 30_000 + "this is free and unencumbered software released into the public domain " + "no " * 30_000]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("cc-by", 1.0), 3: ("", 0.0), 4: ("lgpl", 1.0), 5: ("unlicense", 1.0)}
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(spark.createDataFrame([(1, "a")], "doc_id long, text string"), passages=(("x", "one"),))
+
+
 def vectors():
     rng = np.random.default_rng(1)
     v = rng.standard_normal((600, 16))
@@ -276,36 +360,67 @@ def good(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_lattice(spark):
-    data = vectors()
-    frame = spark.createDataFrame([(*r, "x") for r in data], "vec_id long, embedding array<float>, label int, cell string").repartition(3)
-    links, near = defaultdict(int), []
-    for i, (a, v, la) in enumerate(data):
-        for b, w, lb in data[:i]:
-            if a is not None and b is not None and good(v) and good(w) and la is not None and la == lb and len(v) == len(w):
-                x, y = np.array(v, np.float32).astype(float), np.array(w, np.float32).astype(float)
-                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
-                    near.append((a, b))
-    top = {r[0]: r[0] for r in data}
+def linked_vectors(data):
+    """By brute force: of each row its links, and the smallest id that it reaches."""
+    units = {}
+    for i, (v, e, label) in enumerate(data):
+        if v is not None and label is not None and good(e):
+            x = np.array(e, np.float32).astype(float)
+            units[i] = x / np.linalg.norm(x)
+    links, top = [0] * len(data), list(range(len(data)))
 
     def root(x):
         while top[x] != x:
             x = top[x]
         return x
 
-    for a, b in near:
-        links[a] += 1
-        links[b] += 1
-        x, y = root(a), root(b)
-        top[max(x, y)] = min(x, y)
+    for i in units:
+        for j in units:
+            if j < i and data[i][2] == data[j][2] and len(units[i]) == len(units[j]) and units[i] @ units[j] >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                top[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (v, *_) in enumerate(data):
+        if v is not None:
+            least[root(i)] = min(least.get(root(i), v), v)
+    return [(v, links[i], least[root(i)] if v is not None else None, v is None or least[root(i)] == v) for i, (v, *_) in enumerate(data)]
+
+
+def test_lattice(spark):
+    data = vectors()
+    frame = spark.createDataFrame([(*r, "x") for r in data], "vec_id long, embedding array<float>, label int, cell string").repartition(3)
     got = lattice.near_duplicates(frame).collect()
-    assert len(got) == len(data)
-    assert {(r.vec_id, r.component_id, r.kept) for r in got if r.vec_id not in (None, 5)} == {(i, root(i), root(i) == i) for i in top if i not in (None, 5)}
-    assert all(r.n_links == links[r.vec_id] for r in got if r.vec_id in range(300, 340))
-    assert all(r.n_links == 0 for r in got if r.vec_id is None or 700 <= r.vec_id < 800)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, linked_vectors(data)))
     assert lattice.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [2048, 8])
+def test_lattice_groups_and_repeated_ids(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(lattice, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(9)
+    v, w = rng.standard_normal(16), rng.standard_normal(16)
+    near = v + 0.001 * rng.standard_normal(16)
+    data = [(5, v.tolist(), 1), (5, w.tolist(), 1), (7, near.tolist(), 1)]
+    data += [(100 + i, (w + 0.05 * rng.standard_normal(16)).tolist(), 1 + i % 2) for i in range(150)]
+    got = [tuple(r) for r in lattice.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()]
+    want = linked_vectors(data)
+    assert [r for r in want if r[0] < 100] == [(5, 1, 5, True), (5, want[1][1], 5, True), (7, 1, 5, False)]
+    # pairs near the threshold may be missed, none may be added
+    assert sum(r[1] for r in got) >= 0.97 * sum(r[1] for r in want)
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[0] == b[0] and a[1] <= b[1]
+
+
+def test_lattice_output_does_not_grow_with_pairs():
+    rng = np.random.default_rng(2)
+    v = (rng.standard_normal(16) + 0.001 * rng.standard_normal((300, 16))).astype("<f4")
+    cells = np.zeros((300, 4, 5), np.int64) + np.arange(5)
+    rows = [{"cell": 0, "probe": False, "id": i, "label": 1, "n": 1, "tab": 0, "cells": cells[i].tobytes(), "vector": v[i].tobytes(), "bin": 0, "part": 0, "bucket": 0} for i in range(300)]
+    got = lattice._comparer(0.98, "<f4", 4)(pd.DataFrame(rows))
+    assert len(got) == 300 and set(got["links"]) == {299} and set(got["b"]) == {0}
+
+
 def test_lattice_large_cells_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(lattice, "CELL_ROWS", 8)
     rng = np.random.default_rng(7)
@@ -349,6 +464,38 @@ def test_hnsw(spark):
     assert hnsw.search(hnsw.build_index(frame.limit(0)), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups, spread", [(40, 0.01), (80, 0.1), (400, 0.01), (3000, 1.0)])
+def test_graphs_of_groups_find_every_group(groups, spread):
+    rng = np.random.default_rng(groups)
+    x = rng.standard_normal((groups, 24))[rng.integers(0, groups, 3000)] + spread * rng.standard_normal((3000, 24))
+    shard = hnsw.Shard(hnsw._build(pd.DataFrame({"shard": 0, "vec_id": np.arange(3000), "embedding": list(x)})).iloc[0].to_dict())
+    asked = np.arange(0, 3000, 9)
+    got = defaultdict(set)
+    for q, v, _ in shard.nearest(asked, x[asked], 10, hnsw.BEAM):
+        got[q].add(v)
+    hits = []
+    for q in asked.tolist():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(got[q] & set(np.argsort(d)[:10].tolist())))
+    assert min(hits) > 0 and np.mean(hits) >= 9.5
+
+
+def test_large_components_are_compared(spark):
+    rng = np.random.default_rng(3)
+    for size in (1e25, 1e200, 1e-200):
+        v = rng.standard_normal((50, 8)) * size
+        frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = hnsw.search(hnsw.build_index(frame), frame.where("vec_id % 10 = 0"), 10).collect()
+        assert len(got) == 50
+        for q in range(0, 50, 10):
+            far = np.linalg.norm((v - v[q]) / size, axis=1)
+            far[q] = np.inf
+            mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            assert [m[1] for m in mine] == np.argsort(far)[:10].tolist()
+            assert [m[2] / size for m in mine] == pytest.approx(np.sort(far)[:10])
+
+
 def test_chats(spark):
     data = [(1, 0, "a", "Hello there\nHow are you?"), (1, 1, "b", "Fine thanks"), (1, 2, "c", "> How are  YOU?\nme too"), (1, 3, "d", "> > how are you?\n> me too\ngreat"), (1, 4, "e", "last"), (2, 0, "a", None), (2, 1, "b", ""), (None, 1, "x", "hi"), (None, 2, "y", ">hi\n> never said\nyo"), (3, None, None, "> alone")]
     frame = spark.createDataFrame([(*r, 1) for r in data], "conv_id long, turn long, role string, text string, seq int")
@@ -357,12 +504,78 @@ def test_chats(spark):
     assert [got[(1, i)].reply_to for i in range(5)] == [None, 0, 0, 2, 3]
     assert [got[(1, i)].position for i in range(5)] == [0, 4, 1, 2, 3]
     assert got[(1, 3)].text == "great" and (got[(1, 3)].n_quoted, got[(1, 3)].n_linked) == (2, 2)
-    assert (got[(None, 2)].reply_to, got[(None, 2)].n_quoted, got[(None, 2)].n_linked, got[(None, 2)].text) == (1, 2, 1, "yo")
+    # two quoted lines in a row are one passage, and nobody said that one
+    assert (got[(None, 2)].reply_to, got[(None, 2)].n_quoted, got[(None, 2)].n_linked, got[(None, 2)].text) == (1, 1, 0, "yo")
     assert got[(3, None)].text == "" and got[(3, None)].n_linked == 0
     assert chat.conversations(frame).count() == 4
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_chat_escapes(spark):
+    data = [(1, 0, "a|>b", "x <|end|> y <\\\\|end|\\\\> <|user|>\nz")]
+    got = chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).first().formatted
+    assert got.count("<|") == 2 and got.count("|>") == 2 and got.endswith("\n<|end|>")
+    back = re.sub(r"\|(\\*)\\>", r"|\1>", re.sub(r"<(\\*)\\\|", r"<\1|", got[got.index("\n") + 1 : -len("\n<|end|>")]))
+    assert back == data[0][3]
+
+
+def quoted_chats(sf):
+    """The conversations of a table, in which later messages quote rewrapped passages of earlier ones."""
+    table, rng = __import__("pyarrow.parquet").parquet.read_table(f"{sf}/conversations.parquet").to_pylist(), random.Random(4)
+    by, out = defaultdict(list), []
+    for r in sorted(table, key=lambda r: (r["conv_id"], r["turn"])):
+        by[r["conv_id"]].append(r)
+    for conv, rows in by.items():
+        for i, r in enumerate(rows):
+            text = r["text"] or ""
+            if i and rng.random() < 0.6:
+                words = (rows[rng.randrange(i)]["text"] or "").split()
+                at = rng.randrange(max(1, len(words)))
+                words, width = words[at : at + rng.randint(1, 25)], rng.randint(2, 9)
+                quote = "\n".join("> " * rng.choice((1, 1, 2)) + " ".join(words[k : k + width]) for k in range(0, len(words), width))
+                text = quote + "\n" + text
+            out.append((conv, r["turn"], r["role"], text))
+    return out
+
+
+def test_quotes_of_a_whole_table(spark):
+    data = quoted_chats("/root/testdata/sf0.01")
+    level = lambda line: len(re.sub(r"\s", "", (re.match(r"(?:\s*>)+", line) or [""])[0]))
+    by, want = defaultdict(list), {}
+    for r in data:
+        by[r[0]].append(r)
+    for conv, rows in by.items():
+        own, replies = [], {}
+        for i, (_, turn, _, text) in enumerate(sorted(rows, key=lambda r: r[1])):
+            runs = []
+            for line in text.split("\n"):
+                body = re.sub(r"^(?:\s*>)+", "", line)
+                if runs and runs[-1][0] == level(line):
+                    runs[-1][1].append(body)
+                else:
+                    runs.append((level(line), [body]))
+            votes, n, linked = defaultdict(int), 0, 0
+            for lv, bodies in runs:
+                w = "\n".join(bodies).lower().split()
+                if not lv or not w:
+                    continue
+                n += 1
+                found = [j for j in range(i) if any(own[j][k : k + len(w)] == w for k in range(len(own[j])))]
+                linked += bool(found)
+                if found and lv == 1:
+                    votes[found[-1]] += len(w)
+            own.append(" ".join("\n".join(b) for lv, b in runs if not lv).lower().split())
+            replies[i] = max(votes, key=lambda j: (votes[j], j)) if votes else i - 1
+            want[(conv, turn)] = [replies[i], n, linked]
+        # children of a message come right behind it: the last branch that began later comes after
+        turns = sorted(r[1] for r in rows)
+        for i, t in enumerate(turns):
+            want[(conv, t)][0] = turns[replies[i]] if replies[i] >= 0 else None
+    got = {(r.conv_id, r.turn): [r.reply_to, r.n_quoted, r.n_linked] for r in chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert got == want
+    assert sum(w[2] for w in want.values()) > 0.3 * len(want)
+
+
 def test_chat_plan_is_native(spark):
     frame = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
     for d in (chat.format_chats(frame), licenses.scan_licenses(frame.selectExpr("conv_id doc_id", "text"))):
