@@ -24,15 +24,18 @@ ARRAY_BUCKETS = 1024
 
 def _spread(lists: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> None:
     """Append positions to their symbols' buckets, in order."""
+    if not len(at):
+        return
     order = np.argsort(symbols, kind="stable")
     at, symbols = at[order], symbols[order]
-    edge = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1], [True]])) if len(at) else ()
+    edge = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), len(at)]
     for s, e in zip(edge[:-1], edge[1:], strict=True):
         lists[symbols[s]].append(at[s:e])
 
 
 def _induce_by_bucket(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols: int) -> np.ndarray:
     """As _induce, whole buckets at a time. What a bucket induces into itself is met in further rounds."""
+    s = s.astype(np.uint16)  # short integers are sorted by radix
     seeded: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
     _spread(seeded, seeds, s[seeds])
     large: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
