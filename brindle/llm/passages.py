@@ -284,6 +284,18 @@ def _smallest_documents(method: Method):
     return run
 
 
+def repeated_windows(h: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches (first window, windows) of whole windows whose hashes h come at least twice. All others
+    are no other content's; that these are equal must still be compared."""
+    at = np.flatnonzero(whole)
+    at = at[np.argsort(h[at], kind="stable")]
+    same = h[at][1:] == h[at][:-1]
+    shared = np.zeros(len(h) + 1, bool)
+    shared[at[1:][same]] = shared[at[:-1][same]] = True
+    edge = np.flatnonzero(np.diff(shared.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return edge[::2], edge[1::2] - edge[::2]
+
+
 _FIRST = np.zeros(1, np.int64)
 
 

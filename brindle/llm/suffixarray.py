@@ -1,7 +1,7 @@
 """Suffix-array dedup on bytes: induced sorting of shard arrays and permuted common prefixes.
 
-Shards hold the passages that two documents share (see passages.py). A shard's passages are
-joined by separators. Its suffixes are classified; the leftmost-smaller substrings are sorted
+Shards hold the passages that two documents may share (see passages.py). The stretches of a shard whose windows
+may occur twice are joined by separators. Its suffixes are classified; the leftmost-smaller substrings are sorted
 by induction, named, and, where names repeat, sorted by the same procedure on the shorter
 string of names, down to distinct names; their order then induces that of all suffixes.
 Names and common prefixes are compared symbol by symbol, never by hashes. The permuted common
@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import Method, remove_passages
+from .passages import Method, remove_passages, repeated_windows
+from .textscan import rolling
 
 #: Up to so many distinct symbols, a bucket is induced at a time in array operations; with more,
 #: as strings of names have, buckets are too small for that and positions go one by one.
@@ -198,26 +199,45 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.
 
 
 def _resolve(contents: list[bytes], anchors: np.ndarray, least: np.ndarray, window: int) -> list[np.ndarray]:
-    """Smallest id at each window of each content, by one array over all of them."""
+    """Smallest id at each window of each content.
+
+    A window whose hash no other window of the shard has is no other content's: it keeps its own id. The
+    stretches of other windows are compared exactly, by one array over all of them.
+    """
     lengths = np.array([len(c) for c in contents])
-    # byte 0 is symbol 2; 1 parts the contents
-    s = np.frombuffer(b"\0".join(contents), np.uint8).astype(np.int64) + 2
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    s[(starts - 1)[1:]] = 1
+    data = np.frombuffer(b"\0".join(contents), np.uint8)
+    owner = np.repeat(np.arange(len(contents)), lengths + 1)[: len(data)]
+    value = least[owner]
+    h = rolling(data, window)
+    whole = np.arange(len(h)) + window <= (starts + lengths)[owner[: len(h)]]
+    # a stretch ends with its content, as windows over a separator are never whole
+    low, many = repeated_windows(h, whole)
+    if len(low):
+        found = _smallest(data, low, many + window - 1, least[owner[low]], window)
+        value[_spans(low, many)] = found
+    return [value[a : a + n - window + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def _smallest(data: np.ndarray, low: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Of stretches of the data the smallest id at each window, one after the other, by their suffix array."""
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    # byte 0 is symbol 2; 1 parts the stretches
+    s = np.ones(int((lengths + 1).sum()), np.int64)
+    s[_spans(starts, lengths)] = data[_spans(low, lengths)].astype(np.int64) + 2
     order = suffix_array(s)
     common = permuted_common_prefixes(s, order, window)
-    owner = np.searchsorted(starts, np.arange(len(s)), "right") - 1
+    owner = np.repeat(np.arange(len(low)), lengths + 1)
     whole = np.arange(len(s)) + window <= (starts + lengths)[owner]
-    # suffixes that begin with a whole window of a content; runs of them with common windows
+    # suffixes that begin with a whole window of a stretch; runs of them with common windows
     sorted_whole = whole[order]
     joins = (common[order] >= window) & sorted_whole
     joins[1:] &= sorted_whole[:-1]
     run = np.cumsum(~joins) - 1
     first = np.flatnonzero(~joins)
-    smallest = np.minimum.reduceat(least[owner[order]], first)
     value = np.empty(len(s), np.int64)
-    value[order] = smallest[run]
-    return [value[a : a + n - window + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    value[order] = np.minimum.reduceat(ids[owner[order]], first)[run]
+    return value[_spans(starts, lengths - window + 1)]
 
 
 def dedup_bytes(docs: DataFrame, window: int = 50, gram: int = 24) -> DataFrame:
