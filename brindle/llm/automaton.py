@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import Method, remove_passages
+from .passages import Method, remove_passages, repeated_windows
+from .textscan import rolling, word_bounds, word_hashes
 
 
 class SuffixAutomaton:
@@ -86,12 +87,28 @@ class SuffixAutomaton:
 
 
 def _resolve(contents: list[bytes], anchors: np.ndarray, least: np.ndarray, window: int) -> list[np.ndarray]:
-    """One automaton of the shard's passages; each passage is streamed through it."""
-    index, words = SuffixAutomaton(), [c.split(b" ") for c in contents]
-    for w, owner in zip(words, least.tolist(), strict=True):
-        index.add(w, owner)
+    """One automaton of the shard's passages; each passage is streamed through it.
+
+    Windows whose hash comes once in the shard keep their own id; the stretches of others are what the
+    automaton holds and reads.
+    """
+    split = [c.split(b" ") for c in contents]
+    counts = np.array([len(w) for w in split])
+    ends = np.cumsum(counts)
+    data = np.frombuffer(b" ".join(contents) + b" ", np.uint8)
+    owner = np.repeat(np.arange(len(contents)), counts)
+    h = rolling(word_hashes(data, *word_bounds(data)), window)
+    low, many = repeated_windows(h, np.arange(len(h)) + window <= ends[owner[: len(h)]])
+    value, index, stretches = least[owner], SuffixAutomaton(), []
+    for a, n in zip(low.tolist(), many.tolist(), strict=True):
+        i = owner[a]
+        start = a - int(ends[i] - counts[i])
+        stretches.append((a, n, split[i][start : start + n + window - 1]))
+        index.add(stretches[-1][2], int(least[i]))
     index.finish()
-    return [index.windows(w, window) for w in words]
+    for a, n, words in stretches:
+        value[a : a + n] = index.windows(words, window)
+    return [value[e - n : e - window + 1] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 
@@ -66,6 +67,7 @@ def pieces_of(batches, rows: int = 512):
 def give_back() -> None:
     """Return freed memory to the system. Python workers are kept between tasks, and what an
     allocator holds on to counts against the executor."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces_of, unused, utf8
+from .common import checkpointed, give_back, pieces_of, unused, utf8
 
 #: Pieces that one partition packs, and partitions that meet in one at the next round.
 GROUP_PIECES = 32768
 FAN_IN = 8
 #: Words whose ids a worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 #: A run of these after letters is encoded apart from them. The apostrophe isn't one: it may start a suffix.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -129,6 +129,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 409
     end = struct.pack("<I", end_id)
 
     def run(batches):
+        give_back()  # what earlier stages' tasks left in this worker
         enc = encoder(tokenizer_path)
         for b in pieces_of(batches):
             data = enc.encode(b.column(1).to_pylist())

@@ -21,7 +21,7 @@ from .textscan import CHUNK, LOWER, mixed, rolling, word_bounds, word_hashes
 #: Documents at most that the scorer is trained on, those with the smallest hashes of their ids.
 SAMPLE = 5_000
 #: Hashed features: 2 to this power.
-BITS = 15
+BITS = 14
 #: Words on end of which variety counts the distinct ones, so that long texts compare with short ones.
 SPAN = 1_000
 ROUNDS = 200
@@ -150,6 +150,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
         for b in pieces_of(batches):
             codes = [_code(votes(signals(t))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int32())], ["doc_id", "pattern"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, pattern int")
 
