@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +23,24 @@ def search_fold(text: Column) -> Column:
     return F.lower(F.translate(text, ACCENTED + ACCENTED.upper(), PLAIN + PLAIN))
 
 
+@functools.cache
+def _compatible() -> tuple[str, str]:
+    """Characters up to U+2FFE and the compatibility forms whose decomposition without marks is one character, and these."""
+    found = []
+    for c in (*range(0xA0, 0x2FFF), *range(0xFB00, 0xFFEF)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != chr(c):
+            found.append((chr(c), plain))
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
 def fold(text: Column) -> Column:
-    """Accent-free lower case, trimmed: the native path, exact for the Latin-1 letters and the sharp s."""
-    return F.trim(F.replace(search_fold(text), F.lit("ß"), F.lit("ss")))
+    """Accent-free lower case, trimmed. Characters are decomposed by a table and combining marks dropped;
+    of those that decompose into several, the sharp s and the Latin ligatures are known."""
+    plain = F.regexp_replace(F.translate(text, *_compatible()), r"\p{M}", "")
+    for sign, letters in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("™", "tm"), ("½", "1⁄2")):
+        plain = F.replace(plain, F.lit(sign), F.lit(letters))
+    return F.trim(F.lower(plain))
 
 
 def search_terms(query: str) -> tuple[str, ...]:
@@ -74,18 +92,17 @@ def token_ratio(a: Column, b: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no trailing slash, no fragment, no tracking or blank parameters.
 
-    Parameters keep their own escapes.
+    Parameters are decoded before they are judged, and encoded anew in their order.
     """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     head, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
     origin, path = F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1), F.regexp_replace(head, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
     path = F.regexp_replace(path, "/+$", "")
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    keep = F.filter(
-        F.split(query, "&"),
-        lambda p: p.rlike("^[^=]*=.+") & ~key(p).isin(*TRACKING_KEYS) & ~key(p).rlike("^(" + "|".join(TRACKING_PREFIXES) + ")"),
-    )
-    kept = F.array_join(keep, "&")
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), c)
+    encoded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.+")), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(p.substr(F.locate("=", p) + 1, F.length(p))).alias("v")))
+    keep = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_KEYS) & ~F.lower(p["k"]).rlike("^(" + "|".join(TRACKING_PREFIXES) + ")"))
+    kept = F.array_join(F.transform(keep, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
     return F.concat(F.lower(origin), F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
@@ -97,7 +114,7 @@ def title_hint(url: Column) -> Column:
     leaf = F.get(parts, F.size(parts) - 1)
     plain = F.regexp_replace(leaf, r"\.html?$", "")
     slug = F.when(at > 1, F.get(parts, (at - 2).cast("int"))).when(plain.rlike("^[0-9]{9,}$"), None).when((F.length(leaf) > 8) & ~F.lower(leaf).isin("dp", "gp", "product"), leaf)
-    return F.nullif(F.trim(F.regexp_replace(F.translate(F.try_url_decode(slug), "-_", "  "), " +", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(F.translate(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), "-_", "  "), " +", " ")), F.lit(""))
 
 
 def request_fingerprint(store: Column, url: Column, product_id: Column, variant: Column) -> Column:
@@ -112,16 +129,28 @@ def variant_key(attributes: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Mask bearer tokens and passwords in URLs."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1***"), r"://([^:/@\s]+):[^@/\s]+@", "://$1:***@")
+    return F.regexp_replace(F.regexp_replace(text, r"(?i)(bearer\s+)\S+", "$1***"), r"://([^:/@]+):[^@/]+@", "://$1:***@")
+
+
+#: Fixed value: names of fields that hold secrets.
+SECRET_KEYS = r"(?i)(password|passwd|secret|token|authorization|cookie|api[_-]?key|service[_-]?role|private[_-]?key|refresh[_-]?token|access[_-]?token|database_url|proxy|credential|connection.?string)"
+
+
+def redact_fields(fields: Column) -> Column:
+    """A map of text fields: secret ones masked whole, the others as redact does."""
+    return F.transform_values(fields, lambda k, v: F.when(k.rlike(SECRET_KEYS), "***").otherwise(redact(v)))
 
 
 def _json_text(value: Column) -> Column:
-    return F.coalesce(F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2), F.lit("null"))
+    """A JSON string, or null; text without anything to escape is only quoted."""
+    plain = value.rlike(r"^[^\x00-\x1F\"\\\x7F]*$")
+    escaped = F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+    return F.when(value.isNull(), "null").when(plain, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(escaped)
 
 
 def offer_fingerprint(price: Column, currency: Column, seller: Column, availability: Column, pix_price: Column) -> Column:
     """SHA-256 of the offer's sorted JSON; amounts at four decimals, so that scale alone is no change."""
     money = lambda c: F.coalesce(F.concat(F.lit('"'), c.cast("decimal(18,4)").cast("string"), F.lit('"')), F.lit("null"))
     name = F.nullif(F.lower(F.trim(seller)), F.lit(""))
-    text = lambda c: F.when(c.isNull(), "null").otherwise(_json_text(c))
+    text = _json_text
     return F.sha2(F.concat(F.lit('{"availability":'), text(availability), F.lit(',"currency":'), text(currency), F.lit(',"pix_price":'), money(pix_price), F.lit(',"price":'), money(price), F.lit(',"seller":'), text(name), F.lit("}")), 256)

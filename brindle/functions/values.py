@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def gtin_check_digit(body: Column) -> Column:
-    """Weights 3 and 1 from the right; the digit that fills the sum to ten."""
-    digits = F.filter(F.split(F.reverse(body), ""), lambda d: d != "")
-    weighed = F.transform(digits, lambda d, i: d.cast("int") * F.when(i % 2 == 0, 3).otherwise(1))
-    total = F.aggregate(weighed, F.lit(0), lambda s, x: s + x)
-    return F.when(body != "", (10 - total % 10) % 10)
+    """Weights 3 and 1 from the right; the digit that fills the sum to ten. A body of up to 18 digits is
+    weighed in plain arithmetic: longer ones have no check digit here."""
+    n = body.try_cast("long")
+    total = F.lit(0)
+    for i in range(18):
+        total = total + F.floor(n / F.lit(10**i).cast("decimal(19,0)")) % 10 * (3 if i % 2 == 0 else 1)
+    return F.when(body.rlike("^[0-9]{1,18}$"), ((10 - total % 10) % 10).cast("int"))
 
 
 def normalize_gtin(raw: Column) -> Column:
@@ -77,6 +79,107 @@ def length_mm(value: Column) -> Column:
     return F.when(m != "", F.concat(m, F.lit(" mm")))
 
 
+def kit(value: Column) -> Column:
+    """2 x 16 gb as 2x16 GB; no kit is made up from a total."""
+    p = r"(?i)\b(\d+)\s*x\s*(\d+)\s*(gb|tb|mb)?\b"
+    unit = F.coalesce(F.nullif(F.upper(F.regexp_extract(value, p, 3)), F.lit("")), F.lit("GB"))
+    return F.when(value.rlike(p), F.concat(F.regexp_extract(value, p, 1).cast("int").cast("string"), F.lit("x"), F.regexp_extract(value, p, 2).cast("int").cast("string"), F.lit(" "), unit))
+
+
+def memory_type(value: Column) -> Column:
+    """ddr 5 as DDR5, gddr6x as GDDR6X."""
+    p = r"(?i)\b(g?ddr)\s*([2-7]x?)"
+    return F.when(value.rlike(p), F.upper(F.concat(F.regexp_extract(value, p, 1), F.regexp_extract(value, p, 2))))
+
+
+def pcie(value: Column) -> Column:
+    """pcie 4 as PCIe 4.0."""
+    g = F.nullif(F.regexp_extract(value, r"(?i)pci-?e(?:xpress)?\s*(?:gen\s*)?(\d(?:\.\d)?)", 1), F.lit(""))
+    return F.when(g.isNotNull(), F.concat(F.lit("PCIe "), g, F.when(F.contains(g, F.lit(".")), "").otherwise(".0")))
+
+
+def efficiency_class(value: Column) -> Column:
+    """80+ gold as 80 Plus Gold; 80 Plus without a class."""
+    tier = F.nullif(F.initcap(F.regexp_extract(value, r"(?i)\b(titanium|platinum|gold|silver|bronze|white)\b", 1)), F.lit(""))
+    return F.when(value.rlike(r"(?i)80\s*(?:plus|\+)"), F.concat_ws(" ", F.lit("80 Plus"), tier))
+
+
+def gpu_token(value: Column) -> Column:
+    """rtx4070ti as RTX 4070 Ti."""
+    p = r"(?i)\b(rtx|gtx|rx)\s*-?(\d{3,4})\s*(ti|super|xtx|xt)?\b"
+    e = lambda i: F.nullif(F.regexp_extract(value, p, i), F.lit(""))
+    suffix = F.when(F.lower(e(3)).isin("ti", "super"), F.initcap(e(3))).otherwise(F.upper(e(3)))
+    return F.when(e(2).isNotNull(), F.concat_ws(" ", F.upper(e(1)), e(2), suffix))
+
+
+def attribute_value(key: Column, value: Column) -> Column:
+    """A value in its key's usual form; as it is where none is known."""
+    text = F.trim(value)
+    inches = F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)", 1)
+    forms = [
+        (("storage", "ram", "vram", "capacity", "total_capacity", "module_capacity"), capacity(text)),
+        (("frequency", "refresh_rate"), frequency(text)),
+        (("radiator_size", "fan_size", "cooler_height"), length_mm(text)),
+        (("screen_size",), F.when(text.rlike(r"(?i)\d\s*(?:mm|cm)\b"), length_mm(text)).when(inches != "", F.concat(F.replace(inches, F.lit(","), F.lit(".")), F.lit('"')))),
+        (("wattage", "power"), wattage(text)),
+        (("memory_type", "ddr"), memory_type(text)),
+        (("pcie_generation", "pcie"), pcie(text)),
+        (("efficiency", "efficiency_rating"), efficiency_class(text)),
+        (("kit_configuration", "module_count"), kit(text)),
+        (("gpu_model", "gpu"), gpu_token(text)),
+    ]
+    out = text
+    for keys, form in reversed(forms):
+        out = F.when(F.lower(key).isin(*keys), F.coalesce(form, text)).otherwise(out)
+    return F.when(text != "", out)
+
+
+def aware_time(value: Column, zone: str | None = None) -> Column:
+    """A point in time from text: epoch seconds, or milliseconds over 10**12; year/month/day in the store's zone, Sao
+    Paulo without one; ISO with its own offset, or else in the zone given, UTC without one. The session's zone is UTC."""
+    text = F.trim(value)
+    n = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
+    epoch = F.timestamp_micros((F.when(n > 1e12, n / 1000).otherwise(n) * 1_000_000).cast("long"))
+    slashed = F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}(:\d{2})?$"), F.coalesce(F.try_to_timestamp(text, F.lit("yyyy/M/d H:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy/M/d H:mm"))))
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"), text.try_cast("timestamp"))
+    offset = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & text.rlike(r"T|:")
+    return F.coalesce(epoch, F.to_utc_timestamp(slashed, zone or "America/Sao_Paulo"), F.when(offset, iso).otherwise(F.to_utc_timestamp(iso, zone or "UTC")))
+
+
+def regular_check(now: Column, key: Column, hours: int = 12, jitter: int = 600) -> Column:
+    """The next regular check: some hours on, and up to `jitter` seconds that the key decides."""
+    return F.timestamp_seconds(F.unix_timestamp(now) + hours * 3600 + F.pmod(F.xxhash64(key), F.lit(jitter + 1)))
+
+
+def full_jitter(failures: Column, key: Column, base: float = 1.0, cap: float = 60.0) -> Column:
+    """Seconds between none and the doubled delay, as the key decides."""
+    most = F.least(F.lit(cap), base * F.pow(F.lit(2.0), failures))
+    return most * F.pmod(F.xxhash64(key, failures), F.lit(1 << 20)) / float(1 << 20)
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number, or a date of HTTP; never less than none."""
+    date = F.try_to_timestamp(F.regexp_extract(header, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.when(F.trim(header).rlike(r"^\d+$"), F.trim(header).try_cast("long")).otherwise(F.unix_timestamp(date) - F.unix_timestamp(now))
+    return F.greatest(F.lit(0), seconds)
+
+
+def crawl_due(next_at: Column, now: Column) -> Column:
+    """Never scheduled, or its time has come."""
+    return F.coalesce(next_at <= now, F.lit(True))
+
+
+def rates_due(last: Column, key: Column, now: Column, interval: int = 3600) -> Column:
+    """A source is due after its interval and up to a tenth of it more, as its key decides."""
+    jitter = F.pmod(F.xxhash64(key), F.lit(interval // 10 + 1))
+    return F.coalesce(F.unix_timestamp(last) + interval + jitter <= F.unix_timestamp(now), F.lit(True))
+
+
+def promotion_active(status: Column, expires: Column, now: Column) -> Column:
+    """Whether a promotion's price may be shown as current."""
+    return F.coalesce((status == "active") & (expires > now), F.lit(False))
+
+
 def retry_delay(failures: Column, base: int = 300, cap: int = 3600) -> Column:
     """Seconds: doubled for each failure after the first, up to the cap."""
     return F.least(F.lit(cap), (base * F.pow(F.lit(2), F.least(failures - 1, F.lit(30)))).cast("long"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def previous(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -72,56 +78,29 @@ def early_best(df: DataFrame, group: str, order: str, score: str, final: Column)
     return d.withColumn("_rn", F.row_number().over(w.orderBy(F.col(score).desc(), order))).where("_rn = 1").drop("_rn", "_stop")
 
 
-def ttl_claims(times: Column, ttl: int) -> Column:
-    """Of sorted times those that are claimed: a claim blocks the key until its time to live is over."""
-    start = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast("array<double>").alias("taken"))
-    step = lambda s, t: F.when(s["until"] > t, s).otherwise(F.struct((t + ttl).alias("until"), F.concat(s["taken"], F.array(t)).alias("taken")))
-    return F.aggregate(times, start, step, lambda s: s["taken"])
-
-
-def token_bucket(times: Column, limit: int, window: int) -> Column:
-    """For sorted times whether each is allowed: the bucket refills steadily and holds `limit` tokens."""
-    rate = limit / window
-    start = F.struct(F.lit(float(limit)).alias("tokens"), F.lit(None).cast("double").alias("at"), F.array().cast("array<boolean>").alias("allowed"))
-
-    def step(s, t):
-        tokens = F.least(F.lit(float(limit)), s["tokens"] + F.greatest(F.lit(0.0), F.coalesce(t - s["at"], F.lit(0.0))) * rate)
-        ok = tokens >= 1 - 1e-9
-        return F.struct(F.when(ok, F.greatest(F.lit(0.0), tokens - 1)).otherwise(tokens).alias("tokens"), t.alias("at"), F.concat(s["allowed"], F.array(ok)).alias("allowed"))
-
-    return F.aggregate(times, start, step, lambda s: s["allowed"])
-
-
-def breaker_states(outcomes: Column, threshold: int = 5, cooldown: int = 300) -> Column:
-    """State before each (time, ok) outcome: open after so many failures, half-open once it has cooled down.
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple | None]], columns: list[str], out: str) -> DataFrame:
+    """A state machine per key over its rows in order.
 
-    While open, outcomes don't count; half open, one more failure opens it again."""
-    start = F.struct(F.lit(0).alias("failures"), F.lit(None).cast("double").alias("opened"), F.array().cast("array<string>").alias("states"))
-
-    def step(s, o):
-        is_open = s["opened"].isNotNull()
-        cooled = is_open & (o["t"] >= s["opened"] + cooldown)
-        state = F.when(cooled, "half_open").when(is_open, "open").otherwise("closed")
-        failures = F.when(state == "open", s["failures"]).when(o["ok"], 0).otherwise(s["failures"] + 1)
-        opened = F.when(state == "open", s["opened"]).when(~o["ok"] & (failures >= threshold), o["t"]).otherwise(F.lit(None).cast("double"))
-        return F.struct(failures.alias("failures"), opened.alias("opened"), F.concat(s["states"], F.array(state)).alias("states"))
-
-    return F.aggregate(outcomes, start, step, lambda s: s["states"])
-
-
-def promotion_events(observations: Column, as_of: Column) -> Column:
-    """Events of a promotion from its time-ordered observations (t, price, expires), of which a null
-    price says nothing: activated, updated when price or end changes, expired by the clock."""
-    start = F.struct(F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("expires"), F.array().cast("array<string>").alias("events"))
-
-    def step(s, o):
-        over = s["price"].isNotNull() & (s["expires"] <= o["t"])
-        ended = F.when(over, F.concat(s["events"], F.array(F.lit("promotion_expired")))).otherwise(s["events"])
-        price, expires = F.when(~F.coalesce(over, F.lit(False)), s["price"]), F.when(~F.coalesce(over, F.lit(False)), s["expires"])
-        seen = o["price"].isNotNull() & (F.coalesce(o["expires"], o["t"] + 1) > o["t"])
-        same = price.eqNullSafe(o["price"]) & expires.eqNullSafe(o["expires"])
-        event = F.when(seen & price.isNull(), "promotion_activated").when(seen & ~same, "promotion_updated")
-        return F.struct(F.when(seen, o["price"]).otherwise(price).alias("price"), F.when(seen, o["expires"]).otherwise(expires).alias("expires"), F.concat(ended, F.array_compact(F.array(event))).alias("events"))
-
-    last = lambda s: F.when(s["price"].isNotNull() & (s["expires"] <= as_of), F.concat(s["events"], F.array(F.lit("promotion_expired")))).otherwise(s["events"])
-    return F.aggregate(observations, start, step, last)
+    Rows are dealt to tasks by key and sorted inside, and a task walks them batch by batch with the
+    state of one key at a time: nothing of a key is collected, and time is linear. `step` takes the state and the
+    values of `columns`, and gives the new state and a result row (keys come before it), or None.
+    """
+    dealt = df.select(*keys, *order, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    names, n, skip = out, len(keys), len(keys) + len(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kinds = None, None, to_arrow_schema(schema)
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != at:
+                    at, state = row[:n], start()
+                state, result = step(state, row[skip:])
+                if result is not None:
+                    rows.append((*at, *result))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    schema = df.select(*keys).schema
+    for f in StructType.fromDDL(names):
+        schema = schema.add(f)
+    return dealt.mapInArrow(run, schema)

@@ -15,13 +15,42 @@ def validate(rates: DataFrame, known: DataFrame, max_change: float = 15.0) -> Da
     """Rates (base, quote, rate_type, rate) with errors: not_positive, magnitude, change (against the last known rate)."""
     spark = rates.sparkSession
     bands = F.broadcast(spark.createDataFrame(list(BANDS), "base string, quote string, low string, high string"))
-    d = rates.join(bands, ["base", "quote"], "left").join(known.select("base", "quote", "rate_type", F.col("rate").alias("last")), ["base", "quote", "rate_type"], "left")
+    # one last rate of each pair and type: that of the source which has it first by name
+    last_known = known.groupBy("base", "quote", "rate_type").agg(F.min_by("rate", "source").alias("last"))
+    d = rates.join(bands, ["base", "quote"], "left").join(last_known, ["base", "quote", "rate_type"], "left")
     rate, last = F.col("rate"), F.col("last")
     change = F.abs(rate - last) * 100 > last * F.lit(max_change).cast("decimal(5,2)")
     errors = F.array_compact(F.array(F.when(rate <= 0, "not_positive"), F.when(~rate.between(F.col("low").cast("decimal(24,12)"), F.col("high").cast("decimal(24,12)")), "magnitude"), F.when((last > 0) & change, "change")))
     return d.withColumn("errors", errors).drop("low", "high", "last")
 
 
+def cross_checks(rates: DataFrame, most_premium: float = 12.0, agreement: float = 0.5) -> DataFrame:
+    """Soft checks of a batch (base, quote, rate_type, rate, source): tourism rates are at or above the reference
+    selling rate, by so many percent at most; two sources of one rate are so near. One row per
+    failed check: base, quote, check, source, other, rate, other_rate."""
+    pct = lambda x: F.lit(x).cast("decimal(8,4)")
+    d = rates.select("base", "quote", "rate_type", F.col("rate").cast("decimal(24,12)").alias("rate"), "source")
+    row = lambda name: ["base", "quote", F.lit(name).alias("check"), "t.source", F.col("p.source").alias("other"), "t.rate", F.col("p.rate").alias("other_rate")]
+    tourism, reference = d.where("rate_type = 'tourism_sell'").alias("t"), d.where("rate_type = 'ptax_sell' and rate > 0").alias("p")
+    high = tourism.join(reference, ["base", "quote"]).where(~((F.col("t.rate") >= F.col("p.rate")) & (F.col("t.rate") * 100 <= F.col("p.rate") * (100 + pct(most_premium)))))
+    # each two sources of a pair and type, compared by source
+    one, two = d.where("rate_type like 'ptax%'").alias("t"), d.where("rate_type like 'ptax%' and rate > 0").alias("p")
+    apart = one.join(two, ["base", "quote", "rate_type"]).where((F.col("t.source") > F.col("p.source")) & (F.abs(F.col("t.rate") - F.col("p.rate")) * 100 > F.col("p.rate") * pct(agreement)))
+    return high.select(*row("tourism_premium")).unionByName(apart.select(*row("ptax_agreement")))
+
+
+def mark_stale(latest: DataFrame, now: str, max_age_seconds: int = 86400) -> DataFrame:
+    """Latest rates (fetched_at) with status stale where they are older than that, else fresh."""
+    old = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("fetched_at") > max_age_seconds
+    return latest.withColumn("status", F.when(old, "stale").otherwise("fresh"))
+
+
+def attach(offers: DataFrame, rates: DataFrame, target: str = "BRL") -> DataFrame:
+    """Offers (id, price, currency) with converted_price, rate_type and why there is none; an offer is never lost."""
+    done = convert(offers.select("id", F.col("price").cast("decimal(18,4)").alias("amount"), F.upper(F.trim("currency")).alias("currency"), F.lit(target).alias("target")), rates)
+    return offers.join(done.select("id", F.col("converted").alias("converted_price"), "rate_type", "reason"), "id", "left")
+
+
 def convert(amounts: DataFrame, rates: DataFrame) -> DataFrame:
     """Amounts (id, amount decimal(18,4), currency) in target: the pair's usual rate type, else the
     first type by preference, of fresh rates before stale; one currency needs none. Rounded half up

@@ -2,125 +2,308 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, normalize_brand, normalize_code, title_tokens, token_ratio
-from ..functions.values import capacity, normalize_gtin, price_extreme
+from ..functions import titles as tt
+from ..functions.text import fold, normalize_brand, normalize_code, token_ratio
+from ..functions.values import normalize_gtin, price_extreme
 from .cdc import early_best
+from .tables import unused
 
 #: Thresholds and weights of the score.
 AUTO, REVIEW, TITLE_WEIGHT, MODEL_WEIGHT, BRAND_WEIGHT, TITLE_CAP, SOFT_TITLE = 0.92, 0.75, 0.35, 0.45, 0.25, 0.74, 0.75
-#: Categories in order of detection, each with words one of which the folded title holds.
-CATEGORIES = (
-    ("notebook", ("notebook", "laptop", "macbook", "chromebook")),
-    ("smartphone", ("smartphone", "iphone", "galaxy s", "redmi")),
-    ("tablet", ("tablet", "ipad")),
-    ("motherboard", ("motherboard", "placa mae", "mainboard")),
-    ("console", ("playstation", "xbox", "nintendo switch")),
-    ("cooler", ("water cooler", "cooler")),
-    ("cpu", ("processador", "processor", "ryzen", "core i")),
-    ("monitor", ("monitor",)),
-    ("tv", ("smart tv", "televisor")),
-    ("gpu", ("placa de video", "graphics card", "geforce", "radeon")),
-    ("ssd", ("ssd", "nvme")),
-    ("ram", ("memoria ram", "ddr4", "ddr5")),
-    ("psu", ("fonte", "power supply")),
-    ("keyboard", ("teclado", "keyboard")),
-    ("headset", ("headset", "headphone")),
-    ("mouse", ("mouse",)),
-    ("printer", ("impressora", "printer")),
-    ("cable", ("cabo", "cable")),
-)
-ACCESSORY = ("capa", "case for", "pelicula", "screen protector", "cable", "adapter")
-CONDITIONS = (("refurbished", ("refurbished", "recondicionado", "renewed")), ("used", ("used", "usado", "seminovo")), ("open_box", ("open box", "caixa aberta")), ("new", ("new", "novo", "lacrado")))
-
-
-def _holds(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike(r"\b(" + "|".join(words) + r")\b")
-
-
-def category(title: Column) -> Column:
-    """First category with a word in the title; a notebook's title never makes another."""
-    text, out = fold(title), F.lit(None).cast("string")
-    for name, words in reversed(CATEGORIES):
-        out = F.when(_holds(text, words), name).otherwise(out)
-    return out
-
-
-def condition(title: Column) -> Column:
-    text, out = fold(title), F.lit("unknown")
-    for name, words in reversed(CONDITIONS):
-        out = F.when(_holds(text, words), name).otherwise(out)
-    return out
-
-
-def identity(df: DataFrame, title: str, brand: str | None = None, gtin: str | None = None) -> DataFrame:
-    """Add what the rules compare: gtin, brand, model codes, capacity, category, condition, tokens."""
-    t = F.col(title)
-    codes = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(fold(t), r"[^a-z0-9-]+", " "), " "), lambda w: w.rlike("[a-z]") & w.rlike("[0-9]") & (F.length(w) >= 4) & ~w.rlike(r"^\d+(gb|tb|mb|mhz|hz|w|mm)$"))))
-    return df.select(
-        "*",
+SPEC_WEIGHT, SPECS = 0.11, ("screen_size", "resolution", "refresh_rate", "panel")
+#: Rows of a blocking key that one tile holds from the left side.
+TILE_ROWS = 1000
+#: Up to so many keys are broadcast as a table of parts.
+BROADCAST_KEYS = 200_000
+
+IDENTITY = ["id_gtin", "id_brand", "id_model", "id_parts", "id_numbers", "id_code", "id_category", "id_variants", "id_specs", "id_signature", "id_socket", "id_condition", "id_lock", "id_accessory", "id_bundle", "id_system", "id_card", "id_words"]
+
+
+def identity(df: DataFrame, title: str, brand: str | None = None, gtin: str | None = None, model: str | None = None, variant: str | None = None) -> DataFrame:
+    """Add what the rules compare, as id_ columns: GTIN, brand, model, part numbers and other codes, category,
+    variants, specifications, the signature that must not differ, condition, network lock, what kind of
+    listing it is, and the title's words. What isn't given is read from the title."""
+    given = F.col(model) if model else F.lit(None).cast("string")
+    folded, whole, attributes_ = unused(df.columns, "_folded", "_whole", "_attributes")
+    # what many rules read is a column of its own, so that it is computed once
+    d = df.withColumn(folded, fold(F.col(title))).withColumn(whole, fold(F.concat_ws(" ", given, F.col(title))) if model else F.col(folded))
+    t, category = F.col(folded), F.col("id_category")
+    d = d.withColumn("id_category", tt.detect_category(t))
+    d = d.withColumn(attributes_, tt.attributes_of(t, category, ("color", "network_lock", *SPECS)))
+    stated = tt.parse_variant(F.col(variant)) if variant else F.create_map().cast("map<string,string>")
+    d = d.withColumn("id_variants", stated)
+    attributes = F.col(attributes_)
+    pick = F.map_filter(attributes, lambda k, v: k.isin("color", "network_lock") & ~F.map_contains_key("id_variants", k))
+    lead = F.nullif(F.get(F.filter(F.split(t, r"\s+"), lambda w: w.isin(*tt.BRANDS)), 0), F.lit(""))
+    named = F.coalesce(normalize_brand(F.col(brand)), lead) if brand else lead
+    return d.select(
+        *df.columns,
         (normalize_gtin(F.col(gtin)) if gtin else F.lit(None).cast("string")).alias("id_gtin"),
-        (normalize_brand(F.col(brand)) if brand else F.lit(None).cast("string")).alias("id_brand"),
-        F.transform(codes, lambda c: F.regexp_replace(c, "-", "")).alias("id_codes"),
-        capacity(t).alias("id_capacity"),
-        category(t).alias("id_category"),
-        condition(t).alias("id_condition"),
-        _holds(fold(t), ACCESSORY).alias("id_accessory"),
-        title_tokens(t).alias("id_tokens"),
+        named.alias("id_brand"),
+        normalize_code(F.coalesce(given, tt.model_of(t, category))).alias("id_model"),
+        tt.part_numbers(F.col(whole)).alias("id_parts"),
+        tt.model_numbers(t).alias("id_numbers"),
+        F.when(category == "monitor", tt.monitor_code(t)).alias("id_code"),
+        "id_category",
+        F.transform_values(F.map_concat("id_variants", pick), lambda k, v: tt.variant_value(k, v)).alias("id_variants"),
+        F.map_filter(attributes, lambda k, v: k.isin(*SPECS)).alias("id_specs"),
+        tt.signature(t, F.col(whole), category).alias("id_signature"),
+        tt.socket(t).alias("id_socket"),
+        tt.condition(t)["code"].alias("id_condition"),
+        tt.network_lock(t).alias("id_lock"),
+        tt.is_accessory(t).alias("id_accessory"),
+        tt.is_bundle(t).alias("id_bundle"),
+        tt.is_system(t).alias("id_system"),
+        tt.is_graphics_card(t).alias("id_card"),
+        tt.title_words(t).alias("id_words"),
     )
 
 
-def block(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidate pairs (l, r) that share a blocking key; each pair once. Keys are array columns."""
-    named = lambda k: F.transform(F.coalesce(F.col(k), F.array().cast("array<string>")), lambda v: F.concat(F.lit(k + ":"), v))
-    both = lambda d, i: d.select(F.col("id").alias(i), F.explode(F.array_distinct(F.flatten(F.array(*map(named, keys))))).alias("key"))
-    return both(left, "l").join(both(right, "r"), "key").select("l", "r").distinct()
+def blocking_keys(ident: str = "") -> Column:
+    """Keys of an identity of which two listings that any rule accepts share one: its codes, and its brand
+    with what its signature says, with its model or with a display's size and resolution. A brand alone is no key."""
+    f = lambda c: F.col(f"{ident}{c}")
+    kinds = F.array(*map(F.lit, ("gpu", "ssd", "phone", "motherboard", "cooler_model", "processor")))
+    of_kind = F.transform(F.filter(kinds, lambda k: F.map_contains_key(f("id_signature"), k)), lambda k: F.concat(k, F.lit(":"), f("id_signature")[k], F.lit("|"), F.coalesce(f("id_brand"), F.lit(""))))
+    code = F.when(f("id_category") == "cpu", F.concat(F.lit("cpu:"), f("id_signature")["processor"]))
+    tag = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name), c))
+    single = F.array_compact(F.array(tag("gtin:", f("id_gtin")), tag("code:", F.lower(f("id_code"))), code, tag("model:", F.concat_ws("|", F.substring(tt.compact_code(f("id_model")), 1, 10), f("id_brand"))), tag("display:", F.concat(f("id_brand"), f("id_specs")["screen_size"], f("id_specs")["resolution"]))))
+    many = F.concat(F.transform(f("id_parts"), lambda p: F.concat(F.lit("part:"), p)), F.transform(f("id_numbers"), lambda p: F.concat(F.lit("number:"), p)))
+    local = tag("listing:", F.concat(F.col(f"{ident}store"), F.lit("/"), F.col(f"{ident}product_id")))
+    return F.array_sort(F.array_distinct(F.concat(single, many, of_kind, F.array_compact(F.array(local)))))
 
 
-def decide(ref: str = "a", cand: str = "b") -> Column:
-    """The ordered decision on two identities (struct columns): the first rule that holds decides.
+def block(left: DataFrame, right: DataFrame, keys: str = "keys") -> DataFrame:
+    """Pairs of rows that share a key, each once, as structs a and b.
 
-    Returns a struct of decision, confidence decimal(5,4) and reason.
+    Both sides have an id; `keys` is a sorted array of each. A pair is taken at the first key that both have, so
+    nothing is put together again afterwards. Keys of more than TILE_ROWS left rows are dealt to
+    parts, which every right row of the key visits: no pair is lost, and no task holds them all.
     """
-    a, b = (lambda f: F.col(f"{ref}.{f}")), (lambda f: F.col(f"{cand}.{f}"))
-    both = lambda f: a(f).isNotNull() & b(f).isNotNull()
-    differ = lambda f: F.coalesce(both(f) & (a(f) != b(f)), F.lit(False))
-    brand_fits = F.coalesce(F.contains(a("id_brand"), b("id_brand")) | F.contains(b("id_brand"), a("id_brand")), F.lit(True))
-    ratio = token_ratio(a("id_tokens"), b("id_tokens"))
-    codes = F.arrays_overlap(a("id_codes"), b("id_codes"))
-    extreme = price_extreme(a("price"), b("price"), F.coalesce(a("currency") == b("currency"), F.lit(False)))
-    raw = TITLE_WEIGHT * ratio + F.when(codes, MODEL_WEIGHT).otherwise(0.0) + F.when(both("id_brand") & brand_fits, BRAND_WEIGHT).otherwise(0.0)
-    capped = F.when(~codes, F.least(raw, F.lit(TITLE_CAP))).otherwise(F.least(raw, F.lit(0.97)))
-    score = F.bround(F.greatest(F.lit(0.0), capped - F.when(extreme, 0.1).otherwise(0.0)).cast("decimal(10,6)"), 4)
-    result = lambda d, c, r: F.struct(d.alias("decision") if isinstance(d, Column) else F.lit(d).alias("decision"), (c if isinstance(c, Column) else F.lit(str(c))).cast("decimal(5,4)").alias("confidence"), F.lit(r).alias("reason"))
-    by_score = F.when(score >= AUTO, "auto_match").when(score >= REVIEW, "review").otherwise("reject")
-    unlike = differ("id_condition") & (a("id_condition") != "unknown") & (b("id_condition") != "unknown")
+    # the outer form, as the inner one's filter on the keys would be pushed down with all that they are made of
+    both = lambda d, side: d.select(F.struct("*").alias(side), F.explode_outer(keys).alias("key"))
+    a, b = both(left, "a"), both(right, "b")
+    parts = a.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_KEYS else parts
+    a = a.join(parts, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a.id"), F.col("parts")).cast("int"))).drop("parts")
+    b = b.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    first = F.get(F.array_intersect(F.col(f"a.{keys}"), F.col(f"b.{keys}")), 0) == F.col("key")
+    return a.join(b, ["key", "part"]).where(first).select("a", "b")
+
+
+def brands_fit(a: Column, b: Column) -> Column:
+    """Equal, one inside the other, or one unknown."""
+    return F.coalesce(F.contains(a, b) | F.contains(b, a), F.lit(True))
+
+
+def critical_conflict(a: Column, b: Column) -> Column:
+    """The first thing that both say and that differs, or null; a and b are identities."""
+    kinds = F.array(*map(F.lit, tt.signatures()))
+    other = F.get(F.filter(kinds, lambda k: a["id_signature"][k] != b["id_signature"][k]), 0)
+    either = lambda name: (a["id_category"] == name) | (b["id_category"] == name)
+    cpu = (a["id_signature"]["processor"].isNotNull() | b["id_signature"]["processor"].isNotNull()) & either("cpu")
+    parts = either("psu") & (F.size(a["id_parts"]) > 0) & (F.size(b["id_parts"]) > 0) & ~F.arrays_overlap(a["id_parts"], b["id_parts"])
+    return F.coalesce(other, tt.chosen([(cpu & (a["id_socket"] != b["id_socket"]), "socket"), (parts, "psu_part_number")]))
+
+
+def models_compatible(a: Column, b: Column) -> Column:
+    """Whether two models are of one product line: shared part numbers, else equal series, chips, phones or
+    boards, else equal models but for suffixes that say nothing; another generation or tier is none."""
+    sig = lambda k: (a["id_signature"][k], b["id_signature"][k])
+    left, right = a["id_model"], b["id_model"]
+    x, y = tt.compact_code(left), tt.compact_code(right)
+    short, long_ = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    rest = long_.substr(F.length(short) + 1, F.length(long_))
+    fives = (F.contains(x, F.lit("playstation5")) | x.startswith("ps5")) & (F.contains(y, F.lit("playstation5")) | y.startswith("ps5"))
+    family = lambda c: tt.chosen([(c.rlike("ryzen|amd"), "amd"), (c.rlike("intel|^corei"), "intel")])
+    cases = [(F.arrays_overlap(a["id_parts"], b["id_parts"]), F.lit(True))]
+    for k in ("ssd", "gpu", "phone", "motherboard"):
+        one, two = sig(k)
+        cases.append((one.isNotNull() & two.isNotNull(), one == two))
+    cpu = sig("processor")
+    cases += [
+        (left.isNull() | right.isNull(), F.lit(False)),
+        ((family(left) != family(right)) | (cpu[0] != cpu[1]), F.lit(False)),
+        ((left == right) | (x == y) | (F.concat(x, F.lit("i")) == y) | (F.concat(y, F.lit("i")) == x), F.lit(True)),
+        (fives, F.lit(True)),
+        ((F.length(short) < 10) | ~long_.startswith(short), F.lit(False)),
+        (rest.rlike(r"^\d") | rest.isin("ti", "super", "oc", "pro", "plus", "max", "ultra"), F.lit(False)),
+    ]
+    return tt.chosen(cases, rest.isin("", "digital", "disc", "bluray", "slim", "ps5", "i", "air")).cast("boolean")
+
+
+def decide(pairs: DataFrame) -> DataFrame:
+    """Pairs of identities (structs a, the reference, and b, the candidate) with decision, confidence decimal(5,4)
+    and reason: what the rules ask for is told first, then the first rule that holds, in order, decides."""
+    a, b = F.col("a"), F.col("b")
+    both = lambda f: a[f].isNotNull() & b[f].isNotNull()
+    overlap = lambda f: F.coalesce(F.arrays_overlap(a[f], b[f]), F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    kind = lambda name: yes((a["id_category"] == name) & (b["id_category"] == name))
+    agree = lambda k: yes(a["id_signature"][k] == b["id_signature"][k])
+    shared = F.filter(F.map_keys(a["id_variants"]), lambda k: F.map_contains_key(b["id_variants"], k))
+    variants = F.transform(shared, lambda k: F.struct(k.alias("k"), a["id_variants"][k].alias("x"), b["id_variants"][k].alias("y")))
+    told = pairs.withColumn("_variants", F.transform(variants, lambda v: F.when(tt.canonical_equal(v["k"], v["x"], v["y"]), 0).when(tt.canonical_uncertain(v["k"], v["x"], v["y"]), 1).otherwise(2)))
+    told = told.withColumns(
+        {
+            "_fits": brands_fit(a["id_brand"], b["id_brand"]),
+            "_exact": yes(F.lower(a["id_code"]) == F.lower(b["id_code"])),
+            "_critical": critical_conflict(a, b).isNotNull(),
+            "_extreme": price_extreme(a["price"], b["price"], F.coalesce(a["currency"] == b["currency"], F.lit(True))),
+            "_cpu": kind("cpu") & agree("processor"),
+            "_cooler": kind("cooler") & agree("cooler_model"),
+            "_compatible": yes(models_compatible(a, b)),
+            "_ratio": token_ratio(a["id_words"], b["id_words"]),
+            "_specs": F.when(kind("monitor"), F.size(F.filter(F.array(*map(F.lit, SPECS)), lambda k: a["id_specs"][k] == b["id_specs"][k]))).otherwise(0),
+        }
+    )
+    fits, exact, extreme, cpu, ratio, specs = (F.col(c) for c in ("_fits", "_exact", "_extreme", "_cpu", "_ratio", "_specs"))
+    # sparse titles beside advertising ones are no doubt where the family's own marks agree
+    exempt = cpu | F.col("_cooler") | kind("console") | (kind("gpu") & agree("gpu")) | (kind("motherboard") & agree("motherboard"))
+    soft = both("id_brand") & fits & (F.col("_cooler") | F.col("_compatible")) & (a["id_model"].eqNullSafe(b["id_model"]) | (ratio >= SOFT_TITLE) | exempt)
+    base = F.when(both("id_brand"), BRAND_WEIGHT).otherwise(0.0) + SPEC_WEIGHT * specs
+    weak = base + F.bround(TITLE_WEIGHT * F.bround(ratio, 4), 4)
+    weak = F.when(~both("id_gtin") & (specs < 3), F.least(weak, F.lit(TITLE_CAP))).otherwise(weak)
+    told = told.withColumns({"_soft": yes(soft), "_strong": F.greatest(F.lit(AUTO), base + MODEL_WEIGHT), "_weak": weak})
+    weak = F.least(F.when(extreme & (F.col("_weak") >= AUTO), REVIEW).otherwise(F.col("_weak")), F.lit(1.0))
+    weak = F.bround(weak.cast("decimal(12,8)"), 4)
+    # without a strong identifier nothing is certain
+    told = told.withColumn("_score", F.when(weak >= AUTO, F.least(weak, F.lit(0.89).cast("decimal(5,4)"))).otherwise(weak))
+    soft, strong, score = F.col("_soft"), F.col("_strong"), F.col("_score")
+    differs, uncertain = F.array_contains("_variants", 2), F.array_contains("_variants", 1)
+    old = b["id_condition"].isin("used", "open_box") & a["id_condition"].isin("new", "unknown")
+    carrier = a["id_lock"].isNull() & (b["id_lock"] == "locked")
+    same_gtin = both("id_gtin") & (a["id_gtin"] == b["id_gtin"])
+    reject = lambda reason: ("reject", F.lit(0.0), reason)
     rules = [
-        (differ("id_capacity"), result("reject", 0, "variant_conflict")),
-        (differ("id_category"), result("reject", 0, "category_conflict")),
-        (a("id_accessory") != b("id_accessory"), result("reject", 0, "accessory")),
-        (unlike, result("reject", 0, "condition")),
-        ((a("store") == b("store")) & (a("product_id") == b("product_id")), result("auto_match", 1, "same_listing")),
-        (both("id_gtin") & (a("id_gtin") == b("id_gtin")) & brand_fits, result("auto_match", 0.99, "gtin")),
-        (both("id_gtin") & (a("id_gtin") == b("id_gtin")), result("review", 0.85, "gtin_brand_conflict")),
-        (~brand_fits, result("reject", 0, "brand_conflict")),
-        (codes & (ratio >= SOFT_TITLE) & extreme, result("review", 0.88, "price_extreme")),
+        (both("id_code") & ~exact, *reject("monitor_model_code_conflict")),
+        (~exact & differs, *reject("variant_mismatch")),
+        (~exact & F.col("_critical"), *reject("critical_conflict")),
+        (b["id_accessory"] & ~a["id_accessory"], *reject("accessory_reject")),
+        (b["id_bundle"] & ~a["id_bundle"], *reject("bundle_reject")),
+        ((a["id_card"] & b["id_system"]) | (a["id_system"] & b["id_card"]), *reject("form_factor_reject")),
+        (old, *reject("condition_reject")),
+        ((a["id_lock"] == "unlocked") & (b["id_lock"] == "locked"), *reject("carrier_lock_reject")),
+        (exact & ~fits, "review", F.lit(0.85), "monitor_model_code_brand_conflict"),
+        (exact, "auto_match", F.lit(0.99), "monitor_model_code_exact"),
+        ((a["store"] == b["store"]) & (a["product_id"] == b["product_id"]), "auto_match", F.lit(1.0), "same_store_product_id"),
+        (same_gtin & ~fits, "review", F.lit(0.85), "gtin_brand_conflict"),
+        (same_gtin & carrier, "review", F.lit(0.88), "carrier_variant_uncertain"),
+        (same_gtin, "auto_match", F.lit(0.99), "gtin_exact"),
+        (overlap("id_parts") & ~fits, "review", F.lit(0.85), "mpn_brand_conflict"),
+        (overlap("id_parts"), "auto_match", F.lit(0.98), "mpn_exact"),
+        (overlap("id_numbers") & uncertain, "review", F.lit(0.85), "variant_semantic_uncertain"),
+        (overlap("id_numbers") & ~fits, "review", F.lit(0.85), "model_number_brand_conflict"),
+        (overlap("id_numbers"), "auto_match", F.lit(0.98), "model_number_exact"),
+        (cpu & ~fits, "review", F.lit(0.85), "processor_brand_conflict"),
+        (cpu, "auto_match", F.lit(0.98), "processor_model_exact"),
+        (~fits, *reject("brand_mismatch")),
+        (soft & uncertain, "review", F.least(strong, F.lit(0.89)), "variant_semantic_uncertain"),
+        (soft & extreme, "review", F.lit(0.88), "price_deviation"),
+        (soft & carrier, "review", F.lit(0.88), "carrier_variant_uncertain"),
+        (soft, "auto_match", F.least(strong, F.lit(0.97)), "brand_model_exact"),
+        (uncertain & (score < REVIEW), "review", F.lit(REVIEW), "variant_semantic_uncertain"),
+        (score >= REVIEW, "review", score, "score"),
     ]
-    out = result(by_score, score, "score")
-    for when, then in reversed(rules):
-        out = F.when(F.coalesce(when, F.lit(False)), then).otherwise(out)
-    return out
+    result = lambda d, c, r: F.struct(F.lit(d).alias("decision"), c.cast("decimal(5,4)").alias("confidence"), F.lit(r).alias("reason"))
+    out = result("reject", score, "score")
+    for when, decision, confidence, reason in reversed(rules):
+        out = F.when(yes(when), result(decision, confidence, reason)).otherwise(out)
+    told = told.withColumn("_s", out)
+    return told.select(*pairs.columns, "_s.decision", "_s.confidence", "_s.reason")
 
 
 def match(references: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Scored candidate pairs. Both sides: id, title, brand, gtin, price, currency, store, product_id."""
-    a, b = identity(references, "title", "brand", "gtin"), identity(candidates, "title", "brand", "gtin")
-    pairs = block(a.withColumn("k_gtin", F.array_compact(F.array("id_gtin"))), b.withColumn("k_gtin", F.array_compact(F.array("id_gtin"))), ["k_gtin", "id_codes"])
-    fields = ["id_gtin", "id_brand", "id_codes", "id_capacity", "id_category", "id_condition", "id_accessory", "id_tokens", "price", "currency", "store", "product_id"]
-    scored = pairs.join(a.select(F.col("id").alias("l"), F.struct(*fields).alias("a")), "l").join(b.select(F.col("id").alias("r"), F.struct(*fields).alias("b")), "r")
-    return scored.select("l", "r", F.col("b.store").alias("store"), F.col("b.id_gtin").alias("gtin"), decide().alias("s")).select("l", "r", "store", "gtin", "s.*")
+    """Scored candidate pairs (l, r, store, gtin, decision, confidence, reason). Both sides: id, title, brand,
+    gtin, price, currency, store, product_id."""
+    fields = ["id", "price", "currency", "store", "product_id", *IDENTITY]
+
+    def side(d: DataFrame) -> DataFrame:
+        known = identity(d, "title", "brand", "gtin").select(*fields)
+        return known.withColumn("keys", blocking_keys())
+
+    pairs = block(side(references), side(candidates))
+    return decide(pairs).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), F.col("b.store").alias("store"), F.col("b.id_gtin").alias("gtin"), "decision", "confidence", "reason")
+
+
+def prefilter(a: Column, b: Column) -> Column:
+    """Why a candidate with no more than a title needn't be looked at, or null; without a title it must be."""
+    title = F.size(b["id_words"]) > 0
+    old = b["id_condition"].isin("used", "open_box") & a["id_condition"].isin("new", "unknown")
+    form = (a["id_card"] & b["id_system"]) | (a["id_system"] & b["id_card"])
+    reasons = [(b["id_accessory"] & ~a["id_accessory"], "accessory_reject"), (b["id_bundle"] & ~a["id_bundle"], "bundle_reject"), (old, "condition_mismatch"), (form, "form_factor_mismatch")]
+    return F.when(title, F.coalesce(tt.chosen(reasons), critical_conflict(a, b), tt.chosen([(~brands_fit(a["id_brand"], b["id_brand"]), "brand_mismatch")])))
+
+
+def relevance(query: Column, title: Column, path: Column) -> Column:
+    """How well a found listing fits a query, as a struct that sorts descending: the whole query as one code,
+    words of a variant, words, and the title's length up to 200."""
+    words = lambda c: F.array_distinct(F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda w: w != ""))
+    compact = lambda c: F.regexp_replace(fold(c), "[^a-z0-9]+", "")
+    asked = F.filter(words(query), lambda w: F.length(w) >= 2)
+    held = F.array_union(words(F.coalesce(title, F.lit(""))), words(F.coalesce(path, F.lit(""))))
+    variants = F.filter(asked, lambda w: w.isin(*(x for x in (*tt.COLOR_OF, *tt.HUES) if " " not in x)) | w.rlike(r"^\d+(gb|tb)$"))
+    q = compact(query)
+    exact = (F.length(q) >= 8) & (F.contains(compact(F.coalesce(title, F.lit(""))), q) | F.contains(compact(F.coalesce(path, F.lit(""))), q))
+    return F.struct(exact.cast("int").alias("exact"), F.size(F.array_intersect(variants, held)).alias("variant_hits"), F.size(F.array_intersect(asked, held)).alias("hits"), F.least(F.length(fold(F.coalesce(title, F.lit("")))), F.lit(200)).alias("length"))
+
+
+def alignment(color: Column, storage: Column, title: Column) -> Column:
+    """How often a title names the wanted colour, by any of its names, or storage: as words and inside the text."""
+    hue = tt.canonical_color(fold(color))
+    names = F.create_map(*(x for h, labels in tt.COLORS for x in (F.lit(h), F.array(*map(F.lit, labels)))))
+    size = F.regexp_replace(fold(storage), r"\s+", "")
+    wanted = F.array_distinct(F.filter(F.concat(F.array_compact(F.array(fold(color), size, fold(storage))), F.coalesce(F.split(hue, " "), F.array().cast("array<string>")), F.coalesce(F.element_at(names, hue), F.array().cast("array<string>"))), lambda w: F.length(w) >= 2))
+    words = F.filter(F.split(fold(title), "[^a-z0-9]+"), lambda w: w != "")
+    flat = F.regexp_replace(fold(title), "[^a-z0-9]+", "")
+    return F.size(F.array_intersect(wanted, words)) + F.size(F.filter(wanted, lambda w: F.contains(flat, w)))
+
+
+def ranked(df: DataFrame, group: str, score: Column, order: str) -> DataFrame:
+    """Position, from 1, of each row of a group by score, best first; equal ones stay in their order."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(score.desc(), order)))
+
+
+def choose_reference(listings: DataFrame, priority: DataFrame, default: int = 40) -> DataFrame:
+    """The listing by which each product is looked up: made-up listings never, active ones before others, then by
+    the store's priority and an address that lasts. Takes product, store, url, canonical_url, product_id, status, ord."""
+    made_up = (F.lower("store") == "synthetic") & (F.lower("url").like("%://identity/%") | F.lower("product_id").like("identity:%"))
+    d = listings.where(~F.coalesce(made_up, F.lit(False))).join(F.broadcast(priority.select(F.col("store").alias("_store"), "priority")), F.lower("store") == F.col("_store"), "left").drop("_store")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    score = F.coalesce("priority", F.lit(default)) + F.when(~blank("canonical_url"), 3).when(~blank("url"), 2).otherwise(0)
+    active = F.lower("status") == "active"
+    any_active = F.max(active.cast("int")).over(Window.partitionBy("product")) == 1
+    d = d.withColumn("_pool", ~any_active | active).where("_pool").where(~(blank("canonical_url") & blank("url")))
+    order = Window.partitionBy("product").orderBy(score.desc(), "ord")
+    return d.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("product", "store", F.when(~blank("canonical_url"), F.trim("canonical_url")).otherwise(F.trim("url")).alias("url"))
+
+
+def store_waves(stores: DataFrame, best_locale: int = 10, rich: int = 55) -> DataFrame:
+    """Each store's wave and place: stores of the dominant locale with product codes (1), the others of that
+    locale (2), all else (3). Takes key, store, locale_rank, code_rank; a key's dominant locale is the
+    preferred one if it has a store of it, else the most frequent, the first met of equal ones (ord)."""
+    counts = stores.groupBy("key", "locale_rank").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    usual = counts.groupBy("key").agg(F.max_by("locale_rank", F.struct(F.when(F.col("locale_rank") == best_locale, 1).otherwise(0).alias("best"), "n", (-F.col("first")).alias("f"))).alias("dominant"))
+    d = stores.join(usual, "key")
+    own, codes = F.col("locale_rank") == F.col("dominant"), F.col("code_rank") <= rich
+    d = d.withColumn("wave", F.when(own & codes, 1).when(own, 2).otherwise(3))
+    place = Window.partitionBy("key", "wave").orderBy("locale_rank", (~codes).cast("int"), "code_rank", "store")
+    return d.select("key", "store", "wave", F.row_number().over(place).alias("place"))
+
+
+def eligible(stores: DataFrame, adapters: tuple[str, ...]) -> DataFrame:
+    """Stores that are built, switched on and have an adapter."""
+    return stores.where(F.col("implemented") & F.col("match_enabled") & F.col("store").isin(*adapters))
+
+
+def embedding_evidence(similarity: Column, place: Column, elapsed_ms: Column, text: Column, limit: int = 8, deadline_ms: int = 3000) -> Column:
+    """Status and similarity, to six places, of a candidate's vector: skipped beyond the limit, after the deadline or
+    without text, an error without a similarity."""
+    status = F.when(place > limit, "skipped_limit").when(elapsed_ms > deadline_ms, "skipped_deadline").when(F.coalesce(F.trim(text), F.lit("")) == "", "skipped_empty").when(similarity.isNull(), "error").otherwise("ok")
+    return F.struct(status.alias("status"), F.when(status == "ok", F.round(similarity, 6)).alias("similarity"))
 
 
 def best_per_store(scored: DataFrame) -> DataFrame:

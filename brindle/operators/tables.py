@@ -9,6 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column is so named."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last of both in `order`; of equal ones the new side's."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -17,24 +27,98 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], order: list[st
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The old rows, and of the new ones those whose key is not there."""
-    return old.unionByName(new.join(old.select(*key).distinct(), key, "left_anti"))
+    """The old rows, and of the new ones those whose key is not there, one of each key; a null is a key like others."""
+    a, b = new.dropDuplicates(key).alias("n"), old.select(*key).distinct().alias("o")
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}"))
+    return old.unionByName(a.join(b, same, "left_anti"))
 
 
 def enrich(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Full outer by key; a new value that isn't null wins."""
+    """Full outer by key; a new value that isn't null wins. Maps are merged, of a key in both the new value unless it is null."""
+    kinds = dict(old.dtypes)
     a, b = old.select(*key, *(F.col(c).alias(f"_o_{c}") for c in columns)), new.select(*key, *(F.col(c).alias(f"_n_{c}") for c in columns))
-    return a.join(b, key, "full").select(*key, *(F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in columns))
+
+    def one(c: str) -> Column:
+        if not kinds[c].startswith("map<"):
+            return F.coalesce(f"_n_{c}", f"_o_{c}").alias(c)
+        none = F.create_map().cast(kinds[c])
+        mine = F.map_filter(F.coalesce(f"_n_{c}", none), lambda k, v: v.isNotNull())
+        return merge_maps(F.coalesce(f"_o_{c}", none), mine).alias(c)
+
+    return a.join(b, key, "full").select(*key, *map(one, columns))
 
 
 def attach(claims: DataFrame, held: DataFrame, owner: str, value: str) -> DataFrame:
-    """Claims (owner, value) with what becomes of them: attached, kept (held already), or refused,
-    if the owner holds another value or another owner holds the value."""
+    """Claims (owner, value) with what becomes of them: attached, kept (held already), or refused, if the owner
+    holds another value or another owner holds the value. Of new claims that would refuse each other the
+    one with the smallest owner and value is attached first; each claim is judged once."""
     mine = held.groupBy(owner).agg(F.min(value).alias("_mine"))
     theirs = held.groupBy(value).agg(F.min(owner).alias("_theirs"))
-    d = claims.join(mine, owner, "left").join(theirs, value, "left")
-    outcome = F.when((F.col("_mine") == F.col(value)) & (F.col("_theirs") == F.col(owner)), "kept").when(F.col("_mine").isNotNull() | F.col("_theirs").isNotNull(), "refused").otherwise("attached")
-    return d.select(owner, value, outcome.alias("outcome"))
+    d = claims.dropDuplicates([owner, value]).join(mine, owner, "left").join(theirs, value, "left")
+    kept = (F.col("_mine") == F.col(value)) & (F.col("_theirs") == F.col(owner))
+    free = F.col("_mine").isNull() & F.col("_theirs").isNull()
+    # a value goes to its first free claim, and an owner takes the first value that it got
+    first = F.row_number().over(Window.partitionBy(value, free).orderBy(owner)) == 1
+    d = d.withColumn("_got", free & first)
+    only = F.row_number().over(Window.partitionBy(owner, "_got").orderBy(value)) == 1
+    return d.select(owner, value, F.when(kept, "kept").when(F.col("_got") & only, "attached").otherwise("refused").alias("outcome"))
+
+
+def reparent(old: DataFrame, new: DataFrame, key: list[str], parent: str, columns: list[str], allow: bool = False) -> DataFrame:
+    """Listings after an upsert by key: new values that aren't null win, and new keys come in; a listing keeps its
+    parent, unless moving it is allowed. refused tells whose new parent was not taken."""
+    a, b = old.select(*key, F.col(parent).alias("_op"), *(F.col(c).alias(f"_o_{c}") for c in columns)), new.select(*key, F.col(parent).alias("_np"), *(F.col(c).alias(f"_n_{c}") for c in columns))
+    moved = F.col("_op").isNotNull() & F.col("_np").isNotNull() & (F.col("_op") != F.col("_np"))
+    chosen = F.coalesce("_np", "_op") if allow else F.coalesce("_op", "_np")
+    return a.join(b, key, "full").select(*key, chosen.alias(parent), *(F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in columns), (moved & F.lit(not allow)).alias("refused"))
+
+
+def update_where(df: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:
+    """Rows with new values where the condition holds; elsewhere, and where it is null, as they are."""
+    yes = F.coalesce(when, F.lit(False))
+    return df.select(*(F.when(yes, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
+
+
+def append(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
+    """Add rows to a parquet table; rows that are written twice are there twice."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+
+
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """Rows whose columns hold these values; a list is any of its values."""
+    for c, v in keys.items():
+        df = df.where(F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c) == v)
+    return df
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:
+    """Parents with their children as an ordered array of structs: one pass instead of a lookup each. A
+    parent's children must fit in a row."""
+    columns = [c for c in children.columns if c not in (key, *order)]
+    grouped = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *columns))).alias(name))
+    kind = grouped.schema[name].dataType
+    return parents.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+
+def bounded_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """A page by place, with the limit held to 1 to 100 and the offset to 0 and more."""
+    return df.orderBy(*order).offset(max(0, offset)).limit(min(100, max(1, limit)))
+
+
+def sanitized(value: object, depth: int = 4) -> object:
+    """A value as plain JSON: deeper levels and other kinds of values become text, keys are text."""
+    if value is None or isinstance(value, bool | int | float | str):
+        return value
+    if depth <= 0:
+        return str(value)
+    if isinstance(value, dict):
+        return {str(k): sanitized(v, depth - 1) for k, v in value.items()}
+    if isinstance(value, list | tuple | set | frozenset):
+        return [sanitized(v, depth - 1) for v in value]
+    return str(value)
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -45,7 +129,8 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 def first_hit(df: DataFrame, lookups: list[DataFrame], keys: list[list[str]], value: str) -> DataFrame:
     """The value of the first lookup that knows the row, in order of the lookups."""
     for i, (lookup, key) in enumerate(zip(lookups, keys, strict=True)):
-        df = df.join(lookup.select(*key, F.col(value).alias(f"_hit{i}")), key, "left")
+        one = lookup.groupBy(*key).agg(F.min(value).alias(f"_hit{i}"))  # a key that repeats gives one row all the same
+        df = df.join(one, key, "left")
     return df.withColumn(value, F.coalesce(*(F.col(f"_hit{i}") for i in range(len(lookups))))).drop(*(f"_hit{i}" for i in range(len(lookups))))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +9,7 @@ from ..functions import text as tx
 from ..functions import values as vx
 from ..operators import cdc, fx, matching, tables
 from ..sources import pages as pg
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .registry import ORACLE_SQL, QUERIES, query, seconds_exact, t  # noqa: F401
 
 
 def seconds(c: str):
@@ -89,10 +70,10 @@ def change_feed_page(spark, sf_dir):
 
 @query("""SELECT event_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id=e.user_id AND (p.ts=e.ts OR date_trunc('hour',p.ts)=date_trunc('hour',e.ts)) AND ((e.event_type='view' AND p.event_type IN ('click','purchase')) OR (e.event_type='click' AND p.event_type='purchase') OR (e.event_type=p.event_type AND p.event_id>e.event_id)))""")
 def feed_suppression(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts")
-    same = F.expr("p.ts = e.ts or date_trunc('hour', p.ts) = date_trunc('hour', e.ts)")
+    """Equal times lie in one hour, so the hour is a key beside the user and no user meets itself as a whole."""
+    e = t(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.date_trunc("hour", "ts").alias("hour"))
     outranks = F.expr("(e.event_type = 'view' and p.event_type in ('click', 'purchase')) or (e.event_type = 'click' and p.event_type = 'purchase') or (e.event_type = p.event_type and p.event_id > e.event_id)")
-    return tables.suppress(e, ["user_id"], same, outranks).select("event_id", "event_type")
+    return tables.suppress(e, ["user_id", "hour"], F.lit(True), outranks).select("event_id", "event_type")
 
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(props->>'$.k','^[0-9]+(\\.[0-9]+)?$') AND CAST(props->>'$.k' AS DECIMAL(18,4))>0 THEN CAST(props->>'$.k' AS DECIMAL(18,4)) END AS amount FROM events""")
@@ -157,10 +138,12 @@ def latency_percentiles(spark, sf_dir):
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) rn, count(*) OVER (PARTITION BY event_type) n FROM events) SELECT event_type, max(CASE WHEN rn=1+CAST(floor(0.95*(n-1)) AS BIGINT) THEN value END) AS p95 FROM r GROUP BY 1""")
 def percentile_lower_index(spark, sf_dir):
-    """The value at the lower index, by rank, without collecting the group."""
+    """The value at the lower index, by the counts of equal values: a group's rows are never in one task."""
     w = Window.partitionBy("event_type")
-    d = t(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    return d.where(F.col("rn") == 1 + F.floor(0.95 * (F.col("n") - 1))).groupBy("event_type").agg(F.max("value").alias("p95"))
+    c = t(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    d = c.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    place = 1 + F.floor(0.95 * (F.col("n") - 1))
+    return d.where((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select("event_type", F.col("value").alias("p95"))
 
 
 @query(f"""WITH o AS ({OBS}) SELECT listing_id, obs_id, sha256('{{"availability":"' || availability || '","currency":"USD","pix_price":null,"price":"' || CAST(price AS VARCHAR) || '","seller":"' || lower(seller) || '"}}') AS fingerprint FROM o""")
@@ -225,21 +208,11 @@ def canonical_urls(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", tx.canonical_url(F.col("url")).alias("url"))
 
 
-@query()
-def url_title_hints(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", tx.title_hint(F.col("url")).alias("hint"), tx.request_fingerprint(F.lit("store"), F.col("url"), F.col("page_id").cast("string"), F.lit(None).cast("string")).alias("request"))
-
-
 @query("""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html,'(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>',1),'<[^>]*>',' ','g'),'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&amp;','&'),'\\s+',' ','g')),'') AS h1 FROM pages""")
 def page_headings(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", pg.element(F.col("html"), "h1").alias("h1"))
 
 
-@query()
-def page_products(spark, sf_dir):
-    return pg.parse_pages(t(spark, sf_dir, "pages"))
-
-
 BODY = "lpad(CAST(l_orderkey*10+l_linenumber AS VARCHAR),12,'0')"
 
 
@@ -347,10 +320,6 @@ def hang_gaps(spark, sf_dir):
     return d.where("gap_s > 3600").select("event_id", "gap_s")
 
 
-def seconds_exact(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-
-
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id,date_trunc('day',ts) ORDER BY ts,event_id)<=5 AS within FROM events""")
 def attempt_budget(spark, sf_dir):
     w = Window.partitionBy("user_id", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
@@ -390,36 +359,6 @@ def staging_round_trip(spark, sf_dir):
     return staged.select(F.from_json("staged", "event_id long, event_type string, value double, k long").alias("r")).select("r.*")
 
 
-@query()
-def ttl_deduplication(spark, sf_dir):
-    g = t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(seconds_exact("ts"))).alias("times"))
-    return g.select("user_id", F.size("times").cast("long").alias("n"), F.size(cdc.ttl_claims(F.col("times"), 3600)).cast("long").alias("claimed"))
-
-
-@query()
-def token_bucket(spark, sf_dir):
-    g = t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(seconds_exact("ts"))).alias("times"))
-    return g.select("user_id", F.size(F.filter(cdc.token_bucket(F.col("times"), 3, 3600), lambda x: ~x)).cast("long").alias("denied"))
-
-
-@query()
-def circuit_breaker(spark, sf_dir):
-    o = F.struct(seconds_exact("ts").alias("t"), F.col("event_id"), (F.col("event_type") != "error").alias("ok"))
-    g = t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(o)).alias("outcomes"))
-    states = cdc.breaker_states(F.col("outcomes"), 2, 300)
-    return g.select("user_id", F.array_join(states, ",").alias("states"))
-
-
-@query()
-def product_matching(spark, sf_dir):
-    """All parts matched to all parts and copies of them by codes in their names, best per store."""
-    p = t(spark, sf_dir, "part")
-    side = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "#", "")).alias("title"), F.col("p_brand").alias("brand"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("gtin"), F.col("p_retailprice").cast("decimal(18,4)").alias("price"), F.lit("USD").alias("currency"), F.concat(F.lit("s"), (F.col("p_partkey") % 7).cast("string")).alias("store"), F.col("p_partkey").cast("string").alias("product_id"))
-    side = side.withColumn("gtin", F.concat("gtin", vx.gtin_check_digit(F.col("gtin")).cast("string")))
-    scored = matching.match(side, side.unionByName(side.withColumn("id", F.col("id") + 1000000).withColumn("store", F.lit("copy"))))
-    return matching.best_per_store(scored).select("l", "r", "store", "decision", "confidence", "reason")
-
-
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(round(sum(l_quantity)) AS BIGINT) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def extension_cube(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity")).cast("long").alias("qty"))
@@ -471,42 +410,6 @@ def unit_normalisers(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", vx.capacity(title).alias("capacity"), vx.frequency(title).alias("frequency"), vx.wattage(title).alias("wattage"), vx.length_mm(title).alias("length"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type='click' THEN 'auto_match' ELSE 'review' END AS decision, CAST(CASE WHEN event_type='click' THEN 0.9 ELSE 0.8 END AS DECIMAL(5,4)) AS confidence FROM events WHERE event_type IN ('click','view')""")
-def evidence_gate(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_type in ('click', 'view')")
-    g = matching.evidence_gate(F.lit("review"), F.lit(0.8), F.col("event_type") == "click", F.lit(0.95), F.lit(False))
-    return e.select("event_id", g.alias("g")).select("event_id", "g.*")
-
-
-@query("""SELECT rate_type, source, CAST(rate AS DECIMAL(24,12)) AS rate FROM (VALUES ('market','bcp','0.00071'),('ptax_buy','bcb','0.0007')) v(rate_type,source,rate)""")
-def rate_fallback(spark, sf_dir):
-    """The preferred source of each pair and type, else the next."""
-    both = rates(spark).unionByName(rates(spark).where("base = 'PYG'").withColumn("source", F.lit("zz")))
-    return fx.prefer_source(both, ("bcb", "bcp")).where("base = 'PYG'").select("rate_type", "source", "rate")
-
-
-@query("""SELECT CAST('PYG' AS VARCHAR) AS base, 'USD' AS quote, 'official' AS rate_type, CAST('0.000136986301' AS DECIMAL(24,12)) AS rate""")
-def rate_inverse(spark, sf_dir):
-    return fx.inverse(rates(spark), "USD", "PYG")
-
-
-def _word_case(rules, column: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '\\b({'|'.join(words)})\\b') THEN '{name}'" for name, words in rules)
-
-
-@query(f"SELECT p_partkey, {_word_case(matching.CONDITIONS, 'p_name')} ELSE 'unknown' END AS condition, {_word_case(matching.CATEGORIES, 'p_name')} END AS category FROM part")
-def title_identity(spark, sf_dir):
-    """Category and condition by word lists, the first that holds."""
-    return t(spark, sf_dir, "part").select("p_partkey", matching.condition(F.col("p_name")).alias("condition"), matching.category(F.col("p_name")).alias("category"))
-
-
-@query()
-def promotion_lifecycle(spark, sf_dir):
-    o = F.struct(seconds_exact("ts").alias("t"), F.when(F.col("event_type") == "purchase", F.round("value")).alias("price"), F.when(F.col("event_type") == "purchase", seconds_exact("ts") + 3600).alias("expires"))
-    g = t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(o)).alias("seen"))
-    return g.select("user_id", F.array_join(cdc.promotion_events(F.col("seen"), F.lit(4e9)), ",").alias("events"))
-
-
 @query("""SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, CAST(max(l_quantity) AS BIGINT) AS top FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal>0) GROUP BY 1""")
 def extension_distinct(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "supplier").where("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
@@ -523,3 +426,6 @@ def extension_ranks(spark, sf_dir):
     w = Window.partitionBy("l_suppkey").orderBy("l_quantity")
     v = Window.partitionBy("l_suppkey").orderBy("l_quantity", "l_orderkey", "l_linenumber")
     return t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.ntile(4).over(v).cast("long").alias("q"))
+
+
+from . import feed, keyed, landing, monitoring, titles  # noqa: E402, F401  (they add their queries)

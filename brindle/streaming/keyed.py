@@ -1,87 +1,120 @@
-"""Keyed state over event streams.
+"""Keyed state over event streams: the transitions of `steps`, with state that expires.
 
-Each operator is a transition function on a key's small state and a time-ordered batch of its
-events; the batch folds in operators.cdc give the same results on a table.
+Each operator keeps one small value per key for as long as it can matter: a key that stays silent
+for longer than that has no state, which is the same as a new one. State is kept in the store that
+the session sets; transformWithState needs the RocksDB one.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from . import steps
 
-def token_bucket_step(state: tuple | None, at: float, limit: int, window: int) -> tuple[tuple, dict]:
-    tokens, last = state or (float(limit), at)
-    rate = limit / window
-    tokens = min(float(limit), tokens + max(0.0, at - last) * rate)
-    allowed = tokens >= 1 - 1e-9
-    tokens = max(0.0, tokens - 1) if allowed else tokens
-    return (tokens, at), {"allowed": allowed, "remaining": max(0, math.floor(tokens)), "retry_after": 0 if allowed else max(1, math.ceil((1 - tokens) / rate))}
+#: The state store that transformWithState needs, for spark.sql.streaming.stateStore.providerClass.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ttl_step(state: tuple | None, at: float, ttl: int) -> tuple[tuple, dict]:
-    until = state[0] if state else 0.0
-    claimed = not until > at
-    return ((at + ttl) if claimed else until,), {"claimed": claimed}
+class _Keyed(StatefulProcessor):
+    """One value per key, as JSON text, that lives `ttl_ms` after its last event."""
 
+    def __init__(self, step: Callable[[Any, Any], tuple[Any, tuple]], names: list[str], ttl_ms: int):
+        self.step, self.names, self.ttl_ms = step, names, ttl_ms
 
-def breaker_step(state: tuple | None, at: float, ok: bool, threshold: int, cooldown: int) -> tuple[tuple, dict]:
-    failures, opened = state or (0, -1.0)
-    now = "closed" if opened < 0 else "half_open" if at >= opened + cooldown else "open"
-    if now != "open":
-        failures = 0 if ok else failures + 1
-        opened = at if not ok and failures >= threshold else -1.0
-    return (failures, opened), {"state": now}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "value string", self.ttl_ms)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        held = self.state.get()[0] if self.state.exists() else None
+        now = None if held is None else _tuples(json.loads(held))
+        found = []
+        for row in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples(index=False):
+            now, result = self.step(now, row)
+            found.append((*key, row.event_id, *result))
+        self.state.update((json.dumps(now),))
+        yield pd.DataFrame(found, columns=self.names)
 
-def _keyed(df: DataFrame, key: str, out: str, state: str, step: Callable[[tuple | None, Any], tuple[tuple, dict]]) -> DataFrame:
+    def close(self) -> None:
+        pass
+
+
+def _tuples(x: Any) -> Any:
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+
+
+def _keyed(df: DataFrame, key: str, out: str, step: Callable[[Any, Any], tuple[Any, tuple]], ttl: float) -> DataFrame:
     """Events in order of their time within each micro-batch, one result row each."""
+    schema = f"{key} {dict(df.dtypes)[key]}, event_id long, {out}"
+    names = [key, "event_id", *(c.strip().split()[0] for c in out.split(","))]
+    return df.groupBy(key).transformWithStateInPandas(_Keyed(step, names, int(1000 * ttl)), schema, "append", "processingTime")
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        now, found = (held.get if held.exists else None), []
-        for row in rows.itertuples(index=False):
-            now, result = step(now, row)
-            found.append({key: k[0], "event_id": row.event_id, **result})
-        held.update(now)
-        yield pd.DataFrame(found)
 
-    return df.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+def rate_limit(events: DataFrame, limit: int = 5, window: int = 60, key: str = "user_id", keep: float = 86400) -> DataFrame:
+    """Token bucket per key over (key, event_id, at in seconds). A bucket that is left alone is full after
+    `window` seconds of event time; state is kept `keep` seconds of processing time, at least that."""
 
+    def step(state, row):
+        return steps.bucket(state, row.at, limit, window)
 
-def rate_limit(events: DataFrame, limit: int = 5, window: int = 60) -> DataFrame:
-    """Token bucket per user_id over (user_id, event_id, at in seconds)."""
-    return _keyed(events, "user_id", "user_id long, event_id long, allowed boolean, remaining int, retry_after int", "tokens double, at double", lambda s, r: token_bucket_step(s, r.at, limit, window))
+    return _keyed(events, key, "allowed boolean, remaining int, retry_after int", step, max(keep, window))
 
 
-def dedup_ttl(events: DataFrame, ttl: int = 3600) -> DataFrame:
+def dedup_ttl(events: DataFrame, ttl: int = 3600, key: str = "user_id", keep: float = 86400) -> DataFrame:
     """Whether each event claims its key, which stays claimed for `ttl` seconds."""
-    return _keyed(events, "user_id", "user_id long, event_id long, claimed boolean", "until double", lambda s, r: ttl_step(s, r.at, ttl))
 
+    def step(state, row):
+        state, claimed = steps.claim(state, row.at, ttl)
+        return state, (claimed,)
 
-def circuit_breaker(events: DataFrame, threshold: int = 5, cooldown: int = 300) -> DataFrame:
+    return _keyed(events, key, "claimed boolean", step, max(keep, ttl))
+
+
+def circuit_breaker(events: DataFrame, threshold: int = 5, cooldown: int = 300, key: str = "user_id", keep: float = 86400) -> DataFrame:
     """Breaker state before each event; events carry ok."""
-    return _keyed(events, "user_id", "user_id long, event_id long, state string", "failures int, opened double", lambda s, r: breaker_step(s, r.at, bool(r.ok), threshold, cooldown))
+
+    def step(state, row):
+        state, now = steps.breaker(state, row.at, bool(row.ok), threshold, cooldown)
+        return state, (now,)
+
+    return _keyed(events, key, "state string", step, max(keep, cooldown))
+
+
+def request_spacing(events: DataFrame, url_ttl: int = 60, host_ttl: int = 2, keep: float = 86400) -> DataFrame:
+    """Whether each request (host, url, event_id, at) may go out: code of the refusal, or null, and seconds to wait."""
+
+    def step(state, row):
+        return steps.cooldown(state, row.at, row.url, url_ttl, host_ttl)
+
+    return _keyed(events, "host", "code string, retry_after int", step, max(keep, url_ttl, host_ttl))
+
+
+def promotions(observations: DataFrame, keep: float = 90 * 86400) -> DataFrame:
+    """Events of each listing's promotion from (listing, event_id, at, seen, price, expires)."""
+
+    def step(state, row):
+        nothing = lambda x: None if x is None or x != x else float(x)
+        state, events = steps.promotion(state, row.at, bool(row.seen), nothing(row.price), nothing(row.expires))
+        return state, (",".join(events),)
+
+    return _keyed(observations, "listing", "events string", step, keep)
 
 
 def latest_into(events: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str]):
     """Keep the latest row of each key in a parquet table, batch by batch. A batch writes a new version
-    under its own number, so that one that is repeated after a failure gives the same table."""
-    from pyspark.errors import AnalysisException
+    under its own number, so that one that is repeated after a failure gives the same table.
 
+    Batch 0 starts the table; a later batch whose version before is missing fails, as its history is lost.
+    """
     from ..operators.tables import upsert_latest
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-        except AnalysisException:
-            old = batch.limit(0)
+        old = batch.sparkSession.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
         upsert_latest(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -45,7 +45,8 @@ def test_query(spark, duck, name):
 
 def test_every_part_is_a_reference(spark):
     parts = {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
-    assert {r.l for r in catalog.QUERIES["product_matching"](spark, SF).select("l").collect()} == parts
+    pairs = catalog.QUERIES["product_matching"](spark, SF).select("l", "r").collect()
+    assert {p.l for p in pairs} == {p.r for p in pairs} == parts
 
 
 def test_entry(spark):

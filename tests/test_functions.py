@@ -10,7 +10,7 @@ from brindle.functions import text as tx
 from brindle.functions import values as vx
 from brindle.operators import cdc, fx, matching, tables
 from brindle.sources import pages
-from brindle.streaming import keyed
+from brindle.streaming import keyed, steps
 
 
 def one(spark, data, ddl, *columns):
@@ -26,7 +26,9 @@ def test_text(spark):
     assert one(spark, urls, "s string", tx.canonical_url(c)) == [("https://shop.com/a/b?Q=1",), ("http://h/",), ("http://h/",)]
     hints = [("https://s/placa-de-video_x/p/99/?a=1",), ("https://s/123456789.html",), ("https://s/long-product-name",), ("https://s/short",), ("https://s/",), (None,)]
     assert one(spark, hints, "s string", tx.title_hint(c)) == [("placa de video x",), (None,), ("long product name",), (None,), (None,), (None,)]
-    assert one(spark, [("Bearer abc.def x://u:p@h",)], "s string", tx.redact(c)) == [("Bearer *** x://u:***@h",)]
+    assert one(spark, [("Bearer abc.def!x x://u:p@h",)], "s string", tx.redact(c)) == [("Bearer *** x://u:***@h",)]
+    assert one(spark, [("ﬁne e\u0301t ①Ａ",)], "s string", tx.fold(c)) == [("fine et 1a",)]
+    assert one(spark, [("https://s/A+B-caf%C3%A9/p/1",)], "s string", tx.title_hint(c)) == [("A+B café",)]
     pair = one(spark, [("SSD 128 GB Azul", "ssd 128gb"), ("", "a")], "s string, t string", tx.token_ratio(tx.title_tokens(c), tx.title_tokens(F.col("t"))))
     assert pair == [(pytest.approx(2 / 3),), (0.0,)]
     assert one(spark, [({"b": "2", "a": "1"},), ({},)], "s map<string,string>", tx.variant_key(c)) == [("a=1|b=2",), (None,)]
@@ -75,27 +77,39 @@ def test_as_of_ties(spark):
     assert {r.l: r.as_of for r in cdc.as_of(left, right, ["k"], "t", "v", "i").collect()} == {"x": "b", "y": None, "z": None}
 
 
-def test_folds_agree_with_the_stream_steps(spark):
-    times = [0.0, 1.0, 2.0, 2.5, 30.0, 31.0, 400.0, 401.0]
-    oks = [True, False, False, False, True, False, False, True]
-    outcomes = [(t, o) for t, o in zip(times, oks, strict=True)]
-    d = spark.createDataFrame([(times, outcomes)], "t array<double>, o array<struct<t:double,ok:boolean>>")
-    bucket, ttl, states = d.select(cdc.token_bucket(F.col("t"), 2, 10), cdc.ttl_claims(F.col("t"), 30), cdc.breaker_states(F.col("o"), 2, 20)).first()
-    s, got = None, []
-    for x in times:
-        s, r = keyed.token_bucket_step(s, x, 2, 10)
-        got.append(r["allowed"])
-    assert bucket == got
-    s, got = None, []
-    for x in times:
-        s, r = keyed.ttl_step(s, x, 30)
-        got += [x] * r["claimed"]
-    assert ttl == got
-    s, got = None, []
-    for x, ok in outcomes:
-        s, r = keyed.breaker_step(s, x, ok, 2, 20)
-        got.append(r["state"])
-    assert states == got and "half_open" in got and "open" in got
+def test_steps():
+    state, got = None, []
+    for at in (0.0, 1.0, 2.0, 2.5, 30.0, 31.0):
+        state, (allowed, left, wait) = steps.bucket(state, at, 2, 8)
+        got.append((allowed, left, wait))
+    assert got == [(True, 1, 0), (True, 0, 0), (False, 0, 2), (False, 0, 2), (True, 1, 0), (True, 0, 0)]
+    state, got = None, []
+    for at in (0.0, 29.0, 30.0, 31.0):
+        state, claimed = steps.claim(state, at, 30)
+        got.append(claimed)
+    assert got == [True, False, True, False]
+    state, got = None, []
+    for at, ok in ((0.0, False), (1.0, False), (2.0, True), (25.0, False), (26.0, True), (50.0, True), (51.0, True)):
+        state, now = steps.breaker(state, at, ok, 2, 20)
+        got.append(now)
+    assert got == ["closed", "closed", "open", "half_open", "open", "half_open", "closed"]
+    state, got = None, []
+    for at, url in ((0.0, "a"), (1.0, "b"), (3.0, "a"), (3.0, "b"), (70.0, "a")):
+        state, (code, wait) = steps.cooldown(state, at, url, 60, 2)
+        got.append((code, wait))
+    assert got == [(None, 0), ("RATE_LIMITED", 1), ("DUPLICATE_REQUEST", 57), (None, 0), (None, 0)]
+    state, got = None, []
+    for at, seen, expires, same in ((0.0, True, 10.0, True), (1.0, True, 10.0, True), (2.0, True, 20.0, True), (3.0, True, 1.0, False), (30.0, False, None, True), (31.0, True, 40.0, True), (50.0, True, 45.0, True)):
+        state, events = steps.promotion(state, at, seen, 1.0, expires, same)
+        got.append(",".join(events))
+    assert got == ["promotion_activated", "", "promotion_updated", "", "promotion_expired", "promotion_activated", "promotion_expired"]
+
+
+def test_sorted_fold_takes_keys_one_by_one(spark):
+    d = spark.createDataFrame([(k, i) for i in range(300) for k in ("a", "b", None)], "k string, i int").repartition(5)
+    out = cdc.sorted_fold(d.withColumn("o", F.col("i")), ["k"], ["o"], lambda: 0, lambda s, r: (s + r[0], (r[0], s + r[0])), ["i"], "i int, total long").collect()
+    assert len(out) == 900 and {(r.k, r.total) for r in out if r.i == 299} == {(k, 44850) for k in ("a", "b", None)}
+    assert cdc.sorted_fold(d.limit(0).withColumn("o", F.col("i")), ["k"], ["o"], lambda: 0, lambda s, r: (s, None), ["i"], "i int").count() == 0
 
 
 def test_early_best(spark):
@@ -153,22 +167,44 @@ def test_labelled_pairs(spark, tmp_path):
     assert {(r.sample_id, r.rule) for r in bad.collect()} == {("b", "repeated"), ("c", "schema_version"), ("d", "crosses_splits"), ("e", "crosses_splits"), (None, "unreadable")}
 
 
+def test_batches_of_claims_and_inserts(spark):
+    held = spark.createDataFrame([(1, 10)], "o int, v int")
+    claims = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 30), (4, 30), (5, 50), (5, 51), (5, 50)], "o int, v int")
+    got = {(r.o, r.v): r.outcome for r in tables.attach(claims, held, "o", "v").collect()}
+    assert got == {(1, 10): "kept", (1, 11): "refused", (2, 10): "refused", (3, 30): "attached", (4, 30): "refused", (5, 50): "attached", (5, 51): "refused"}
+    new = spark.createDataFrame([(2, "x"), (2, "y"), (None, "z"), (None, "z")], "k int, v string")
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    once = tables.insert_missing(old, new, ["k"])
+    assert once.count() == 3 and tables.insert_missing(once, new, ["k"]).count() == 3
+    hits = tables.first_hit(spark.createDataFrame([(1,)], "k int"), [spark.createDataFrame([(1, "b"), (1, "a")], "k int, found string")], [["k"]], "found")
+    assert [r.found for r in hits.collect()] == ["a"]
+
+
+def test_sanitized_values():
+    assert tables.sanitized({"a": {"b": {"c": {"d": {"e": 1}}}}, 2: {3}}) == {"a": {"b": {"c": {"d": "{'e': 1}"}}}, "2": [3]}
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TILE_ROWS", 3)
+    rows = [(i, sorted({"all", f"g{i % 4}"})) for i in range(20)]
+    d = spark.createDataFrame(rows, "id int, keys array<string>")
+    pairs = [(r.a.id, r.b.id) for r in matching.block(d, d).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(20) for j in range(20)]
+
+
 def test_matching(spark):
     ddl = "id long, title string, brand string, gtin string, price decimal(18,4), currency string, store string, product_id string"
     row = lambda i, title, brand="Acme", gtin=None, price=10, store="s": (i, title, brand, gtin, Decimal(price), "USD", store, str(i))
-    refs = spark.createDataFrame([row(1, "Acme Monitor XB27q 128GB", gtin="7891991010863", store="r")], ddl)
-    cands = spark.createDataFrame([row(10, "ACME monitor XB27q 128 GB"), row(11, "Acme monitor XB27Q 256GB"), row(12, "Other", gtin="7891991010863", store="t"), row(13, "Other", brand="Zed", gtin="7891991010863"), row(14, "Acme monitor XB27Q usado 128GB", price=99)], ddl)
+    refs = spark.createDataFrame([row(1, "Acme Monitor XB27q 27\" QHD", gtin="7891991010863", store="r")], ddl)
+    cands = spark.createDataFrame([row(10, "ACME monitor XB27q 27\""), row(11, "Acme monitor XB27Z 27\"", gtin="7891991010863"), row(12, "Other", gtin="7891991010863", store="t"), row(13, "Other", brand="Zed", gtin="7891991010863"), row(14, "Acme monitor XB27Q usado", price=99)], ddl)
     got = {r.r: (r.decision, r.reason) for r in matching.match(refs, cands).collect()}
-    assert got[10] == ("auto_match", "score") and got[11] == ("reject", "variant_conflict")
-    assert got[12][0] == "reject" or got[12] == ("auto_match", "gtin")
-    assert got[13] == ("review", "gtin_brand_conflict")
-    best = matching.best_per_store(matching.match(refs, cands))
-    assert {(r.store, r.r) for r in best.where("decision = 'auto_match'").collect()} >= {("s", 10)}
+    assert got == {10: ("auto_match", "monitor_model_code_exact"), 11: ("reject", "monitor_model_code_conflict"), 12: ("auto_match", "gtin_exact"), 13: ("review", "gtin_brand_conflict"), 14: ("reject", "condition_reject")}
 
 
 def test_streams(spark, tmp_path):
     rows = [(1, i, float(t)) for i, t in enumerate([0, 1, 2, 3, 100])]
     spark.createDataFrame(rows, "user_id long, event_id long, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.STORE)
     events = spark.readStream.schema("user_id long, event_id long, at double").parquet(str(tmp_path / "in"))
     q = keyed.rate_limit(events, 2, 100).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -176,3 +212,25 @@ def test_streams(spark, tmp_path):
     w = keyed.latest_into(events, str(tmp_path / "t"), str(tmp_path / "c2"), ["user_id"], ["at"]).trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v=0")).collect()] == [(1, 4, 100.0)]
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_missing_version_is_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    found = []
+
+    class Events:
+        class writeStream:
+            @staticmethod
+            def foreachBatch(write):
+                found.append(write)
+                return Events.writeStream
+
+            @staticmethod
+            def option(*_):
+                return None
+
+    keyed.latest_into(Events, str(tmp_path / "t"), "c", ["k"], ["k"])
+    with pytest.raises(AnalysisException):
+        found[0](spark.range(1).withColumnRenamed("id", "k"), 5)
