@@ -167,9 +167,9 @@ def product_matching(spark, sf_dir):
     what their titles say."""
     key, group, place = F.col("p_partkey"), F.floor(F.col("p_partkey") / 8), F.col("p_partkey") % 8
     code = F.concat(F.lit("MZ-V"), F.lpad(group.cast("string"), 7, "0"))
-    name = F.concat_ws(" ", F.lit("SSD"), F.when(place == 6, "Zed").otherwise(F.concat(F.lit("Acme"), (group % 50).cast("string"))), F.lit("NVMe 990 PRO"), F.when(place == 2, "2TB").otherwise("1TB"), code)
+    name = F.concat_ws(" ", F.lit("SSD"), F.concat(F.when(place == 6, "Zed").otherwise("Acme"), group.cast("string")), F.lit("NVMe 990 PRO"), F.when(place == 2, "2TB").otherwise("1TB"), code)
     title = F.when(place == 3, F.concat(name, F.lit(" usado"))).when(place == 4, F.concat(F.lit("Capa para "), name)).when(place == 7, F.concat(name, F.lit(" bundle"))).otherwise(name)
-    brand = F.when(place == 6, "Zed").otherwise(F.concat(F.lit("Acme "), (group % 50).cast("string")))
+    brand = F.concat(F.when(place == 6, "Zed ").otherwise("Acme "), group.cast("string"))
     store = F.when(place.isin(0, 5), "first").otherwise(F.concat(F.lit("s"), place.cast("string")))
     product = F.when(place.isin(0, 5), group).otherwise(key).cast("string")
     d = t(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), brand.alias("brand"), F.lit(None).cast("string").alias("gtin"), F.col("p_retailprice").cast("decimal(18,4)").alias("price"), F.lit("USD").alias("currency"), store.alias("store"), product.alias("product_id"))
