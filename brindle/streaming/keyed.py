@@ -1,8 +1,6 @@
-"""Keyed state over event streams: the transitions of `steps`, with state that expires.
+"""Keyed state over event streams: the transitions of `steps`, the same on tables and streams.
 
-Each operator keeps one small value per key for as long as it can matter: a key that stays silent
-for longer than that has no state, which is the same as a new one. State is kept in the store that
-the session sets; transformWithState needs the RocksDB one.
+Each operator keeps one small value per key, which doesn't expire yet.
 """
 
 from __future__ import annotations
@@ -13,46 +11,30 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from . import steps
 
-#: The state store that transformWithState needs, for spark.sql.streaming.stateStore.providerClass.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class _Keyed(StatefulProcessor):
-    """One value per key, as JSON text, that lives `ttl_ms` after its last event."""
-
-    def __init__(self, step: Callable[[Any, Any], tuple[Any, tuple]], names: list[str], ttl_ms: int):
-        self.step, self.names, self.ttl_ms = step, names, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "value string", self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        held = self.state.get()[0] if self.state.exists() else None
-        now = None if held is None else _tuples(json.loads(held))
-        found = []
-        for row in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples(index=False):
-            now, result = self.step(now, row)
-            found.append((*key, row.event_id, *result))
-        self.state.update((json.dumps(now),))
-        yield pd.DataFrame(found, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
 def _tuples(x: Any) -> Any:
     return tuple(map(_tuples, x)) if isinstance(x, list) else x
 
 
 def _keyed(df: DataFrame, key: str, out: str, step: Callable[[Any, Any], tuple[Any, tuple]], ttl: float) -> DataFrame:
-    """Events in order of their time within each micro-batch, one result row each."""
+    """Events in order of their time within each micro-batch, one result row each. A key's state is JSON
+    text and isn't removed yet: a timeout by the clock keeps a run over what is available from ending. `ttl` is how
+    long it can matter."""
     schema = f"{key} {dict(df.dtypes)[key]}, event_id long, {out}"
     names = [key, "event_id", *(c.strip().split()[0] for c in out.split(","))]
-    return df.groupBy(key).transformWithStateInPandas(_Keyed(step, names, int(1000 * ttl)), schema, "append", "processingTime")
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, found = (_tuples(json.loads(held.get[0])) if held.exists else None), []
+        for row in pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples(index=False):
+            now, result = step(now, row)
+            found.append((*k, row.event_id, *result))
+        held.update((json.dumps(now),))
+        yield pd.DataFrame(found, columns=names)
+
+    return df.groupBy(key).applyInPandasWithState(run, schema, "value string", "append", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(events: DataFrame, limit: int = 5, window: int = 60, key: str = "user_id", keep: float = 86400) -> DataFrame:

@@ -204,7 +204,6 @@ def test_matching(spark):
 def test_streams(spark, tmp_path):
     rows = [(1, i, float(t)) for i, t in enumerate([0, 1, 2, 3, 100])]
     spark.createDataFrame(rows, "user_id long, event_id long, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", keyed.STORE)
     events = spark.readStream.schema("user_id long, event_id long, at double").parquet(str(tmp_path / "in"))
     q = keyed.rate_limit(events, 2, 100).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -212,7 +211,6 @@ def test_streams(spark, tmp_path):
     w = keyed.latest_into(events, str(tmp_path / "t"), str(tmp_path / "c2"), ["user_id"], ["at"]).trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v=0")).collect()] == [(1, 4, 100.0)]
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_a_missing_version_is_an_error(spark, tmp_path):
