@@ -48,20 +48,18 @@ class Book:
         self.width = entries.shape[1]
         self.entries = narrow(entries, self.width)
         self.exact = self.entries.dtype == object
-        if not self.exact:
+        if self.width and not self.exact:
             self.levels = [(cut, *_segments(self.entries, cut)) for cut in _cuts(self.width)]
             self.square = (self.entries.astype(float) ** 2).sum(1)
 
     def nearest(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest entry of each row, the lowest of equal ones, and its squared distance."""
+        if not self.width:
+            return np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         if self.exact or p.dtype == object:
             d = ((p.astype(object)[:, None, :] - self.entries.astype(object)[None]) ** 2).sum(2)
-            if not self.width:
-                d = np.zeros((len(p), len(self.entries)), np.int64)
             best = np.array([min(range(len(r)), key=r.__getitem__) for r in d.tolist()], np.int64)
             return best, d[np.arange(len(p)), best]
-        if not self.width:
-            return np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         # rounding can raise a bound by no more than this share of the squares
         slack = 1e-10 * ((p.astype(float) ** 2).sum(1)[:, None] + self.square[None])
         rows = columns = limit = None
@@ -228,5 +226,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, rounds: int = ROUNDS) -> Da
     books, width = fitted
     coded = checkpointed(encode(vectors, books, width))
     # a table of its own: both sides of the join are then plain shuffles, which adaptive execution splits at a frequent label
-    sums = checkpointed(coded.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("total")).select(F.col("label").alias("of"), F.expr("try_cast(total AS bigint)").alias("label_error")))
+    beyond = F.max(F.col("code").isNotNull() & F.col("error").isNull())
+    total = F.when(~beyond, F.sum(F.col("error").cast("decimal(38,0)")))
+    sums = checkpointed(coded.groupBy("label").agg(total.alias("total")).select(F.col("label").alias("of"), F.expr("try_cast(total AS bigint)").alias("label_error")))
     return coded.join(sums, F.col("label").eqNullSafe(F.col("of")), "left").select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
