@@ -10,9 +10,8 @@ def gtin_check_digit(body: Column) -> Column:
     """Weights 3 and 1 from the right; the digit that fills the sum to ten. A body of up to 18 digits is
     weighed in plain arithmetic: longer ones have no check digit here."""
     n = body.try_cast("long")
-    total = F.lit(0)
-    for i in range(18):
-        total = total + F.floor(n / F.lit(10**i).cast("decimal(19,0)")) % 10 * (3 if i % 2 == 0 else 1)
+    digit = lambda i: F.call_function("div", n, F.lit(10**i)) % 10
+    total = sum((digit(i) * (3 if i % 2 == 0 else 1) for i in range(18)), F.lit(0))
     return F.when(body.rlike("^[0-9]{1,18}$"), ((10 - total % 10) % 10).cast("int"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import titles as tt
 from ..functions.text import fold, normalize_brand, normalize_code, token_ratio
 from ..functions.values import normalize_gtin, price_extreme
 from .cdc import early_best
-from .tables import unused
+from .tables import settled, unused
 
 #: Thresholds and weights of the score.
 AUTO, REVIEW, TITLE_WEIGHT, MODEL_WEIGHT, BRAND_WEIGHT, TITLE_CAP, SOFT_TITLE = 0.92, 0.75, 0.35, 0.45, 0.25, 0.74, 0.75
@@ -62,24 +65,56 @@ def identity(df: DataFrame, title: str, brand: str | None = None, gtin: str | No
     )
 
 
-def blocking_keys(ident: str = "") -> Column:
-    """Keys of an identity of which two listings that any rule accepts share one: its codes, and its brand
-    with what its signature says, with its model or with a display's size and resolution. A brand alone is no key."""
-    f = lambda c: F.col(f"{ident}{c}")
-    kinds = F.array(*map(F.lit, ("gpu", "ssd", "phone", "motherboard", "cooler_model", "processor")))
-    of_kind = F.transform(F.filter(kinds, lambda k: F.map_contains_key(f("id_signature"), k)), lambda k: F.concat(k, F.lit(":"), f("id_signature")[k], F.lit("|"), F.coalesce(f("id_brand"), F.lit(""))))
-    code = F.when(f("id_category") == "cpu", F.concat(F.lit("cpu:"), f("id_signature")["processor"]))
-    tag = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name), c))
-    single = F.array_compact(F.array(tag("gtin:", f("id_gtin")), tag("code:", F.lower(f("id_code"))), code, tag("model:", F.concat_ws("|", F.substring(tt.compact_code(f("id_model")), 1, 10), f("id_brand"))), tag("display:", F.concat(f("id_brand"), f("id_specs")["screen_size"], f("id_specs")["resolution"]))))
-    many = F.concat(F.transform(f("id_parts"), lambda p: F.concat(F.lit("part:"), p)), F.transform(f("id_numbers"), lambda p: F.concat(F.lit("number:"), p)))
-    local = tag("listing:", F.concat(F.col(f"{ident}store"), F.lit("/"), F.col(f"{ident}product_id")))
-    return F.array_sort(F.array_distinct(F.concat(single, many, of_kind, F.array_compact(F.array(local)))))
+def brand_roots(brands: DataFrame) -> DataFrame:
+    """(brand, roots): the known brands that stand in a brand as words, itself among them. Of two brands of which one
+    holds the other so, that one is a root of both. Takes a column brand."""
+    known = brands.select("brand").where("brand IS NOT NULL").distinct()
+    words = F.split("brand", " ")
+    runs = F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(1), F.size(words) - i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
+    held = known.select("brand", F.explode(F.array_distinct(runs)).alias("root"))
+    return held.join(known.select(F.col("brand").alias("root")), "root", "left_semi").groupBy("brand").agg(F.collect_set("root").alias("roots"))
+
+
+def _chosen_of(names: tuple[str, ...], size: int) -> list[tuple[str, ...]]:
+    return list(itertools.combinations(names, size))
+
+
+def blocking_keys(roots: Column) -> Column:
+    """Keys of an identity, sorted, of which two that a rule accepts by what they say share one. `roots` are its brand's.
+
+    Codes, part numbers, GTINs and processors stand alone; what is accepted only between brands that fit, the
+    signature's kinds, models and displays, goes with each root of the brand. A display counts with three
+    specifications, with two beside a GTIN, and without a brand with all four. No key is made of a brand alone or of
+    nothing. Inside blocks only, that is of pairs that meet by another key, are told: the review of an unclear
+    variant, and what rests on brands of which one holds the other as a part of a word. The rule of the same listing
+    asks for no content; `match_classes` joins those by themselves. Keys that stand alone start with "!".
+    """
+    f = F.col
+    kinds = F.array(*map(F.lit, ("gpu", "ssd", "phone", "motherboard", "cooler_model")))
+    of_kind = F.transform(F.filter(kinds, lambda k: F.map_contains_key("id_signature", k)), lambda k: F.concat(k, F.lit(":"), f("id_signature")[k]))
+    model = tt.compact_code(f("id_model"))
+    tag = lambda name, *c: F.concat(F.lit(name), *c)
+    shown = lambda names: [x for c in names for x in (F.lit("|"), f("id_specs")[c])]
+    models = F.array(
+        F.when(F.length(model) >= 10, tag("model:", F.substring(model, 1, 10))),
+        # a last i says nothing of short models
+        F.when((F.length(model) > 0) & (F.length(model) <= 11), tag("model=", F.regexp_replace(model, "i+$", ""))),
+        F.when(F.contains(model, F.lit("playstation5")) | model.startswith("ps5"), F.lit("model=ps5")),
+    )
+    displays = F.array(*(tag("display:" + "+".join(names), *shown(names)) for names in _chosen_of(SPECS, 3)), *(F.when(f("id_gtin").isNotNull(), tag("coded display:" + "+".join(names), *shown(names))) for names in _chosen_of(SPECS, 2)))
+    branded = F.array_compact(F.concat(of_kind, models, displays))
+    branded = F.flatten(F.transform(F.coalesce(roots, F.array().cast("array<string>")), lambda r: F.transform(branded, lambda k: F.concat(k, F.lit("|"), r))))
+    cpu = F.when(f("id_category") == "cpu", tag("cpu:", f("id_signature")["processor"]))
+    alone = F.array_compact(F.array(tag("gtin:", f("id_gtin")), tag("code:", F.lower("id_code")), cpu, tag("display:", *shown(SPECS))))
+    many = F.concat(F.transform("id_parts", lambda p: tag("part:", p)), F.transform("id_numbers", lambda p: tag("number:", p)))
+    alone = F.transform(F.concat(alone, many), lambda k: F.concat(F.lit("!"), k))
+    return F.array_sort(F.array_distinct(F.concat(alone, branded)))
 
 
 def block(left: DataFrame, right: DataFrame, keys: str = "keys") -> DataFrame:
     """Pairs of rows that share a key, each once, as structs a and b.
 
-    Both sides have an id; `keys` is a sorted array of each. A pair is taken at the first key that both have, so
+    Both sides have an id and are read twice, so they are best settled; `keys` is a sorted array of each. A pair is taken at the first key that both have, so
     nothing is put together again afterwards. Keys of more than TILE_ROWS left rows are dealt to
     parts, which every right row of the key visits: no pair is lost, and no task holds them all.
     """
@@ -135,9 +170,18 @@ def models_compatible(a: Column, b: Column) -> Column:
     return tt.chosen(cases, rest.isin("", "digital", "disc", "bluray", "slim", "ps5", "i", "air")).cast("boolean")
 
 
-def decide(pairs: DataFrame) -> DataFrame:
+def _far_apart(a: Column, b: Column) -> Column:
+    return price_extreme(a["price"], b["price"], F.coalesce(a["currency"] == b["currency"], F.lit(True)))
+
+
+#: Reasons of the rules that come before the one of the same listing.
+BEFORE_SAME = ("monitor_model_code_conflict", "variant_mismatch", "critical_conflict", "accessory_reject", "bundle_reject", "form_factor_reject", "condition_reject", "carrier_lock_reject", "monitor_model_code_brand_conflict", "monitor_model_code_exact")
+
+
+def decide(pairs: DataFrame, extreme: Column | None = None) -> DataFrame:
     """Pairs of identities (structs a, the reference, and b, the candidate) with decision, confidence decimal(5,4)
-    and reason: what the rules ask for is told first, then the first rule that holds, in order, decides."""
+    and reason: what the rules ask for is told first, then the first rule that holds, in order, decides.
+    `extreme` says that prices are far apart; else that is read from price and currency."""
     a, b = F.col("a"), F.col("b")
     both = lambda f: a[f].isNotNull() & b[f].isNotNull()
     overlap = lambda f: F.coalesce(F.arrays_overlap(a[f], b[f]), F.lit(False))
@@ -152,7 +196,7 @@ def decide(pairs: DataFrame) -> DataFrame:
             "_fits": brands_fit(a["id_brand"], b["id_brand"]),
             "_exact": yes(F.lower(a["id_code"]) == F.lower(b["id_code"])),
             "_critical": critical_conflict(a, b).isNotNull(),
-            "_extreme": price_extreme(a["price"], b["price"], F.coalesce(a["currency"] == b["currency"], F.lit(True))),
+            "_extreme": _far_apart(a, b) if extreme is None else extreme,
             "_cpu": kind("cpu") & agree("processor"),
             "_cooler": kind("cooler") & agree("cooler_model"),
             "_compatible": yes(models_compatible(a, b)),
@@ -216,17 +260,79 @@ def decide(pairs: DataFrame) -> DataFrame:
     return told.select(*pairs.columns, "_s.decision", "_s.confidence", "_s.reason")
 
 
-def match(references: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Scored candidate pairs (l, r, store, gtin, decision, confidence, reason). Both sides: id, title, brand,
-    gtin, price, currency, store, product_id."""
-    fields = ["id", "price", "currency", "store", "product_id", *IDENTITY]
+@dataclass
+class Matches:
+    """Listings of both sides with their class (listing: id, store, product_id, price, currency, gtin), and the
+    pairs of classes: a and b, whether they share a key, and what is decided where prices are near (near) and
+    far apart (far)."""
+
+    left: DataFrame
+    right: DataFrame
+    pairs: DataFrame
+
+
+def _listings(d: DataFrame) -> DataFrame:
+    """Listings with their class: a digest of all that the rules compare but for price and listing."""
+    known = identity(d, "title", "brand", "gtin")
+    plain = [F.array_sort(F.map_entries(c)) if dict(known.dtypes)[c].startswith("map") else F.col(c) for c in IDENTITY]
+    named = F.struct(*(c.alias(name) for c, name in zip(plain, IDENTITY, strict=True)))
+    return settled(known.select("id", "price", "currency", "store", "product_id", *IDENTITY, F.md5(F.to_json(named)).alias("class")))
+
+
+def _classes(listings: DataFrame) -> DataFrame:
+    """One row of each class: id (the class), n listings, and the identity."""
+    one = listings.groupBy(F.col("class").alias("id")).agg(F.count("*").alias("n"), F.first(F.struct(*IDENTITY)).alias("f"))
+    return one.select("id", "n", "f.*")
+
+
+def match_classes(references: DataFrame, candidates: DataFrame) -> Matches:
+    """Matches of all listings, said of classes of equal identities: ten thousand listings of one title are one row
+    a side. Both sides: id, title, brand, gtin, price, currency, store, product_id. Titles are read once a listing, keys and
+    rules once a class. Pairs are those of classes that share a blocking key, or listings of one store's product."""
+    left = _listings(references)
+    right = left if candidates is references else _listings(candidates)
+    one = _classes(left)
+    two = one if right is left else _classes(right)
+    roots = settled(brand_roots(one.unionByName(two).select(F.col("id_brand").alias("brand"))))
+
+    def keyed(d: DataFrame) -> DataFrame:
+        d = d.join(roots.withColumnRenamed("brand", "id_brand"), "id_brand", "left")
+        return settled(d.withColumn("keys", blocking_keys(F.col("roots"))).drop("roots"))
+
+    a = keyed(one)
+    b = a if two is one else keyed(two)
+    # two brands may share a root that is neither
+    fits = F.coalesce((F.col("a.id_brand") == F.col("b.id_brand")) | brands_fit(F.col("a.id_brand"), F.col("b.id_brand")), F.lit(True))
+    coded = F.get(F.array_intersect("a.keys", "b.keys"), 0).startswith("!")
+    pairs = block(a, b).where(coded | fits).withColumn("blocked", F.lit(True))
+    own = lambda d, c: d.where("store IS NOT NULL AND product_id IS NOT NULL").select("store", "product_id", F.col("class").alias(c)).distinct()
+    same = own(left, "a_class").join(own(right, "b_class"), ["store", "product_id"]).select("a_class", "b_class").distinct()
+    met = pairs.select(F.col("a.id").alias("a_class"), F.col("b.id").alias("b_class"))
+    alone = same.join(met, ["a_class", "b_class"], "left_anti")
+    whole = lambda d, name: d.select(F.col("id").alias(f"{name}_class"), F.struct("*").alias(name))
+    alone = alone.join(whole(a, "a"), "a_class").join(whole(b, "b"), "b_class").select("a", "b", F.lit(False).alias("blocked"))
+    none = F.lit(None).cast("string")
+    both = pairs.unionByName(alone).withColumns({c: F.col(c).withField("store", none).withField("product_id", none) for c in ("a", "b")})
+    told = decide(both.withColumn("far", F.explode(F.array(F.lit(False), F.lit(True)))), F.col("far"))
+    said = F.struct("decision", "confidence", "reason")
+    told = told.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "blocked").agg(F.max(F.when(~F.col("far"), said)).alias("near"), F.max(F.when(F.col("far"), said)).alias("far"))
+    members = lambda d: d.select("class", F.struct("id", "store", "product_id", "price", "currency", F.col("id_gtin").alias("gtin")).alias("listing"))
+    return Matches(members(left), members(right), told)
 
-    def side(d: DataFrame) -> DataFrame:
-        known = identity(d, "title", "brand", "gtin").select(*fields)
-        return known.withColumn("keys", blocking_keys())
 
-    pairs = block(side(references), side(candidates))
-    return decide(pairs).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), F.col("b.store").alias("store"), F.col("b.id_gtin").alias("gtin"), "decision", "confidence", "reason")
+def match(references: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Scored candidate pairs (l, r, store, gtin, decision, confidence, reason) of listings: the classes' pairs, each
+    spelt out. Where most listings are equal, `match_classes` says the same in fewer rows."""
+    found = match_classes(references, candidates)
+    side = lambda d, of, name: d.select(F.col("class").alias(of), F.col("listing").alias(name))
+    pairs = found.pairs.join(side(found.left, "a", "x"), "a").join(side(found.right, "b", "y"), "b")
+    x, y = F.col("x"), F.col("y")
+    same = F.coalesce((x["store"] == y["store"]) & (x["product_id"] == y["product_id"]), F.lit(False))
+    said = F.when(_far_apart(x, y), F.col("far")).otherwise(F.col("near"))
+    sure = F.struct(F.lit("auto_match").alias("decision"), F.lit(1).cast("decimal(5,4)").alias("confidence"), F.lit("same_store_product_id").alias("reason"))
+    told = F.when(same & ~said["reason"].isin(*BEFORE_SAME), sure).otherwise(said)
+    pairs = pairs.where(F.col("blocked") | same)
+    return pairs.select(F.col("x.id").alias("l"), F.col("y.id").alias("r"), F.col("y.store").alias("store"), F.col("y.gtin").alias("gtin"), told.alias("t")).select("l", "r", "store", "gtin", "t.*")
 
 
 def prefilter(a: Column, b: Column) -> Column:

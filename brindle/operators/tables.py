@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 import base64
 import json
 
@@ -81,6 +85,21 @@ def update_where(df: DataFrame, when: Column, values: dict[str, Column]) -> Data
     return df.select(*(F.when(yes, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table as it is now, computed once: a reliable checkpoint in the session's spark.checkpoint.dir. Only
+    on a local master without one, as in tests, the folder is temporary and goes with the session."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def append(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
     """Add rows to a parquet table; rows that are written twice are there twice."""
     writer = df.write.mode("append")

@@ -213,14 +213,17 @@ def page_headings(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", pg.element(F.col("html"), "h1").alias("h1"))
 
 
-BODY = "lpad(CAST(l_orderkey*10+l_linenumber AS VARCHAR),12,'0')"
-
-
-@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {BODY} s FROM lineitem) SELECT l_orderkey, l_linenumber, s || CAST((10 - list_sum([CAST(substr(s,i,1) AS INT)*(CASE WHEN (12-i)%2=0 THEN 3 ELSE 1 END) FOR i IN range(1,13)])%10)%10 AS VARCHAR) AS gtin FROM b""")
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 5 AS kind, lpad(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), CASE (l_orderkey + l_linenumber) % 5 WHEN 1 THEN 7 WHEN 2 THEN 11 WHEN 3 THEN 13 ELSE 12 END, '0') AS s FROM lineitem),
+c AS (SELECT *, s || CAST((10 - list_sum([CAST(substr(s, i, 1) AS INT) * (CASE WHEN (length(s) - i) % 2 = 0 THEN 3 ELSE 1 END) FOR i IN range(1, length(s) + 1)]) % 10) % 10 AS VARCHAR) AS code FROM b)
+SELECT l_orderkey, l_linenumber, CASE kind WHEN 4 THEN NULL WHEN 2 THEN '0' || code ELSE code END AS gtin FROM c""")
 def gtin_normalisation(spark, sf_dir):
-    body = F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 12, "0")
-    made = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(body, vx.gtin_check_digit(body).cast("string")).alias("raw"))
-    return made.select("l_orderkey", "l_linenumber", vx.normalize_gtin(F.col("raw")).alias("gtin"))
+    """Codes of 8, 12, 13 and 14 digits, written with blanks and hyphens, and codes whose last digit is wrong."""
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
+    made = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), F.call_function("lpad", number.cast("string"), F.when(kind == 1, 7).when(kind == 2, 11).when(kind == 3, 13).otherwise(12), F.lit("0")).alias("body"))
+    check = vx.gtin_check_digit(F.col("body"))
+    raw = F.concat(F.lit(" "), F.substring("body", 1, 3), F.lit("-"), F.substring("body", 4, 20), ((check + F.when(F.col("kind") == 4, 1).otherwise(0)) % 10).cast("string"))
+    return made.select("l_orderkey", "l_linenumber", vx.normalize_gtin(raw).alias("gtin"))
 
 
 @query("""SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,4)) AS brl, CAST(round(p_retailprice) AS DECIMAL(18,4)) AS usd FROM part""")
