@@ -202,7 +202,7 @@ def test_matching(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, i, float(t)) for i, t in enumerate([0, 1, 2, 3, 100])]
+    rows = [(1, i, float(t)) for i, t in enumerate([1, 2, 3, 4, 101])]
     spark.createDataFrame(rows, "user_id long, event_id long, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
     events = spark.readStream.schema("user_id long, event_id long, at double").parquet(str(tmp_path / "in"))
     q = keyed.rate_limit(events, 2, 100).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
@@ -210,7 +210,7 @@ def test_streams(spark, tmp_path):
     assert [r.allowed for r in spark.table("limited").orderBy("event_id").collect()] == [True, True, False, False, True]
     w = keyed.latest_into(events, str(tmp_path / "t"), str(tmp_path / "c2"), ["user_id"], ["at"]).trigger(availableNow=True).start()
     w.awaitTermination(120)
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v=0")).collect()] == [(1, 4, 100.0)]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v=0")).collect()] == [(1, 4, 101.0)]
 
 
 def test_a_missing_version_is_an_error(spark, tmp_path):
