@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import reading
 from ..functions import titles as tt
 from ..functions.text import fold, normalize_brand, normalize_code, token_ratio
 from ..functions.values import normalize_gtin, price_extreme
@@ -30,37 +31,31 @@ def identity(df: DataFrame, title: str, brand: str | None = None, gtin: str | No
     variants, specifications, the signature that must not differ, condition, network lock, what kind of
     listing it is, and the title's words. What isn't given is read from the title."""
     given = F.col(model) if model else F.lit(None).cast("string")
-    folded, whole, attributes_ = unused(df.columns, "_folded", "_whole", "_attributes")
-    # what many rules read is a column of its own, so that it is computed once
-    d = df.withColumn(folded, fold(F.col(title))).withColumn(whole, fold(F.concat_ws(" ", given, F.col(title))) if model else F.col(folded))
-    t, category = F.col(folded), F.col("id_category")
-    d = d.withColumn("id_category", tt.detect_category(t))
-    d = d.withColumn(attributes_, tt.attributes_of(t, category, ("color", "network_lock", *SPECS)))
+    folded, said = unused(df.columns, "_folded", "_said")
+    d = df.withColumn(folded, fold(F.col(title)))
+    t, r = F.col(folded), F.col(said)
+    d = d.withColumn(said, reading.read(t, fold(F.concat_ws(" ", given, F.col(title))) if model else None))
     stated = tt.parse_variant(F.col(variant)) if variant else F.create_map().cast("map<string,string>")
     d = d.withColumn("id_variants", stated)
-    attributes = F.col(attributes_)
-    pick = F.map_filter(attributes, lambda k, v: k.isin("color", "network_lock") & ~F.map_contains_key("id_variants", k))
+    pick = F.map_filter(r["attributes"], lambda k, v: k.isin("color", "network_lock") & ~F.map_contains_key("id_variants", k))
     lead = F.nullif(F.get(F.filter(F.split(t, r"\s+"), lambda w: w.isin(*tt.BRANDS)), 0), F.lit(""))
     named = F.coalesce(normalize_brand(F.col(brand)), lead) if brand else lead
     return d.select(
         *df.columns,
         (normalize_gtin(F.col(gtin)) if gtin else F.lit(None).cast("string")).alias("id_gtin"),
         named.alias("id_brand"),
-        normalize_code(F.coalesce(given, tt.model_of(t, category))).alias("id_model"),
-        tt.part_numbers(F.col(whole)).alias("id_parts"),
-        tt.model_numbers(t).alias("id_numbers"),
-        F.when(category == "monitor", tt.monitor_code(t)).alias("id_code"),
-        "id_category",
+        normalize_code(F.coalesce(given, r["model"])).alias("id_model"),
+        r["parts"].alias("id_parts"),
+        r["numbers"].alias("id_numbers"),
+        r["code"].alias("id_code"),
+        r["category"].alias("id_category"),
         F.transform_values(F.map_concat("id_variants", pick), lambda k, v: tt.variant_value(k, v)).alias("id_variants"),
-        F.map_filter(attributes, lambda k, v: k.isin(*SPECS)).alias("id_specs"),
-        tt.signature(t, F.col(whole), category).alias("id_signature"),
-        tt.socket(t).alias("id_socket"),
+        F.map_filter(r["attributes"], lambda k, v: k.isin(*SPECS)).alias("id_specs"),
+        r["signature"].alias("id_signature"),
+        r["socket"].alias("id_socket"),
         tt.condition(t)["code"].alias("id_condition"),
-        tt.network_lock(t).alias("id_lock"),
-        tt.is_accessory(t).alias("id_accessory"),
-        tt.is_bundle(t).alias("id_bundle"),
-        tt.is_system(t).alias("id_system"),
-        tt.is_graphics_card(t).alias("id_card"),
+        r["lock"].alias("id_lock"),
+        *(r[c].alias(f"id_{c}") for c in ("accessory", "bundle", "system", "card")),
         tt.title_words(t).alias("id_words"),
     )
 
@@ -136,7 +131,7 @@ def brands_fit(a: Column, b: Column) -> Column:
 
 def critical_conflict(a: Column, b: Column) -> Column:
     """The first thing that both say and that differs, or null; a and b are identities."""
-    kinds = F.array(*map(F.lit, tt.signatures()))
+    kinds = F.array(*map(F.lit, tt.SIGNATURES))
     other = F.get(F.filter(kinds, lambda k: a["id_signature"][k] != b["id_signature"][k]), 0)
     either = lambda name: (a["id_category"] == name) | (b["id_category"] == name)
     cpu = (a["id_signature"]["processor"].isNotNull() | b["id_signature"]["processor"].isNotNull()) & either("cpu")
@@ -144,30 +139,32 @@ def critical_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(other, tt.chosen([(cpu & (a["id_socket"] != b["id_socket"]), "socket"), (parts, "psu_part_number")]))
 
 
+#: What behind a model's name makes another product, what says nothing, and makers' names for one line.
+OTHER_PRODUCT = ("ti", "super", "oc", "pro", "plus", "max", "ultra")
+SAME_PRODUCT = ("", "digital", "disc", "bluray", "slim", "ps5", "i", "air")
+LINES = (("amd", "ryzen|amd"), ("intel", "intel|^corei"), ("ps5", "playstation5|^ps5"))
+#: Letters that a model must have before what follows is looked at as its suffix.
+WHOLE_MODEL = 10
+
+
 def models_compatible(a: Column, b: Column) -> Column:
-    """Whether two models are of one product line: shared part numbers, else equal series, chips, phones or
-    boards, else equal models but for suffixes that say nothing; another generation or tier is none."""
-    sig = lambda k: (a["id_signature"][k], b["id_signature"][k])
-    left, right = a["id_model"], b["id_model"]
-    x, y = tt.compact_code(left), tt.compact_code(right)
-    short, long_ = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    rest = long_.substr(F.length(short) + 1, F.length(long_))
-    fives = (F.contains(x, F.lit("playstation5")) | x.startswith("ps5")) & (F.contains(y, F.lit("playstation5")) | y.startswith("ps5"))
-    family = lambda c: tt.chosen([(c.rlike("ryzen|amd"), "amd"), (c.rlike("intel|^corei"), "intel")])
-    cases = [(F.arrays_overlap(a["id_parts"], b["id_parts"]), F.lit(True))]
-    for k in ("ssd", "gpu", "phone", "motherboard"):
-        one, two = sig(k)
-        cases.append((one.isNotNull() & two.isNotNull(), one == two))
-    cpu = sig("processor")
-    cases += [
-        (left.isNull() | right.isNull(), F.lit(False)),
-        ((family(left) != family(right)) | (cpu[0] != cpu[1]), F.lit(False)),
-        ((left == right) | (x == y) | (F.concat(x, F.lit("i")) == y) | (F.concat(y, F.lit("i")) == x), F.lit(True)),
-        (fives, F.lit(True)),
-        ((F.length(short) < 10) | ~long_.startswith(short), F.lit(False)),
-        (rest.rlike(r"^\d") | rest.isin("ti", "super", "oc", "pro", "plus", "max", "ultra"), F.lit(False)),
-    ]
-    return tt.chosen(cases, rest.isin("", "digital", "disc", "bluray", "slim", "ps5", "i", "air")).cast("boolean")
+    """Whether two models are of one product line.
+
+    What identifies a kind by itself says so alone: a part number of both, else the series, chip, phone or board
+    where both state it. Else their codes are compared as a stem, of at least ten letters, and a rest: equal
+    codes, or a rest that says nothing. A rest that is a number or of OTHER_PRODUCT is another product,
+    and so are codes of two makers or two processors.
+    """
+    x, y = tt.compact_code(a["id_model"]), tt.compact_code(b["id_model"])
+    stem, code = F.array_min(F.array(*(F.struct(F.length(c).alias("n"), c.alias("c")) for c in (x, y))))["c"], F.when(F.length(x) > F.length(y), x).otherwise(y)
+    rest = F.when(code.startswith(stem), code.substr(F.length(stem) + 1, F.length(code)))
+    line = lambda c, *names: tt.chosen([(c.rlike(p), n) for n, p in LINES if n in names])
+    apart = F.coalesce(line(a["id_model"], "amd", "intel") != line(b["id_model"], "amd", "intel"), F.lit(False)) | F.coalesce(a["id_signature"]["processor"] != b["id_signature"]["processor"], F.lit(False))
+    equal = (x == y) | (rest == "i") | (line(x, "ps5") == line(y, "ps5"))
+    by_suffix = (F.length(stem) >= WHOLE_MODEL) & rest.isin(*SAME_PRODUCT) & ~rest.isin(*OTHER_PRODUCT)
+    by_code = F.coalesce(~apart & (F.coalesce(equal, F.lit(False)) | by_suffix), F.lit(False))
+    kinds = [a["id_signature"][k] == b["id_signature"][k] for k in ("ssd", "gpu", "phone", "motherboard")]
+    return F.coalesce(F.when(F.coalesce(F.arrays_overlap(a["id_parts"], b["id_parts"]), F.lit(False)), True), *kinds, by_code)
 
 
 def _far_apart(a: Column, b: Column) -> Column:

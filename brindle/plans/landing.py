@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import reading
 from ..functions import text as tx
 from ..functions import values as vx
 from ..sources import pages as pg
@@ -202,7 +203,7 @@ def specification_gaps(spark, sf_dir):
     title = F.when(key % 3 == 2, "Phone").otherwise("Phone Renewed Premium Verizon")
     stated = F.when(key % 3 == 2, "used")
     told = tt.condition(tx.fold(title), stated)
-    own = F.map_filter(F.create_map(F.lit("cond"), told["code"], F.lit("grade"), told["grade"], F.lit("carrier"), tt.carrier(tx.fold(title))), lambda k, v: v.isNotNull())
+    own = F.map_filter(F.create_map(F.lit("cond"), told["code"], F.lit("grade"), told["grade"], F.lit("carrier"), reading.read(tx.fold(title))["carrier"]), lambda k, v: v.isNotNull())
     return t(spark, sf_dir, "part").select("p_partkey", tx.variant_key(filled).alias("filled"), tx.variant_key(own).alias("enriched"))
 
 

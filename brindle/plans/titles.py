@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import reading
 from ..functions import text as tx
 from ..functions import titles as tt
 from ..operators import matching, tables
@@ -74,9 +75,9 @@ def listings(spark, sf_dir):
 def title_identity(spark, sf_dir):
     """Category, model and attributes of titles of all categories."""
     d = listings(spark, sf_dir).withColumn("t", tx.fold(F.col("title")))
-    d = d.withColumn("category", tt.detect_category(F.col("t")))
-    stated = F.coalesce(tx.variant_key(tt.attributes_of(F.col("t"), F.col("category"))), F.lit(""))
-    return d.select("p_partkey", "category", tt.model_of(F.col("t"), F.col("category")).alias("model"), stated.alias("attributes"))
+    d = d.withColumn("said", reading.read(F.col("t")))
+    stated = F.coalesce(tx.variant_key(F.col("said.attributes")), F.lit(""))
+    return d.select("p_partkey", "said.category", "said.model", stated.alias("attributes"))
 
 
 _CONDITION = (("Renewed Premium", "renewed", "premium"), ("recondicionado", "refurbished", None), ("Open-Box", "open_box", None), ("usada", "used", None), ("novo", "new", None), ("", "unknown", None), ("renovada", "renewed", None))
@@ -88,8 +89,8 @@ def offer_conditions(spark, sf_dir):
     """Condition, its grade, network lock and carrier."""
     pick = lambda table, n: F.element_at(F.array(*(F.lit(x[0]) for x in table)), (F.col("p_partkey") % n + 1).cast("int"))
     d = t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lit("Telefone"), pick(_CONDITION, 7), F.lit("128GB"), pick(_LOCK, 5)).alias("title"))
-    d, folded = d.withColumn("t", tx.fold(F.col("title"))), F.col("t")
-    return d.select("p_partkey", tt.condition(folded)["code"].alias("code"), tt.condition(folded)["grade"].alias("grade"), tt.network_lock(folded).alias("lock"), tt.carrier(folded).alias("carrier"))
+    d, folded = d.withColumn("t", tx.fold(F.col("title"))).withColumn("said", reading.read(F.col("t"))), F.col("t")
+    return d.select("p_partkey", tt.condition(folded)["code"].alias("code"), tt.condition(folded)["grade"].alias("grade"), "said.lock", "said.carrier")
 
 
 _MORE = dict(brand=None, gtin=None, variant=None, store="other", pid=None, price=100)
