@@ -26,7 +26,9 @@ from .textscan import mixed
 
 TABLES = 4
 PROBES = 4
-SCALE = 0.16
+#: How far apart, in cells, two vectors at the threshold lie after projection: eight directions keep their share of
+#: a distance, and all of it where there are eight or fewer.
+APART = 0.5
 #: Vectors of a cell that one task compares with each other; a larger cell is dealt to more tasks.
 CELL_ROWS = 2048
 #: Rows of the cells that one task holds at a time.
@@ -57,6 +59,11 @@ def decode_e8(y: np.ndarray) -> np.ndarray:
     return np.rint(2 * np.where(nearer[:, None], b, a)).astype(np.int64)
 
 
+def cell_scale(dim: int, threshold: float) -> float:
+    """Size of the lattice's cells for vectors of so many dimensions."""
+    return max(1e-6, float(np.sqrt((2 - 2 * threshold) * 8 / max(dim, 8))) / APART)
+
+
 def _cell_key(table: int, points: np.ndarray) -> np.ndarray:
     h = np.full(points.shape[:-1], np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
     for i in range(8):
@@ -81,7 +88,7 @@ def _cells(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) ->
     return own, near
 
 
-def _hasher(tables: int, probes: int, scale: float, seed: int, kind: str):
+def _hasher(tables: int, probes: int, scale: float | None, threshold: float, seed: int, kind: str):
     """A row for each table and cell that a vector is kept at or asks, with the list of all of them."""
     names = ["cell", "probe", "id", "label", "n", "tab", "cells", "vector"]
 
@@ -94,7 +101,7 @@ def _hasher(tables: int, probes: int, scale: float, seed: int, kind: str):
                 rows = np.flatnonzero(lengths == dim)
                 x = values[(offsets[rows] - offsets[0])[:, None] + np.arange(dim)]
                 labels = np.asarray(b.column(1))[rows].astype(np.int64)
-                own, near = _cells(_units(x), tables, probes, scale, seed)
+                own, near = _cells(_units(x), tables, probes, scale or cell_scale(dim, threshold), seed)
                 salt = (labels * 1_000_003 + dim)[:, None, None]
                 cells = np.concatenate([own[:, :, None], near], 2) ^ mixed(salt.astype(np.uint64)).view(np.int64)
                 n, each = len(rows), 1 + probes
@@ -174,12 +181,13 @@ def _comparer(threshold: float, kind: str, tables: int):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float | None = None, seed: int = 8) -> DataFrame:
     """Link vectors of equal label whose cosine is at least `threshold`.
 
     Returns one row per row of (vec_id, embedding, label): vec_id, n_links (other vectors
     linked directly), component_id (smallest vec_id reachable) and kept. Pairs are sought by
-    lattice cells, so a pair may be missed; none below the threshold is linked. Vectors that
+    lattice cells, whose size follows from dimension and threshold (`cell_scale`) unless `scale` gives it, so a
+    pair may be missed; none below the threshold is linked. Vectors that
     are null, zero or hold null or non-finite components, and rows with a null label, link
     with nothing. Vectors of unlike dimension don't link. Rows that repeat a vec_id are
     vectors of their own under one id; a null vec_id links with nothing and has a null
@@ -190,7 +198,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     # each distinct vector of a label is a node of its own, whatever ids its rows have
     classes = checkpointed(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    hashed = classes.select("id", "label", "n", "embedding").mapInArrow(_hasher(tables, probes, scale, seed, kind), ROWS)
+    hashed = classes.select("id", "label", "n", "embedding").mapInArrow(_hasher(tables, probes, scale, threshold, seed, kind), ROWS)
     buckets = max(32, classes.count() * tables * (1 + probes) // BUCKET_ROWS)
     # A cell of more than CELL_ROWS vectors: its kept ones are dealt to parts, and every other row visits each part.
     sizes = hashed.where(~F.col("probe")).groupBy("cell").count().where(F.col("count") > CELL_ROWS)
