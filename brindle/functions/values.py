@@ -180,8 +180,8 @@ def promotion_active(status: Column, expires: Column, now: Column) -> Column:
 
 
 def retry_delay(failures: Column, base: int = 300, cap: int = 3600) -> Column:
-    """Seconds: doubled for each failure after the first, up to the cap."""
-    return F.least(F.lit(cap), (base * F.pow(F.lit(2), F.least(failures - 1, F.lit(30)))).cast("long"))
+    """Seconds: doubled for each failure after the first, up to the cap; none without a failure."""
+    return F.when(failures < 1, F.lit(0).cast("long")).otherwise(F.least(F.lit(cap), (base * F.pow(F.lit(2), F.least(failures - 1, F.lit(30)))).cast("long")))
 
 
 def adaptive_ttl(ttl: Column, changed: Column, available: Column, unchanged_runs: Column, failures: Column) -> Column:
@@ -219,3 +219,10 @@ BUDGETS = (("unit_test", 200, 500, 2000, 10000), ("integration_test", 1000, 2000
 
 def severity(ms: Column, warn: Column, slow: Column, critical: Column) -> Column:
     return F.when(ms >= critical, "critical").when(ms >= slow, "slow").when(ms >= warn, "warn").otherwise("normal")
+
+
+def compact_size(value: Column) -> Column:
+    """A size as whole gigabytes with their unit: 1 TB and 1024 are 1024gb; other text as it is, without blanks."""
+    bare = F.regexp_replace(F.lower(value), r"\s+", "")
+    n = F.regexp_extract(bare, r"^(\d+)(?:gb?|tb)?$", 1).try_cast("long")
+    return F.when(n.isNotNull(), F.concat((n * F.when(bare.endswith("tb"), 1024).otherwise(1)).cast("string"), F.lit("gb"))).otherwise(F.nullif(bare, F.lit("")))

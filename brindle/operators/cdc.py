@@ -37,6 +37,53 @@ def change_events(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return d.withColumn("events", events)
 
 
+def sweep_diff(before: DataFrame, sweep: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """What a sweep over listings says against what was known: (key, status, events, refresh, previous and current
+    fingerprint), one row of each key of either side.
+
+    Both have key, order, price, seller, availability and fingerprint; a row of the sweep also has a status: ok,
+    failed (the page could not be read) or removed (the store no longer has it). Of rows that repeat a key the last in
+    order counts; a sweep's row that is no later than what is known is late and not heard of, and tells nothing
+    (status late). A listing that the sweep has no row of is missing, which tells a failed scrape without any
+    fingerprint. A failure or a removal keeps the known fingerprint.
+    """
+    values = [*order, "price", "seller", "availability", "fingerprint"]
+    old = latest(before, key, order).select(*key, F.struct(*values).alias("old"))
+    new = latest(sweep, key, order).select(*key, F.struct(*values, "status").alias("new"))
+    d = old.join(new, key, "full_outer")
+    old_, new_ = F.col("old"), F.col("new")
+    at = lambda side: F.struct(*(side[c] for c in order))
+    status = F.when(new_.isNull(), "missing").when(old_.isNotNull() & (at(new_) <= at(old_)), "late").otherwise(new_["status"])
+    name = lambda side: F.nullif(F.lower(F.trim(side["seller"])), F.lit(""))
+    differs = lambda a, b: ~a.eqNullSafe(b)
+    stock = differs(old_["availability"], new_["availability"])
+    told = F.array_compact(F.array(F.when(differs(old_["price"], new_["price"]), "price_changed"), F.when(differs(name(old_), name(new_)), "seller_changed"), F.when(stock, "availability_changed"), F.when(stock & (new_["availability"] == "out_of_stock"), "out_of_stock")))
+    one = lambda e: F.array(F.lit(e))
+    s = F.col("status")
+    events = (
+        F.when(s == "late", F.array().cast("array<string>"))
+        .when(s.isin("missing", "failed"), one("scrape_failed"))
+        .when(s == "removed", one("offer_removed"))
+        .when(old_.isNull(), one("new_offer"))
+        .when(old_["fingerprint"].eqNullSafe(new_["fingerprint"]), one("unchanged"))
+        .when(F.size(told) == 0, one("price_changed"))
+        .otherwise(told)
+    )
+    d = d.withColumn("status", status).withColumn("events", events)
+    previous = F.when(s.isin("failed", "removed", "ok"), old_["fingerprint"])
+    return d.select(*key, "status", "events", F.when(F.size("events") > 0, refresh_status(F.col("events"))).alias("refresh"), previous.alias("previous_fingerprint"), F.when(s == "ok", new_["fingerprint"]).alias("current_fingerprint"))
+
+
+def after_sweep(before: DataFrame, sweep: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """What is known after a sweep: what it read takes the place of what was known, what it found removed
+    goes, and failed, missing and late listings stay as they were. Columns of `before`."""
+    seen = sweep.where(F.col("status").isin("ok", "removed"))
+    gone = F.coalesce(F.col("status") == "removed", F.lit(False))
+    both = before.withColumns({"status": F.lit(None).cast("string"), "_turn": F.lit(1)}).unionByName(seen.select(*before.columns, "status").withColumn("_turn", F.lit(0)))
+    # of equal times what was known stays
+    return latest(both, key, [*order, "_turn"]).where(~gone).select(*before.columns)
+
+
 def refresh_status(events: Column) -> Column:
     """One status of an event list, the most telling first."""
     out = F.lit("changed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -425,3 +426,50 @@ def evidence_gate(decision: Column, confidence: Column, uncertain: Column, simil
     """A review that only an unclear variant keeps open becomes a match if the vectors are near."""
     opens = (decision == "review") & uncertain & ~price_off & (similarity >= threshold)
     return F.when(F.coalesce(opens, F.lit(False)), F.struct(F.lit("auto_match").alias("decision"), F.greatest(confidence, F.lit(0.9)).cast("decimal(5,4)").alias("confidence"))).otherwise(F.struct(decision.alias("decision"), confidence.cast("decimal(5,4)").alias("confidence")))
+
+
+@dataclass
+class Learned:
+    """Listings with the GTIN that they have or learned (id, gtin, source, round: 0 is their own), and how many rounds it took."""
+
+    gtins: DataFrame
+    rounds: int
+
+
+def learn_gtins(listings: DataFrame, pairs: DataFrame) -> Learned:
+    """GTINs that listings learn from certain matches, in rounds to a fixpoint.
+
+    `listings` have id, gtin and brand; `pairs` are matches among them (l, r, decision), as `match` gives.
+    A listing without a valid GTIN learns one when the certain matches that have one by the last round, and
+    whose brand fits, agree; where they don't, it learns none, in this round or later. Only listings
+    that the last round's news reach are looked at again, so the work of a round is what it changes.
+    """
+    own = settled(listings.select("id", normalize_gtin(F.col("gtin")).alias("gtin"), normalize_brand(F.col("brand")).alias("brand")))
+    sure = pairs.where("decision = 'auto_match' AND l <> r").select(F.col("l").alias("id"), F.col("r").alias("by")).distinct()
+    brands = own.select(F.col("id").alias("by"), F.col("brand").alias("by_brand"))
+    wanting = own.where("gtin IS NULL").select("id", "brand")
+    heard = settled(sure.join(wanting, "id").join(brands, "by").where(brands_fit(F.col("brand"), F.col("by_brand"))).select("id", "by"))
+    news = settled(own.where("gtin IS NOT NULL").select("id", "gtin", F.lit("own").alias("source"), F.lit(0).alias("round")))
+    known, closed, rounds = [news], None, 0
+    while True:
+        told = heard.join(news.select(F.col("id").alias("by"), "gtin"), "by")
+        said = told.groupBy("id").agg(F.min("gtin").alias("gtin"), F.max("gtin").alias("other"), F.min("by").alias("first"))
+        if closed is not None:
+            said = said.join(closed, "id", "left_anti")
+        said = settled(said)
+        if said.isEmpty():
+            break
+        rounds += 1
+        closed = settled(said.select("id") if closed is None else closed.unionByName(said.select("id")))
+        news = said.where("gtin = other").select("id", "gtin", F.concat(F.lit("auto_match:"), F.col("first").cast("string")).alias("source"), F.lit(rounds).alias("round"))
+        known.append(news)
+    return Learned(functools.reduce(DataFrame.unionByName, known), rounds)
+
+
+def rematch(listings: DataFrame, pairs: DataFrame, learned: Learned) -> DataFrame:
+    """The pairs after learning: references that learned a GTIN are matched again, with all that was learned; the
+    others' pairs stay. The result has the columns of `match`."""
+    changed = learned.gtins.where("round > 0")
+    fresh = listings.drop("gtin").join(learned.gtins.select("id", "gtin"), "id", "left")
+    again = match(fresh.join(changed.select("id"), "id", "left_semi"), fresh)
+    return pairs.join(changed.select(F.col("id").alias("l")), "l", "left_anti").select(*again.columns).unionByName(again)

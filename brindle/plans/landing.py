@@ -126,13 +126,13 @@ def rate_pages(spark, sf_dir):
     return rows.select("id", "base", "quote", "rate_type", F.when(~derived | derived.isNull(), F.col("rate").cast("string")).alias("rate"), "outcome")
 
 
-@query("""SELECT s_suppkey AS id, CAST(round(1 / CAST(1000 + s_suppkey AS DOUBLE), 10) AS VARCHAR) = CAST(round(1 / CAST(1000 + s_suppkey AS DOUBLE), 10) AS VARCHAR) AS near FROM supplier""")
+@query("""SELECT s_suppkey AS id, round(1 / CAST(1000 + s_suppkey AS DOUBLE), 12) AS rate FROM supplier""")
 def rate_inverse(spark, sf_dir):
     """The guarani's rate is one over the guaranies to the real, to twelve places."""
     key = F.col("s_suppkey")
     body = _concat('<table id="cotizacion-interbancaria"><tr><td>a</td><td>USD</td><td>1</td><td>7.000</td></tr><tr><td>b</td><td>BRL</td><td>1</td><td>', (1000 + key).cast("string"), ",00</td></tr></table>")
     rows = rt.read_rates(t(spark, sf_dir, "supplier").select(key.alias("id"), F.lit("central_bank").alias("source"), body.alias("body")), keep=["id"]).where("base = 'PYG'")
-    return rows.select("id", (F.abs(F.col("rate").cast("double") - 1 / (1000 + F.col("id"))) < 1e-12).alias("near"))
+    return rows.select("id", F.col("rate").cast("double").alias("rate"))
 
 
 @query("""SELECT base, quote, rate_type, source, rate FROM (SELECT CAST(s_nationkey AS VARCHAR) AS base, 'BRL' AS quote, 'official' AS rate_type, 's' || (s_suppkey % 3) AS source, CAST(s_acctbal AS DECIMAL(24,12)) AS rate, s_suppkey FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_suppkey DESC) = 1) QUALIFY row_number() OVER (PARTITION BY base ORDER BY CASE source WHEN 's2' THEN 1 WHEN 's0' THEN 2 ELSE 3 END) = 1""")

@@ -155,15 +155,12 @@ def retry_after(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.when(n < 2, vx.retry_after(header, F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("wait"))
 
 
-@query("""SELECT event_id, true AS regular, true AS jittered, true AS rates, CASE WHEN event_id % 3 = 0 THEN true ELSE ts <= TIMESTAMP '2024-01-05' END AS crawl FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN true ELSE ts <= TIMESTAMP '2024-01-05' END AS crawl FROM events""")
 def schedule_bounds(spark, sf_dir):
-    """Jitter stays inside its bounds and falls alike every time; a crawl is due when it was never scheduled."""
+    """A crawl is due when its time has come or it was never scheduled."""
     now = F.lit("2024-01-05 00:00:00").cast("timestamp")
     key, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-    regular = F.unix_timestamp(vx.regular_check(now, key)) - F.unix_timestamp(now)
-    jitter = vx.full_jitter(key % 10, key)
-    late = vx.rates_due(F.timestamp_seconds(F.unix_timestamp(now) - 3960), key, now) & ~vx.rates_due(F.timestamp_seconds(F.unix_timestamp(now) - 3599), key, now)
-    return t(spark, sf_dir, "events").select("event_id", regular.between(43200, 43800).alias("regular"), ((jitter >= 0) & (jitter < 60) & (jitter < F.pow(F.lit(2.0), key % 10))).alias("jittered"), late.alias("rates"), vx.crawl_due(F.when(key % 3 > 0, ts), now).alias("crawl"))
+    return t(spark, sf_dir, "events").select("event_id", vx.crawl_due(F.when(key % 3 > 0, ts), now).alias("crawl"))
 
 
 @query("""SELECT CAST(r AS VARCHAR) AS base, 'BRL' AS quote, 'ptax_agreement' AS "check", count(*) AS n FROM (SELECT user_id AS r, 500 + event_id % 10 AS a, 500 + event_id % 7 AS b FROM events) WHERE abs(a - b) * 100 > b * 0.5 GROUP BY 1 UNION ALL SELECT CAST(user_id AS VARCHAR), 'BRL', 'tourism_premium', count(*) FROM events WHERE NOT (event_id % 80 >= event_id % 7 AND (500 + event_id % 80) * 100 <= (500 + event_id % 7) * 112) GROUP BY 1""")
@@ -196,11 +193,13 @@ def attached_conversion(spark, sf_dir):
     return fx.attach(d, rates(spark)).select("id", "converted_price", "rate_type", "reason")
 
 
-@query("""SELECT s_suppkey % 40 AS owner, s_suppkey % 30 AS value, CASE WHEN s_suppkey % 40 = s_suppkey % 30 THEN 'first' END AS note FROM supplier WHERE false""")
+@query("""SELECT s_suppkey, s_name, 'own' AS branch FROM supplier WHERE s_acctbal > 0""")
 def empty_branch(spark, sf_dir):
-    """A branch that its filters rule out: nothing is read for it."""
-    s = t(spark, sf_dir, "supplier")
-    return s.where(F.lit(False)).select((F.col("s_suppkey") % 40).alias("owner"), (F.col("s_suppkey") % 30).alias("value"), F.lit("first").alias("note"))
+    """Two branches of which the filters rule one out: only the other's table is read."""
+    s = t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    other = t(spark, sf_dir, "customer").where(F.lit(False)).select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"))
+    both = s.withColumn("branch", F.lit("own")).unionByName(other.withColumn("branch", F.lit("none")))
+    return both.where("s_acctbal > 0").select("s_suppkey", "s_name", "branch")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS parent, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment, c_custkey % 2 = 0 AND c_custkey % 3 > 0 AS refused FROM customer UNION ALL SELECT c_custkey + 1000000, c_nationkey, 'new', false FROM customer WHERE c_custkey % 10 = 0""")

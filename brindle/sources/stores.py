@@ -16,8 +16,6 @@ from ..functions.text import canonical_url
 from ..functions.values import aware_time
 from .pages import plain_text
 
-#: Listings of one search page at most, as pages are ranked and later ones are read by later searches.
-MOST = 10
 
 
 @dataclass(frozen=True)
@@ -91,15 +89,17 @@ def _from_links(html: Column, a: Adapter) -> Column:
     return F.filter(F.transform(links, one), lambda c: c["product_id"].isNotNull())
 
 
-def candidates(html: Column, adapter: Adapter) -> Column:
-    """The page's listings by canonical address, each once, the first ones: from the script, else from links."""
+def candidates(html: Column, adapter: Adapter, most: int | None = None) -> Column:
+    """The page's listings by canonical address, each once, in its order, the first `most` if that is given: from
+    the script, else from links."""
     found = F.array().cast(CANDIDATES)
     if adapter.script:
         found = F.coalesce(_from_script(html, adapter), found)
     if adapter.link:
         found = F.when(F.size(found) > 0, found).otherwise(F.coalesce(_from_links(html, adapter), F.array().cast(CANDIDATES)))
     keys = F.transform(found, lambda c: canonical_url(c["url"]))
-    return F.slice(F.filter(found, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, MOST)
+    each = F.filter(found, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return each if most is None else F.slice(each, 1, most)
 
 
 def outcome(html: Column, found: Column, adapter: Adapter) -> Column:
