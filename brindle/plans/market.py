@@ -82,3 +82,35 @@ def gtin_rounds(spark, sf_dir):
     found = matching.learn_gtins(d, matching.match(d, d))
     kind = F.when(F.substring("gtin", 1, 12).cast("long") % 2 == 0, "a").otherwise("b")
     return found.gtins.select("id", kind.alias("gtin"), "round")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS kind, p_partkey // 5 % 2 = 0 AS whole, p_brand, p_size FROM part)
+SELECT k, CASE WHEN kind = 4 THEN 'no_product' ELSE 'ok' END AS outcome, CASE kind WHEN 0 THEN CASE WHEN whole THEN 'State ' || k ELSE 'Named ' || k END WHEN 1 THEN 'Heading ' || k WHEN 2 THEN 'Widget ' || k WHEN 3 THEN 'Base ' || k END AS title,
+CASE WHEN kind = 4 THEN NULL WHEN kind = 2 THEN 'MLB' || k WHEN kind = 3 THEN 'SKU' || k ELSE CAST(k AS VARCHAR) END AS product_id, CASE WHEN kind = 0 AND whole THEN p_brand WHEN kind = 3 THEN p_brand END AS brand,
+CAST(CASE kind WHEN 0 THEN CASE WHEN whole THEN 1000 + p_size ELSE p_size END WHEN 1 THEN CASE WHEN whole THEN 1200 + p_size / 100 ELSE 1100 + p_size / 100 END WHEN 2 THEN 900 + p_size WHEN 3 THEN CASE WHEN whole THEN 500 + p_size ELSE 1234.5 END END AS DECIMAL(18,4)) AS price,
+CAST(CASE WHEN kind = 0 AND whole THEN 900 + p_size WHEN kind = 1 THEN 1100 + p_size / 100 END AS DECIMAL(18,4)) AS pix_price, CAST(CASE WHEN kind = 0 AND whole THEN 2000 WHEN kind = 1 THEN 1500 WHEN kind = 2 THEN 1999.9 END AS DECIMAL(18,4)) AS original_price,
+CASE WHEN kind = 0 AND whole THEN 10 WHEN kind = 1 THEN 12 WHEN kind = 2 THEN 6 END AS installment_count FROM p""")
+def store_product_pages(spark, sf_dir):
+    """Product pages of four kinds of stores, with and without what they say first, and a page of none."""
+    from ..sources.products import read_products
+    from .landing import _concat, _of
+
+    key = F.col("p_partkey")
+    k, size = key.cast("string"), F.col("p_size").cast("string")
+    whole = F.floor(key / 5) % 2 == 0
+    cents = F.lpad(size, 2, "0")
+    state = _concat('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"product":{"title":"State ', k, '","id":', k, ',"brands":{"name":"', F.col("p_brand"), '"},"price":', (F.col("p_size") + 1000).cast("string"), ',"prices":{"priceWithDiscount":', (F.col("p_size") + 900).cast("string"), ',"oldPrice":2000},"installment":{"installment":10,"amount":99.5}}}}}</script>')
+    named = _concat('<script type="application/ld+json">{"@type":"Product","name":"Named ', k, '","offers":{"price":', size, "}}</script>")
+    card = F.when(whole, _concat('<span id="valParc">R$ 1.200,', cents, "</span>")).otherwise("")
+    forms = [
+        F.when(whole, state).otherwise(named),
+        _concat("<h1>Heading <b>", k, '</b></h1><div class="info-price"><p class="precode">De: <del>R$ 1.500,00</del></p>', card, '<p class="valVista" id="valVista">R$ 1.100,', cents, '</p><span id="nParc">12x</span><span id="Parc">R$ 100,00</span></div><del>R$ 9.999,00</del>'),
+        _concat('<h1 class="ui-pdp-title">Widget ', k, '</h1><meta itemprop="price" content="1"><div class="box ui-pdp-price"><span><meta itemprop="price" content="', (F.col("p_size") + 900).cast("string"), '"></span><s class="ui-pdp-price__original-value" aria-label="Antes: 1999.9 reais"></s></div><p id="pricing_price_subtitle">em <b>6</b> x sem juros</p>'),
+        _concat('<h1 class="page-title"><span class="base">Base ', k, '</span></h1><a class="amshopby-brand-title-link">Other</a><div class="product-info-main"><a class="amshopby-brand-title-link">', F.col("p_brand"), '</a><div itemprop="sku">SKU', k, "</div>", F.when(whole, _concat('<span data-price-amount="', (F.col("p_size") + 500).cast("string"), '">', "</span>")).otherwise('<span class="price">US$ 1234,5</span>'), "</div>"),
+        _concat("<p>nothing ", k, "</p>"),
+    ]
+    name = _of(["script state", "numbered ids", "price widget", "shop template", "script state"], key)
+    url = F.concat(F.lit("https://h.example"), F.when(key % 5 == 2, _concat("/p/MLB", k)).when(key % 5 == 4, _concat("/x/", k)).otherwise(_concat("/produto/", k, "/x")))
+    pages = t(spark, sf_dir, "part").select(url.alias("url"), name.alias("format"), _concat("<html><body>", _of(forms, key), "</body></html>").alias("html"))
+    d = read_products(pages)
+    return d.select(F.regexp_extract("url", r"(\d+)(?:/x)?$", 1).cast("long").alias("k"), "outcome", "title", "product_id", "brand", "price", "pix_price", "original_price", "installment_count")
