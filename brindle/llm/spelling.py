@@ -106,14 +106,13 @@ def _rarity(letters: np.ndarray, q: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _prefix(letters: np.ndarray, q: int, pairs: np.ndarray) -> np.ndarray:
-    """Which grams lead to keys: the q + 1 rarest, and all that equal the last of them."""
+    """Which grams lead to keys: the first q + 1 by rarity, gram and place. One edit touches no more than q grams and
+    leaves the others in this order, so the first untouched gram is among those of both words."""
     grams = _grams(letters, q)
-    order = np.lexsort((grams, _rarity(letters, q, pairs)), axis=1)
-    rank = np.argsort(order, axis=1, kind="stable")
-    if grams.shape[1] <= q + 1:
-        return np.ones(grams.shape, bool)
-    last = np.take_along_axis(grams, order[:, q : q + 1], 1)
-    return (rank <= q) | (grams == last)
+    order = np.lexsort((grams, _rarity(letters, q, pairs)), axis=1)  # stable: equal grams stay by place
+    out = np.zeros(grams.shape, bool)
+    np.put_along_axis(out, order[:, : q + 1], True, 1)
+    return out
 
 
 def _class(m: int) -> np.uint64:
