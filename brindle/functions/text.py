@@ -23,24 +23,62 @@ def search_fold(text: Column) -> Column:
     return F.lower(F.translate(text, ACCENTED + ACCENTED.upper(), PLAIN + PLAIN))
 
 
+#: Where characters stand that folding changes, but for Hangul syllables: the planes without the ideographs, and the compatibility ideographs.
+_FOLDING = (range(0x41, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0x2F800, 0x2FA20))
+#: What Python's strip removes at both ends.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: Hangul syllables are in the order of their first, middle and last letters; a syllable may lack the last.
+_SYLLABLE, _FIRST, _MIDDLE, _LAST = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A8, 27)
+
+
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one or to none (these last), what the former fold to, and characters that fold to several."""
+    single, gone, several = {}, [], {}
+    for c in (chr(n) for places in _FOLDING for n in places if not 0xD800 <= n < 0xE000):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if not plain:
+            gone.append(c)
+        elif len(plain) > 1:
+            several[c] = plain
+        elif plain != c:
+            single[c] = plain
+    return "".join(single) + "".join(gone), "".join(single.values()), several
+
+
 @functools.cache
-def _compatible() -> tuple[str, str]:
-    """Characters up to U+2FFE and the compatibility forms whose decomposition without marks is one character, and these."""
-    found = []
-    for c in (*range(0xA0, 0x2FFF), *range(0xFB00, 0xFFEF)):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != chr(c):
-            found.append((chr(c), plain))
-    return "".join(a for a, _ in found), "".join(b for _, b in found)
+def _spelled_class() -> str:
+    """A class of the characters that fold to several, as ranges."""
+    points = sorted(map(ord, _folding()[2]))
+    starts = [p for p in points if p - 1 not in set(points)]
+    ends = [p for p in points if p + 1 not in set(points)]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "\\x{ac00}-\\x{d7a3}]"
+
+
+def _spelled(c: Column) -> Column:
+    """A character that folds to several, spelled out."""
+    several = _folding()[2]
+    at = F.position(c, F.lit("".join(several)))
+    listed = F.get(F.split(F.lit("\n".join(several.values())), "\n"), at - 1)
+    letter = lambda kind, n: F.substring(F.lit("".join(chr(kind[0] + i) for i in range(kind[1]))), n + 1, F.lit(1))
+    n = F.ascii(c) - _SYLLABLE
+    last = n % (_LAST[1] + 1)
+    first = F.floor(n / ((_LAST[1] + 1) * _MIDDLE[1])).cast("int")
+    middle = F.floor(n / (_LAST[1] + 1)).cast("int") % _MIDDLE[1]
+    syllable = F.concat(letter(_FIRST, first), letter(_MIDDLE, middle), F.when(last > 0, letter(_LAST, last - 1)).otherwise(""))
+    return F.when(n.between(0, 11171), syllable).when(at > 0, listed).otherwise(c)
 
 
 def fold(text: Column) -> Column:
-    """Accent-free lower case, trimmed. Characters are decomposed by a table and combining marks dropped;
-    of those that decompose into several, the sharp s and the Latin ligatures are known."""
-    plain = F.regexp_replace(F.translate(text, *_compatible()), r"\p{M}", "")
-    for sign, letters in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("™", "tm"), ("½", "1⁄2")):
-        plain = F.replace(plain, F.lit(sign), F.lit(letters))
-    return F.trim(F.lower(plain))
+    """Compatibility decomposition without combining marks, case-folded and stripped, for every character.
+
+    Plain ASCII takes the short way. A table folds characters to one character or none; only texts that
+    hold one which folds to several are taken apart."""
+    many, one, _ = _folding()
+    single = F.translate(text, many, one)
+    spelled = F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0)), _spelled), "")
+    wide = F.when(single.rlike(_spelled_class()), spelled).otherwise(single)
+    return F.trim(F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(wide), F.lit(BLANKS))
 
 
 def search_terms(query: str) -> tuple[str, ...]:

@@ -1,8 +1,10 @@
 """Functions and operators on small hand-made cases."""
 
+import unicodedata
 from datetime import datetime
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,20 @@ def test_text(spark):
         tx.search_terms("a b c d e f g h i")
 
 
+def test_fold_equals_decomposition_and_case_folding(spark):
+    """Every assigned character, alone and between letters, and texts that mix them."""
+
+    def want(x):
+        return "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y)).casefold().strip()
+
+    assigned = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    mixed = ["한국어 ½ ΌΣΟΣ Straße", "\u3000ﬃ\u0085", "ı İ ﷺ 𝔄𝕭 e\u0301\u0345", "", "\x1c\tA\n", None]
+    texts = assigned + [f"A{c}b" for c in assigned] + mixed
+    rows = spark.createDataFrame(pd.DataFrame({"i": range(len(texts)), "s": texts})).repartition(4).select("i", tx.fold(F.col("s")).alias("f")).collect()
+    wrong = [(texts[r.i], r.f) for r in rows if r.f != (None if texts[r.i] is None else want(texts[r.i]))]
+    assert len(rows) == len(texts) and not wrong, wrong[:20]
+
+
 def test_literal_search(spark):
     terms = tx.search_terms("100% Café")
     d = spark.createDataFrame([("so 100% fine", "CAFE"), ("1000 cafe", None)], "a string, b string")
