@@ -431,4 +431,4 @@ def extension_ranks(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("d"), F.ntile(4).over(v).cast("long").alias("q"))
 
 
-from . import feed, keyed, landing, market, monitoring, titles  # noqa: E402, F401  (they add their queries)
+from . import feed, keyed, landing, market, monitoring, payloads, titles  # noqa: E402, F401  (they add their queries)
