@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,6 +91,26 @@ def search_terms(query: str) -> tuple[str, ...]:
     return terms
 
 
+def search_window(start: datetime | None, end: datetime | None) -> tuple[datetime | None, datetime | None]:
+    """A half-open window of a query, either end open; times without a zone, and an end that isn't after the start, are errors."""
+    if any(x is not None and x.utcoffset() is None for x in (start, end)):
+        raise ValueError("a window's times have a zone")
+    if start is not None and end is not None and start >= end:
+        raise ValueError("a window ends after its start")
+    return start, end
+
+
+def within(at: Column, start: datetime | None, end: datetime | None) -> Column:
+    """Whether a timestamp is in a window that search_window takes; a null time is in none that has an end."""
+    start, end = search_window(start, end)
+    out = F.lit(True)
+    if start is not None:
+        out = out & (at >= F.lit(start))
+    if end is not None:
+        out = out & (at < F.lit(end))
+    return F.coalesce(out, F.lit(False))
+
+
 def matches_all(terms: tuple[str, ...], fields: list[Column]) -> Column:
     """Every term stands literally in at least one folded field."""
     out = F.lit(True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +198,14 @@ def accent_search(spark, sf_dir):
     return d.where(tx.matches_all(tx.search_terms("Réation the"), [F.col("text"), F.col("source")]) & F.contains(tx.search_fold(F.col("text")), F.lit("reation"))).select("doc_id", "lang")
 
 
+@query("""SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 03:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1""")
+def change_window(spark, sf_dir):
+    """Events of a validated half-open window whose ends are given in two zones."""
+    start, end = datetime.fromisoformat("2024-01-05T00:00:00-03:00"), datetime.fromisoformat("2024-01-20T00:00:00+00:00")
+    e = t(spark, sf_dir, "events")
+    return e.where(tx.within(F.col("ts").cast("timestamp"), start, end)).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
 @query("""SELECT p_partkey, nullif(trim(regexp_replace(lower(p_brand),'[^a-z0-9]+',' ','g')),'') AS brand, nullif(regexp_replace(lower(p_type),'[^a-z0-9]+','','g'),'') AS model FROM part""")
 def normalized_names(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", tx.normalize_brand(F.col("p_brand")).alias("brand"), tx.normalize_code(F.col("p_type")).alias("model"))

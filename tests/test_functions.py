@@ -1,7 +1,7 @@
 """Functions and operators on small hand-made cases."""
 
 import unicodedata
-from datetime import datetime
+from datetime import UTC, datetime, timedelta, timezone
 from decimal import Decimal
 
 import pandas as pd
@@ -52,6 +52,17 @@ def test_fold_equals_decomposition_and_case_folding(spark):
     assert len(rows) == len(texts) and not wrong, wrong[:20]
 
 
+def test_search_windows(spark):
+    a, b = datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 2, tzinfo=timezone(timedelta(hours=-3)))
+    for start, end in [(datetime(2024, 1, 1), None), (None, datetime(2024, 1, 1)), (b, a), (a, a)]:
+        with pytest.raises(ValueError):
+            tx.search_window(start, end)
+    d = spark.createDataFrame([(x,) for x in ("2023-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-02 02:59:59", "2024-01-02 03:00:00", None)], "s string").withColumn("at", F.col("s").cast("timestamp"))
+    got = lambda *w: [r.s for r in d.where(tx.within(F.col("at"), *w)).collect()]
+    assert got(a, b) == ["2024-01-01 00:00:00", "2024-01-02 02:59:59"]
+    assert got(None, a) == ["2023-12-31 23:59:59"] and len(got(a, None)) == 3 and len(got(None, None)) == 5
+
+
 def test_literal_search(spark):
     terms = tx.search_terms("100% Café")
     d = spark.createDataFrame([("so 100% fine", "CAFE"), ("1000 cafe", None)], "a string, b string")
