@@ -40,7 +40,15 @@ def json_ld_products(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", *(F.when(product[c] != "", product[c]).alias(c) for c in ("name", "sku", "brand", "price", "currency", "availability")))
 
 
-@query("""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html,'(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>',1),'&amp;','&','g')),'') AS title, CAST(NULL AS VARCHAR) AS sku, CASE WHEN length(trim(html)) = 0 THEN 'empty' ELSE 'no_product' END AS outcome FROM pages""")
+#: An element's text as the SQL of the queries states it: tags as blanks, the common entities, white space as one blank.
+def _text_sql(tag: str) -> str:
+    text = f"regexp_replace(regexp_extract(html, '(?is)<{tag}(?:[ \\t\\n\\x0B\\f\\r][^>]*)?>(.*?)</{tag}[ \\t\\n\\x0B\\f\\r]*>', 1), '<[^>]*>', ' ', 'g')"
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return f"nullif(trim(regexp_replace({text}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '')"
+
+
+@query(f"""SELECT page_id, coalesce({_text_sql("h1")}, {_text_sql("title")}) AS title, CAST(NULL AS VARCHAR) AS sku, CASE WHEN coalesce(length(trim(html)), 0) = 0 THEN 'empty' ELSE 'no_product' END AS outcome FROM pages""")
 def page_products(spark, sf_dir):
     """Landed pages without JSON-LD: the heading is the title."""
     return pg.parse_pages(t(spark, sf_dir, "pages")).select("page_id", "title", "sku", "outcome")
