@@ -155,12 +155,16 @@ def retry_after(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.when(n < 2, vx.retry_after(header, F.lit("2024-01-01 00:00:00").cast("timestamp"))).alias("wait"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN true ELSE ts <= TIMESTAMP '2024-01-05' END AS crawl FROM events""")
+@query("""SELECT event_id, true AS regular, true AS jittered, true AS rates, CASE WHEN event_id % 3 = 0 THEN true ELSE ts <= TIMESTAMP '2024-01-05' END AS crawl FROM events""")
 def schedule_bounds(spark, sf_dir):
-    """A crawl is due when its time has come or it was never scheduled."""
+    """Regular checks, full jitter and the fetching of rates stay inside their bounds; a crawl is due when its time has come
+    or it was never scheduled."""
     now = F.lit("2024-01-05 00:00:00").cast("timestamp")
     key, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-    return t(spark, sf_dir, "events").select("event_id", vx.crawl_due(F.when(key % 3 > 0, ts), now).alias("crawl"))
+    regular = F.unix_timestamp(vx.regular_check(now, key)) - F.unix_timestamp(now)
+    jitter = vx.full_jitter(key % 10, key)
+    late = vx.rates_due(F.timestamp_seconds(F.unix_timestamp(now) - 3960), key, now) & ~vx.rates_due(F.timestamp_seconds(F.unix_timestamp(now) - 3599), key, now)
+    return t(spark, sf_dir, "events").select("event_id", regular.between(43200, 43800).alias("regular"), ((jitter >= 0) & (jitter < 60) & (jitter < F.pow(F.lit(2.0), key % 10))).alias("jittered"), late.alias("rates"), vx.crawl_due(F.when(key % 3 > 0, ts), now).alias("crawl"))
 
 
 @query("""SELECT CAST(r AS VARCHAR) AS base, 'BRL' AS quote, 'ptax_agreement' AS "check", count(*) AS n FROM (SELECT user_id AS r, 500 + event_id % 10 AS a, 500 + event_id % 7 AS b FROM events) WHERE abs(a - b) * 100 > b * 0.5 GROUP BY 1 UNION ALL SELECT CAST(user_id AS VARCHAR), 'BRL', 'tourism_premium', count(*) FROM events WHERE NOT (event_id % 80 >= event_id % 7 AND (500 + event_id % 80) * 100 <= (500 + event_id % 7) * 112) GROUP BY 1""")
