@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -37,6 +38,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is run inside; a session that asks for fewer keeps its number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores behind it until no column is so named."""
     taken, out = {c.lower() for c in columns}, []
@@ -64,9 +78,16 @@ def pieces_of(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def give_back() -> None:
-    """Return freed memory to the system. Python workers are kept between tasks, and what an
-    allocator holds on to counts against the executor."""
+#: Tables that an operator keeps in a worker from task to task; tasks of other operators empty them.
+KEPT: list[dict] = []
+
+
+def give_back(own: dict | None = None) -> None:
+    """Return freed memory to the system, and what other operators than the one of `own` keep here. Python workers
+    are kept between tasks, and what an allocator holds on to counts against the executor."""
+    for table_ in KEPT:
+        if table_ is not own:
+            table_.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

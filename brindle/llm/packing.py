@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, pieces_of, unused, utf8
+from .common import KEPT, arrow_rows, checkpointed, give_back, pieces_of, unused, utf8
 
 #: Pieces that one partition packs, and partitions that meet in one at the next round.
 GROUP_PIECES = 32768
@@ -33,6 +33,9 @@ CACHE_WORDS = 400_000
 #: A run of these after letters is encoded apart from them. The apostrophe isn't one: it may start a suffix.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, "WordEncoder"] = {}
+KEPT.append(_ENCODERS)
+#: Texts that come to a worker at a time, and wait for it in the JVM.
+BATCH_TEXTS = 1024
 
 
 class WordEncoder:
@@ -117,6 +120,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def own_encoder(path: str) -> WordEncoder:
+    """The worker's encoder, once what earlier stages' tasks left here is given back."""
+    give_back(_ENCODERS)
+    return encoder(path)
+
+
 def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, payload: str = "ids") -> DataFrame:
     """The documents' token ids, cut into pieces of at most `capacity`.
 
@@ -129,8 +138,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 409
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        give_back()  # what earlier stages' tasks left in this worker
-        enc = encoder(tokenizer_path)
+        enc = own_encoder(tokenizer_path)
         for b in pieces_of(batches):
             data = enc.encode(b.column(1).to_pylist())
             out = [[], [], [], [], []]
@@ -233,7 +241,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIEC
     pieces = pieces.drop(*PACKED)
     keep = pieces.columns
     tie, group, open_ = unused(keep, "tie", "group", "open")
-    pieces = checkpointed(pieces)
+    with arrow_rows(pieces.sparkSession, BATCH_TEXTS):
+        pieces = checkpointed(pieces)
     n, low, high = pieces.agg(F.count("*"), F.min("length"), F.max("length")).first()
     if n and (low < 1 or high > capacity):
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
