@@ -26,6 +26,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of short rows that much is worked out of, dealt to all cores: millions of them may be in one split of the file."""
+    return t(spark, sf_dir, name).repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def seconds_exact(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
 

@@ -12,7 +12,7 @@ from ..functions import reading
 from ..functions import text as tx
 from ..functions import titles as tt
 from ..operators import matching, tables
-from .registry import query, sql_values, t
+from .registry import dealt, query, sql_values, t
 
 #: Titles, and what they say: category, model in lower case, attributes.
 KNOWN: tuple[tuple[str, str | None, str | None, str], ...] = (
@@ -249,7 +249,7 @@ def search_ladder(spark, sf_dir):
     brand = F.concat(F.lit("acme"), (key % 9).cast("string"))
     title = F.concat(F.lit("SSD "), brand, F.lit(" 990 PRO 1TB usado MZ-V"), F.lpad(key.cast("string"), 7, "0"))
     q = tt.search_queries(F.lpad(key.cast("string"), 13, "0"), brand, F.lit("990 PRO"), tx.fold(title), F.lit("Black"), F.lit("1TB"), F.lit("ssd"))
-    return t(spark, sf_dir, "part").select("p_partkey", F.get(q, 1).alias("second"), F.get(q, 2).alias("third"), F.size(q).alias("n"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.get(q, 1).alias("second"), F.get(q, 2).alias("third"), F.size(q).alias("n"))
 
 
 @query("""SELECT p_partkey, 'category: ssd' || chr(10) || 'brand: ' || p_brand || chr(10) || 'variant_color: black' || chr(10) || 'variant_storage: ' || p_size || 'gb' AS structured, p_name || ' renewed' || chr(10) || 'category: ssd' || chr(10) || 'brand: ' || p_brand || chr(10) || 'variant_color: black' || chr(10) || 'variant_storage: ' || p_size || 'gb' AS hybrid FROM part""")
