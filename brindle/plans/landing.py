@@ -10,7 +10,7 @@ from ..functions import values as vx
 from ..sources import pages as pg
 from ..sources import rates as rt
 from ..sources import stores
-from .registry import query, sql_values, t
+from .registry import dealt, query, sql_values, t
 
 
 def _of(texts, key, n=None):
@@ -37,7 +37,7 @@ def json_ld_products(spark, sf_dir):
         script('{"@type":"BreadcrumbList","name":"no"}'),
     ]
     product = pg.json_ld_product(_concat("<html><h1>t</h1>", _of(shapes, key), "</html>"))
-    return t(spark, sf_dir, "part").select("p_partkey", *(F.when(product[c] != "", product[c]).alias(c) for c in ("name", "sku", "brand", "price", "currency", "availability")))
+    return dealt(spark, sf_dir, "part").select("p_partkey", *(F.when(product[c] != "", product[c]).alias(c) for c in ("name", "sku", "brand", "price", "currency", "availability")))
 
 
 #: An element's text as the SQL of the queries states it: tags as blanks, the common entities, white space as one blank.
