@@ -98,7 +98,7 @@ def store_search_pages(spark, sf_dir):
         F.lit('<script id="__NEXT_DATA__">{"props":'),
         _concat("<p>hello ", k, "</p>"),
     ]
-    pages = t(spark, sf_dir, "part").select(key.alias("page_id"), F.lit("next").alias("store"), _of(forms, key).alias("html"))
+    pages = dealt(spark, sf_dir, "part").select(key.alias("page_id"), F.lit("next").alias("store"), _of(forms, key).alias("html"))
     d = stores.search_results(pages)
     return d.groupBy(F.col("page_id").alias("p_partkey")).agg(F.first("outcome").alias("outcome"), F.count("url").cast("int").alias("n"), F.min_by("url", "position").alias("first_url"))
 
