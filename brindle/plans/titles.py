@@ -208,7 +208,7 @@ _VARIANTS = (
 @query(f"""SELECT p_partkey, attributes FROM part JOIN (VALUES {sql_values([(i, v[1]) for i, v in enumerate(_VARIANTS)])}) v(v, attributes) ON v.v = p_partkey % {len(_VARIANTS)}""")
 def variant_parsing(spark, sf_dir):
     text = F.element_at(F.array(*(F.lit(v[0]) for v in _VARIANTS)), (F.col("p_partkey") % len(_VARIANTS) + 1).cast("int"))
-    return t(spark, sf_dir, "part").select("p_partkey", F.coalesce(tx.variant_key(tt.parse_variant(text)), F.lit("")).alias("attributes"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.coalesce(tx.variant_key(tt.parse_variant(text)), F.lit("")).alias("attributes"))
 
 
 _EQUALS = (("color", "Preto", "black", True, False), ("color", "Titânio", "Titanium Black", True, False), ("color", "Laranja cósmico", "Cosmic Orange", True, False), ("color", "Laranja", "cosmic orange", True, False), ("color", "azul", "vermelho", False, False), ("color", "nebula", "blue", False, True), ("storage", "1 TB", "1tb", True, False), ("storage", "256GB", "512GB", False, False), ("ram", "16g", "16 GB", True, False), ("screen_size", "27 in", '27"', True, False), ("resolution", "2560 x 1440", "QHD 2560x1440", True, False), ("edition", "Shadow 3X OC", "shadow-3x-oc", True, False), ("network_lock", "Desbloqueado", "unlocked", True, False))
