@@ -139,7 +139,7 @@ def rate_inverse(spark, sf_dir):
     """The guarani's rate is one over the guaranies to the real, to twelve places."""
     key = F.col("s_suppkey")
     body = _concat('<table id="cotizacion-interbancaria"><tr><td>a</td><td>USD</td><td>1</td><td>7.000</td></tr><tr><td>b</td><td>BRL</td><td>1</td><td>', (1000 + key).cast("string"), ",00</td></tr></table>")
-    rows = rt.read_rates(t(spark, sf_dir, "supplier").select(key.alias("id"), F.lit("central_bank").alias("source"), body.alias("body")), keep=["id"]).where("base = 'PYG'")
+    rows = rt.read_rates(dealt(spark, sf_dir, "supplier").select(key.alias("id"), F.lit("central_bank").alias("source"), body.alias("body")), keep=["id"]).where("base = 'PYG'")
     return rows.select("id", F.col("rate").cast("double").alias("rate"))
 
 
