@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import payloads as pl
-from .registry import query, t
+from .registry import dealt, query, t
 
 
 def _text(*parts: Column | str) -> Column:
@@ -21,7 +21,7 @@ def _listed(n: Column) -> Column:
 def payload_bounds(spark, sf_dir):
     """Payloads of five levels, with long lists and texts and with secrets, held to bounds."""
     made = _text('{"t":"', F.col("event_type"), '","n":null,"api_Token":"x","a":{"b":{"c":{"d":{"e":', F.col("event_id"), '}}}},"l":[', _listed(F.col("event_id") % 60), '],"s":"', F.expr("repeat('é', int(event_id % 3000))"), '"}')
-    return t(spark, sf_dir, "events").select("event_id", F.to_json(pl.plain(F.try_parse_json(made))).alias("held"))
+    return dealt(spark, sf_dir, "events").select("event_id", F.to_json(pl.plain(F.try_parse_json(made))).alias("held"))
 
 
 @query("""SELECT p_partkey, p_partkey % 50 <> 0 AS staged, CASE WHEN p_partkey % 50 <> 0 AND p_partkey % 7 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 50 <> 0 AND p_partkey % 7 <> 0 THEN CAST(p_retailprice AS DECIMAL(18,4)) END AS price,
@@ -32,7 +32,7 @@ def payload_staging(spark, sf_dir):
     key = F.col("p_partkey")
     product = pl.variant_of({"title": F.when(key % 50 == 0, F.expr("repeat(p_name, 20000)")).otherwise(F.col("p_name")), "price": F.col("p_retailprice").cast("decimal(18,4)").cast("string")})
     metadata = F.try_parse_json(_text('{"specifications":{"size":', F.col("p_size"), ',"deep":{"x":{"y":{"z":1}}}},"colour":"red","storage":', F.when(key % 2 == 0, "null").otherwise(_text('"', F.col("p_size"), ' GB"')), "}"))
-    s = t(spark, sf_dir, "part").select(key, pl.staged(product, metadata).alias("s"))
+    s = dealt(spark, sf_dir, "part").select(key, pl.staged(product, metadata).alias("s"))
     payload = F.when(key % 7 == 0, F.replace("s.payload", F.lit('"version":1'), F.lit('"version":2'))).otherwise(F.col("s.payload"))
     r = s.select(key, "s", pl.restored(payload).alias("r"))
     refused = F.coalesce("s.refused", "r.refused")
