@@ -154,7 +154,7 @@ def _pairs_of(spark, side: int):
 @query(f"""SELECT p_partkey, decision, CAST(confidence AS DECIMAL(5,4)) AS confidence, reason FROM part JOIN (VALUES {sql_values([(i, p[2], p[3], p[4]) for i, p in enumerate(PAIRS)])}) k(v, decision, confidence, reason) ON k.v = p_partkey % {len(PAIRS)}""")
 def match_decisions(spark, sf_dir):
     """The ordered decision, with pairs for every rule."""
-    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(PAIRS)).cast("int").alias("v"))
+    p = dealt(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(PAIRS)).cast("int").alias("v"))
     fields = [*matching.IDENTITY, "store", "product_id", "price", "currency"]
     side = lambda i, name: matching.identity(p.join(_pairs_of(spark, i), "v"), "title", "brand", "gtin", variant="variant").select("p_partkey", F.struct(*fields).alias(name))
     return matching.decide(side(0, "a").join(side(1, "b"), "p_partkey")).select("p_partkey", "decision", "confidence", "reason")
