@@ -173,7 +173,7 @@ def product_matching(spark, sf_dir):
     brand = F.concat(F.when(place == 6, "Zed ").otherwise("Acme "), group.cast("string"))
     store = F.when(place.isin(0, 5), "first").otherwise(F.concat(F.lit("s"), place.cast("string")))
     product = F.when(place.isin(0, 5), group).otherwise(key).cast("string")
-    d = t(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), brand.alias("brand"), F.lit(None).cast("string").alias("gtin"), F.col("p_retailprice").cast("decimal(18,4)").alias("price"), F.lit("USD").alias("currency"), store.alias("store"), product.alias("product_id"))
+    d = dealt(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), brand.alias("brand"), F.lit(None).cast("string").alias("gtin"), F.col("p_retailprice").cast("decimal(18,4)").alias("price"), F.lit("USD").alias("currency"), store.alias("store"), product.alias("product_id"))
     return matching.match(d, d).select("l", "r", "decision", "confidence", "reason")
 
 
