@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions.values import gtin_check_digit
 from ..operators import cdc, facets, matching
 from . import titles
-from .registry import query, t
+from .registry import dealt, query, t
 
 _SWEEP = """o AS (SELECT c_custkey AS key, CAST(o_orderdate AS DATE) AS seen, o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,4)) AS price, o_orderpriority AS seller, CASE WHEN o_orderstatus = 'O' THEN 'available' ELSE 'out_of_stock' END AS stock, CASE o_orderkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'removed' ELSE 'ok' END AS status FROM orders JOIN customer ON c_custkey = o_custkey),
 b AS (SELECT * FROM o WHERE seen < CAST('1995-06-01' AS DATE) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seen DESC, id DESC) = 1),
@@ -78,7 +78,7 @@ def gtin_rounds(spark, sf_dir):
     gtin = lambda kind: F.concat(code(kind), gtin_check_digit(code(kind)).cast("string"))
     own = F.when(place == 0, gtin(0)).when((place == 4) & (chain % 2 == 0), gtin(1))
     none = F.lit(None).cast("string")
-    d = t(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), none.alias("brand"), own.alias("gtin"), F.lit(100).cast("decimal(18,4)").alias("price"), F.lit("BRL").alias("currency"), F.concat(F.lit("s"), place.cast("string")).alias("store"), key.cast("string").alias("product_id"))
+    d = dealt(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), none.alias("brand"), own.alias("gtin"), F.lit(100).cast("decimal(18,4)").alias("price"), F.lit("BRL").alias("currency"), F.concat(F.lit("s"), place.cast("string")).alias("store"), key.cast("string").alias("product_id"))
     found = matching.learn_gtins(d, matching.match(d, d))
     kind = F.when(F.substring("gtin", 1, 12).cast("long") % 2 == 0, "a").otherwise("b")
     return found.gtins.select("id", kind.alias("gtin"), "round")
@@ -111,6 +111,6 @@ def store_product_pages(spark, sf_dir):
     ]
     name = _of(["script state", "numbered ids", "price widget", "shop template", "script state"], key)
     url = F.concat(F.lit("https://h.example"), F.when(key % 5 == 2, _concat("/p/MLB", k)).when(key % 5 == 4, _concat("/x/", k)).otherwise(_concat("/produto/", k, "/x")))
-    pages = t(spark, sf_dir, "part").select(url.alias("url"), name.alias("format"), _concat("<html><body>", _of(forms, key), "</body></html>").alias("html"))
+    pages = dealt(spark, sf_dir, "part").select(url.alias("url"), name.alias("format"), _concat("<html><body>", _of(forms, key), "</body></html>").alias("html"))
     d = read_products(pages)
     return d.select(F.regexp_extract("url", r"(\d+)(?:/x)?$", 1).cast("long").alias("k"), "outcome", "title", "product_id", "brand", "price", "pix_price", "original_price", "installment_count")
