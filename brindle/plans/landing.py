@@ -66,7 +66,7 @@ def gallery_images(spark, sf_dir):
     """Image addresses of nested JSON, absolute, once each, in order."""
     raw = _concat('{"main":"/a', F.col("p_partkey").cast("string"), '.jpg","more":[{"url":"//c/d.png","w":3},["/b.webp","/a', F.col("p_partkey").cast("string"), '.jpg"]],"alt":"no image"}')
     images = pg.gallery(pg.image_addresses(raw), F.lit("https://h/p/1"))
-    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(images, ",").alias("images"), F.size(images).alias("n"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", F.array_join(images, ",").alias("images"), F.size(images).alias("n"))
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS url, CASE WHEN p_partkey % 2 = 0 THEN 'o' ELSE 'd' END || p_partkey AS sku, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 3 > 0 THEN 'a=offer|b=details' ELSE 'a=offer' END AS metadata, CASE WHEN p_partkey % 3 > 0 THEN 'x=details|y=offer' ELSE 'x=offer|y=offer' END AS sources FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 > 0""")
@@ -76,7 +76,7 @@ def composed_items(spark, sf_dir):
     url = key.cast("string")
     map_ = lambda *kv: F.create_map(*map(F.lit, kv))
     none = F.lit(None).cast("string")
-    p = t(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part")
     offers = p.select(url.alias("url"), none.alias("gtin"), F.when(key % 2 == 0, _concat("o", url)).alias("sku"), url.alias("product_id"), F.lit("t").alias("title"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), map_("a", "offer").alias("metadata"), map_("x", "offer", "y", "offer").alias("sources"))
     details = p.where("p_partkey % 3 > 0").select(url.alias("url"), none.alias("gtin"), _concat("d", url).alias("sku"), none.alias("product_id"), none.alias("title"), F.col("p_brand").alias("brand"), none.alias("model"), map_("a", "details", "b", "details").alias("metadata"), map_("x", "details").alias("sources"))
     items = pg.compose_items(offers, details)
@@ -128,7 +128,7 @@ def rate_pages(spark, sf_dir):
         for r in rest:
             parts += [n, F.lit(clean(r))]
         bodies.append(F.concat(*parts))
-    d = t(spark, sf_dir, "supplier").select(key.alias("id"), _of([s for s, _ in _RATES], key).alias("of"), _of(bodies, key).alias("body"))
+    d = dealt(spark, sf_dir, "supplier").select(key.alias("id"), _of([s for s, _ in _RATES], key).alias("of"), _of(bodies, key).alias("body"))
     rows = rt.read_rates(d.withColumnRenamed("of", "source"), keep=["id"])
     derived = (F.col("base") == "PYG") & (F.col("source") == "central_bank")
     return rows.select("id", "base", "quote", "rate_type", F.when(~derived | derived.isNull(), F.col("rate").cast("string")).alias("rate"), "outcome")
@@ -165,7 +165,7 @@ def timed_promotions(spark, sf_dir):
     told = F.lit(None).cast("struct<type:string,expires_at:timestamp>")
     for found, k in kinds:
         told = F.when(key % 3 == k, found).otherwise(told)
-    return t(spark, sf_dir, "supplier").select(key.alias("id"), told["type"].alias("kind"), F.unix_timestamp(ends(told)).alias("ends"))
+    return dealt(spark, sf_dir, "supplier").select(key.alias("id"), told["type"].alias("kind"), F.unix_timestamp(ends(told)).alias("ends"))
 
 
 _UNITS = (("capacity", "kit 1,5tb ", "1.5 TB"), ("frequency", "6000mhz", "6000 MHz"), ("refresh_rate", "240HZ", "240 Hz"), ("radiator_size", "360MM", "360 mm"), ("screen_size", "27,5 polegadas", '27.5"'), ("wattage", "850w", "850 W"), ("memory_type", "ddr 5", "DDR5"), ("memory_type", "gddr6x", "GDDR6X"), ("pcie", "pcie 4", "PCIe 4.0"), ("efficiency", "80+ gold", "80 Plus Gold"), ("efficiency", "80 plus", "80 Plus"), ("kit_configuration", "2 X 16", "2x16 GB"), ("gpu", "rtx4070ti", "RTX 4070 Ti"), ("gpu_model", "RX7900XTX", "RX 7900 XTX"), ("color", " azul ", "azul"), ("color", " ", None))
@@ -175,7 +175,7 @@ _UNITS = (("capacity", "kit 1,5tb ", "1.5 TB"), ("frequency", "6000mhz", "6000 M
 def attribute_values(spark, sf_dir):
     """Values in the usual form of their keys."""
     known = F.broadcast(spark.createDataFrame([(i, u[0], u[1]) for i, u in enumerate(_UNITS)], "v int, k string, raw string"))
-    d = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_UNITS)).cast("int").alias("v")).join(known, "v")
+    d = dealt(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_UNITS)).cast("int").alias("v")).join(known, "v")
     return d.select("p_partkey", vx.attribute_value(F.col("k"), F.col("raw")).alias("value"))
 
 
@@ -186,7 +186,7 @@ def redacted_lines(spark, sf_dir):
     k = key.cast("string")
     lines = [_concat("GET x Bearer abc!def", k, " ok"), _concat("db postgres://user:p", k, "@host/x"), _concat("plain ", k), _concat("bearer tok.en~", k)]
     fields = F.create_map(F.lit("id"), k, F.lit("note"), _concat("Bearer !", k), F.when(key % 2 == 0, "user_password").otherwise("x-api-key"), _concat("secret", k))
-    return t(spark, sf_dir, "events").select("event_id", tx.redact(_of(lines, key)).alias("line"), tx.variant_key(tx.redact_fields(fields)).alias("fields"))
+    return dealt(spark, sf_dir, "events").select("event_id", tx.redact(_of(lines, key)).alias("line"), tx.variant_key(tx.redact_fields(fields)).alias("fields"))
 
 
 @query("""SELECT page_id, trim(replace(replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '-', ' '), '_', ' ')) AS last, 'Wide Slug ' || page_id AS hint, 'https://shop.example/a/b?q=' || page_id || '&z=1+2' AS canonical, sha256('store|https://shop.example/a/b?q=' || page_id || '&z=1+2|' || page_id || '|') AS request FROM pages""")
@@ -212,7 +212,7 @@ def specification_gaps(spark, sf_dir):
     stated = F.when(key % 3 == 2, "used")
     told = tt.condition(tx.fold(title), stated)
     own = F.map_filter(F.create_map(F.lit("cond"), told["code"], F.lit("grade"), told["grade"], F.lit("carrier"), reading.read(tx.fold(title))["carrier"]), lambda k, v: v.isNotNull())
-    return t(spark, sf_dir, "part").select("p_partkey", tx.variant_key(filled).alias("filled"), tx.variant_key(own).alias("enriched"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", tx.variant_key(filled).alias("filled"), tx.variant_key(own).alias("enriched"))
 
 
 @query("""SELECT p_partkey, 'Blue ' || p_size || ' GB' AS shown FROM part""")
@@ -220,7 +220,7 @@ def variant_formatting(spark, sf_dir):
     from ..functions import titles as tt
 
     attributes = F.create_map(F.lit("storage"), _concat(F.col("p_size").cast("string"), "gb"), F.lit("color"), F.lit("blue"))
-    return t(spark, sf_dir, "part").select("p_partkey", tt.public_variant(attributes).alias("shown"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", tt.public_variant(attributes).alias("shown"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'auto_match' ELSE 'review' END AS decision, CAST(CASE WHEN event_id % 4 = 3 THEN 0.9 ELSE 0.8 END AS DECIMAL(5,4)) AS confidence FROM events""")
