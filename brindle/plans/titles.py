@@ -66,7 +66,7 @@ _N = len(KNOWN)
 def listings(spark, sf_dir):
     """A known product's title for each part, in three ways of writing: as it is, in capitals, with wide spaces."""
     known = F.broadcast(spark.createDataFrame([(i, k[0]) for i, k in enumerate(KNOWN)], "v int, title string"))
-    p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % _N).cast("int").alias("v"), (F.floor(F.col("p_partkey") / _N) % 3).alias("way"))
+    p = dealt(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % _N).cast("int").alias("v"), (F.floor(F.col("p_partkey") / _N) % 3).alias("way"))
     way = F.when(F.col("way") == 1, F.upper("title")).when(F.col("way") == 2, F.concat(F.lit(" "), F.replace("title", F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise(F.col("title"))
     return p.join(known, "v").select("p_partkey", F.regexp_replace(way, "  +", F.lit(" ")).alias("title"))
 
@@ -88,7 +88,7 @@ _LOCK = (("Fully Unlocked", "unlocked", None), ("bloqueado", "locked", None), ("
 def offer_conditions(spark, sf_dir):
     """Condition, its grade, network lock and carrier."""
     pick = lambda table, n: F.element_at(F.array(*(F.lit(x[0]) for x in table)), (F.col("p_partkey") % n + 1).cast("int"))
-    d = t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lit("Telefone"), pick(_CONDITION, 7), F.lit("128GB"), pick(_LOCK, 5)).alias("title"))
+    d = dealt(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lit("Telefone"), pick(_CONDITION, 7), F.lit("128GB"), pick(_LOCK, 5)).alias("title"))
     d, folded = d.withColumn("t", tx.fold(F.col("title"))).withColumn("said", reading.read(F.col("t"))), F.col("t")
     return d.select("p_partkey", tt.condition(folded)["code"].alias("code"), tt.condition(folded)["grade"].alias("grade"), "said.lock", "said.carrier")
 
@@ -217,7 +217,7 @@ _EQUALS = (("color", "Preto", "black", True, False), ("color", "Titânio", "Tita
 @query(f"""SELECT p_partkey, equal = 'y' AS equal, uncertain = 'y' AS uncertain FROM part JOIN (VALUES {sql_values([(i, "y" if e[3] else "n", "y" if e[4] else "n") for i, e in enumerate(_EQUALS)])}) v(v, equal, uncertain) ON v.v = p_partkey % {len(_EQUALS)}""")
 def variant_comparison(spark, sf_dir):
     known = F.broadcast(spark.createDataFrame([(i, *e[:3]) for i, e in enumerate(_EQUALS)], "v int, k string, a string, b string"))
-    d = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_EQUALS)).cast("int").alias("v")).join(known, "v")
+    d = dealt(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_EQUALS)).cast("int").alias("v")).join(known, "v")
     d = d.withColumns({c: tt.variant_value(F.col("k"), F.col(c)) for c in ("a", "b")})
     args = (F.col("k"), F.col("a"), F.col("b"))
     return d.select("p_partkey", tt.canonical_equal(*args).alias("equal"), tt.canonical_uncertain(*args).alias("uncertain"))
@@ -230,7 +230,7 @@ _NORMAL = (("Placa de Vídeo RTX 5070 12 GB OFERTA", "rtx 5070 12gb"), ("Fone se
 def normalized_titles(spark, sf_dir):
     title = F.element_at(F.array(*(F.lit(n[0]) for n in _NORMAL)), (F.col("p_partkey") % len(_NORMAL) + 1).cast("int"))
     normal = tt.normalize_title(tx.fold(title))
-    return t(spark, sf_dir, "part").select("p_partkey", normal.alias("normal"), tt.strip_condition(normal).alias("stripped"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", normal.alias("normal"), tt.strip_condition(normal).alias("stripped"))
 
 
 _CODES = (("ideapadslim3everydaylaptop", "ideapadslim3", False, False), ("abcdefnotebook", "abcdef", False, False), ("abcnotebook", "abcnotebook", False, False), ("mzv9p2t0bw", "mzv9p2t0bw", True, True), ("rtx5070intelcorelaptop", "rtx5070", False, True), ("a1b2c3d4e5", "a1b2c3d4e5", True, True), ("iphone16promax", "iphone16promax", False, True), ("short1", "short1", False, True))
@@ -239,7 +239,7 @@ _CODES = (("ideapadslim3everydaylaptop", "ideapadslim3", False, False), ("abcdef
 @query(f"""SELECT p_partkey, compact, part_number = 'y' AS part_number, identifier = 'y' AS identifier FROM part JOIN (VALUES {sql_values([(i, c[1], "y" if c[2] else "n", "y") for i, c in enumerate(_CODES)])}) v(v, compact, part_number, identifier) ON v.v = p_partkey % {len(_CODES)}""")
 def model_codes(spark, sf_dir):
     code = F.element_at(F.array(*(F.lit(c[0]) for c in _CODES)), (F.col("p_partkey") % len(_CODES) + 1).cast("int"))
-    return t(spark, sf_dir, "part").select("p_partkey", tt.compact_code(code).alias("compact"), tt.looks_like_part_number(code).alias("part_number"), tt.identifier_only(code).alias("identifier"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", tt.compact_code(code).alias("compact"), tt.looks_like_part_number(code).alias("part_number"), tt.identifier_only(code).alias("identifier"))
 
 
 @query("""SELECT p_partkey, 'acme' || (p_partkey % 9) || ' mzv' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS second, 'acme' || (p_partkey % 9) || ' 990 pro 1tb black' AS third, 5 AS n FROM part""")
@@ -256,7 +256,7 @@ def search_ladder(spark, sf_dir):
 def embedding_texts(spark, sf_dir):
     variants = F.create_map(F.lit("storage"), F.concat(F.col("p_size").cast("string"), F.lit("gb")), F.lit("color"), F.lit(" black "))
     e = tt.embedding_texts(F.concat("p_name", F.lit(" renewed ")), F.lit("ssd"), F.col("p_brand"), F.lit(None).cast("string"), variants)
-    return t(spark, sf_dir, "part").select("p_partkey", e["structured"].alias("structured"), e["hybrid"].alias("hybrid"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", e["structured"].alias("structured"), e["hybrid"].alias("hybrid"))
 
 
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY CASE p_partkey % 5 WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 4 THEN 2 ELSE 3 END, CASE WHEN p_partkey % 5 = 2 THEN 0 ELSE 1 END, p_partkey) AS position FROM part""")
@@ -265,7 +265,7 @@ def relevance_rank(spark, sf_dir):
     titles = ("other thing", "ssd samsung 256gb black", "some long other title that has nothing in common", "samsung mzv9p2t0bw", "samsung ssd")
     title = F.element_at(F.array(*map(F.lit, titles)), (F.col("p_partkey") % 5 + 1).cast("int"))
     query_ = F.when(F.col("p_partkey") % 5 == 3, "MZ-V9P2T0BW").otherwise("samsung ssd 256GB black")
-    d = t(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 5).alias("search"), matching.relevance(query_, title, F.lit("/p/1")).alias("score"))
+    d = dealt(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 5).alias("search"), matching.relevance(query_, title, F.lit("/p/1")).alias("score"))
     return matching.ranked(d, "search", F.col("score"), "p_partkey").select("p_partkey", F.col("position").cast("long").alias("position"))
 
 
@@ -274,7 +274,7 @@ def identity_alignment(spark, sf_dir):
     """How much a title names of the wanted colour and storage."""
     titles = ("iphone preto 256gb", "iphone black", "iphone 256gb", "iphone branco")
     title = F.element_at(F.array(*map(F.lit, titles)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t(spark, sf_dir, "part").select("p_partkey", matching.alignment(F.lit("Black"), F.lit("256 GB"), title).alias("hits"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", matching.alignment(F.lit("Black"), F.lit("256 GB"), title).alias("hits"))
 
 
 _PREFILTER = ((None, None), ("", None), ("Capa iPhone 15", "accessory_reject"), ("iPhone 15 bundle", "bundle_reject"), ("iPhone 15 usado", "condition_mismatch"), ("iPhone 14 Apple", "phone"), ("Samsung iPhone 15", "brand_mismatch"), ("iPhone 15 Apple 128GB", None))
@@ -284,7 +284,7 @@ _PREFILTER = ((None, None), ("", None), ("Capa iPhone 15", "accessory_reject"),
 def title_prefilter(spark, sf_dir):
     """Why a listing needn't be looked at by its title alone."""
     known = F.broadcast(spark.createDataFrame([(i, p[0]) for i, p in enumerate(_PREFILTER)], "v int, title string"))
-    d = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_PREFILTER)).cast("int").alias("v")).join(known, "v")
+    d = dealt(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_PREFILTER)).cast("int").alias("v")).join(known, "v")
     other = matching.identity(d, "title").select("p_partkey", F.struct(*matching.IDENTITY).alias("b"))
     mine = matching.identity(d.select("p_partkey", F.lit("Apple iPhone 15").alias("title")), "title").select("p_partkey", F.struct(*matching.IDENTITY).alias("a"))
     return mine.join(other, "p_partkey").select("p_partkey", matching.prefilter(F.col("a"), F.col("b")).alias("reason"))
