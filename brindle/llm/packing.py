@@ -27,8 +27,9 @@ from .common import KEPT, arrow_rows, checkpointed, give_back, pieces_of, unused
 #: Pieces that one partition packs, and partitions that meet in one at the next round.
 GROUP_PIECES = 32768
 FAN_IN = 8
-#: Words whose ids a worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+#: Words after which a worker starts a new table of ids. The table before is kept until then, and words that
+#: are met again move on from it, so that frequent words stay and those met once go.
+CACHE_WORDS = 60_000
 
 #: A run of these after letters is encoded apart from them. The apostrophe isn't one: it may start a suffix.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -36,6 +37,8 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 KEPT.append(_ENCODERS)
 #: Texts that come to a worker at a time, and wait for it in the JVM.
 BATCH_TEXTS = 1024
+#: Texts that are split into words at a time.
+SLICE_TEXTS = 128
 
 
 class WordEncoder:
@@ -57,6 +60,7 @@ class WordEncoder:
         for token, at in vocabulary.items():
             self.ends[at] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.marks: dict[bytes, bytes] = {}
 
     def _one(self, text: str) -> bytes:
@@ -106,9 +110,13 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         split = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         new = set().union(*split).difference(known) if split else set()
+        if new and before:
+            met = new.intersection(before)
+            known.update((w, before[w]) for w in met)
+            new -= met
         if new:
             self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
@@ -139,7 +147,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 409
 
     def run(batches):
         enc = own_encoder(tokenizer_path)
-        for b in pieces_of(batches):
+        for b in pieces_of(batches, SLICE_TEXTS):
             data = enc.encode(b.column(1).to_pylist())
             out = [[], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), data, strict=True):
