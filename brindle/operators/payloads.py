@@ -127,12 +127,15 @@ def snapshot(offer: dict[str, Column], metadata: Column, condition: Column, grad
     if unknown:
         raise ValueError(f"no fields of a snapshot: {sorted(unknown)}")
     text = lambda k: offer[k].cast("string") if k in AMOUNTS else offer[k]
-    base = variant_of({k: text(k) if k in offer else F.lit(None).cast("string") for k in SNAPSHOT})
     known = F.coalesce(condition != "unknown", F.lit(False))
-    told = F.create_map(F.lit("condition"), F.when(known, condition), F.lit("condition_grade"), F.when(known, F.nullif(grade, F.lit(""))), F.lit("carrier"), F.nullif(carrier, F.lit("")))
-    extra = F.map_filter(told, lambda k, x: x.isNotNull())
-    meta = F.to_variant_object(F.create_map(F.lit("metadata"), F.coalesce(metadata, F.parse_json(F.lit("{}")))))
-    return merged(merged(base, meta), F.to_variant_object(F.transform_values(extra, lambda k, x: x.cast("variant"))))
+    told = {"condition": F.when(known, condition), "condition_grade": F.when(known, F.nullif(grade, F.lit(""))), "carrier": F.nullif(carrier, F.lit(""))}
+    # the names are all different, so entries are put together once; merging objects would take them apart again and again
+    entry = lambda k, x: F.array(F.struct(F.lit(k).alias("key"), x.cast("variant").alias("value")))
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    base = [entry(k, text(k) if k in offer else F.lit(None).cast("string")) for k in SNAPSHOT]
+    meta = entry("metadata", F.coalesce(metadata, F.parse_json(F.lit("{}"))))
+    extra = [F.when(x.isNotNull(), entry(k, x)).otherwise(none) for k, x in told.items()]
+    return F.to_variant_object(F.map_from_entries(F.concat(*base, meta, *extra)))
 
 
 def snapshot_view(payload: Column) -> Column:

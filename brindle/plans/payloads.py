@@ -59,6 +59,6 @@ def offer_snapshots(spark, sf_dir):
     metadata = pl.merged(F.parse_json(F.lit('{"kind":"x","size":2}')), pl.variant_of({"part": F.col("l_partkey"), "kind": F.lit(None).cast("string")}))
     renewed = F.col("l_returnflag") == "R"
     made = pl.snapshot(offer, metadata, F.when(renewed, "renewed").otherwise("unknown"), F.when(F.col("l_linenumber") % 2 == 0, "premium"), F.lit(None).cast("string"))
-    d = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("s"))
-    view = d.select("l_orderkey", "l_linenumber", F.to_json("s").alias("snapshot"), pl.snapshot_view(F.col("s")).alias("v"))
-    return view.select("l_orderkey", "l_linenumber", "snapshot", F.col("v.price").alias("price"), F.col("v.seller").alias("seller"), F.unix_timestamp("v.scraped_at").alias("seen"))
+    d = dealt(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("s"))
+    v = pl.snapshot_view(F.col("s"))
+    return d.select("l_orderkey", "l_linenumber", F.to_json("s").alias("snapshot"), v["price"].alias("price"), v["seller"].alias("seller"), F.unix_timestamp(v["scraped_at"]).alias("seen"))
