@@ -43,7 +43,11 @@ def parse_local_decimal(value: Column) -> Column:
 
 def json_amount(payload: Column, key: str) -> Column:
     """A plain positive number of a JSON field, at four decimals; signs, exponents and blanks give null."""
-    text = F.get_json_object(payload, f"$.{key}")
+    return plain_amount(F.get_json_object(payload, f"$.{key}"))
+
+
+def plain_amount(text: Column) -> Column:
+    """A plain positive number as text, at four decimals; signs, exponents and blanks give null."""
     amount = F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), text.try_cast("decimal(18,4)"))
     return F.when(amount > 0, amount)
 

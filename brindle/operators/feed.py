@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import aware_time, json_amount
+from ..functions.values import aware_time, json_amount, plain_amount
 
 #: Types that a feed shows; any other is told as "other".
 TYPES = ("product_added", "new_offer", "price_changed", "availability_changed", "offer_removed", "out_of_stock", "promotion_activated", "promotion_expired", "promotion_updated", "seller_changed", "gtin_learned", "scrape_failed", "unchanged")
@@ -31,14 +31,32 @@ def commercial_price(payload: Column) -> Column:
     return F.coalesce(*(json_amount(payload, k) for k in ("pix_price", "price", "original_price")))
 
 
-def told_price(payload: Column, promotional: Column) -> Column:
-    """A struct of amount and kind: in a promotion its price from three places, else the commercial price."""
-    promo = F.coalesce(text(payload, "promotion_payload"), text(payload, "metadata", "promotion"))
-    amounts = [(F.when(promotional, F.coalesce(json_amount(payload, "promotion_price"), json_amount(promo, "promotion_price"), json_amount(promo, "price"))), "promotion"), (json_amount(payload, "pix_price"), "pix"), (json_amount(payload, "price"), "regular"), (json_amount(payload, "original_price"), "regular")]
-    kind = F.lit(None).cast("string")
-    for amount, name in reversed(amounts):
-        kind = F.when(amount.isNotNull(), name).otherwise(kind)
-    return F.struct(F.coalesce(*(a for a, _ in amounts)).alias("amount"), kind.alias("kind"))
+#: Fields of a payload that a price is told from, and the places of a promotion.
+PRICES = ("pix_price", "price", "original_price")
+PROMO = (("promotion_payload",), ("metadata", "promotion"))
+
+
+def with_told_prices(d: DataFrame, sides: dict[str, Column], promotional: Column) -> DataFrame:
+    """Columns `_<side>_amount` and `_<side>_kind` of the payloads (JSON): in a promotion its price from three places, else the
+    commercial price. Each field is read once a row: texts, amounts and choices are columns of projections that follow
+    each other, not structs, which the optimizer would work out anew at every use."""
+    sure = F.coalesce(promotional, F.lit(False))
+    d = d.withColumns({f"_{n}_promo": F.when(sure, F.coalesce(*(text(p, *path) for path in PROMO))) for n, p in sides.items()})
+    texts = {f"_{n}_{k}_text": text(p, k) for n, p in sides.items() for k in PRICES}
+    for n, p in sides.items():
+        promo = F.col(f"_{n}_promo")
+        texts |= {f"_{n}_promo0_text": F.when(sure, text(p, "promotion_price")), f"_{n}_promo1_text": F.when(sure, text(promo, "promotion_price")), f"_{n}_promo2_text": F.when(sure, text(promo, "price"))}
+    d = d.withColumns(texts)
+    order = {"promo0": "promotion", "promo1": "promotion", "promo2": "promotion", "pix_price": "pix", "price": "regular", "original_price": "regular"}
+    plain = {f"_{n}_{k}": plain_amount(F.col(f"_{n}_{k}_text")) for n in sides for k in order}
+    d = d.withColumns(plain)
+    out = {}
+    for n in sides:
+        kind = F.lit(None).cast("string")
+        for k, name in reversed(order.items()):
+            kind = F.when(F.col(f"_{n}_{k}").isNotNull(), name).otherwise(kind)
+        out |= {f"_{n}_amount": F.coalesce(*(F.col(f"_{n}_{k}") for k in order)), f"_{n}_kind": kind}
+    return d.withColumns(out)
 
 
 def over(first: Column, second: Column, use: Column) -> Column:
@@ -56,20 +74,23 @@ def project(events: DataFrame) -> DataFrame:
     promotional = F.coalesce(kind.startswith("promotion_"), F.lit(False))
     created, ended = kind.isin("offer_created", "new_offer"), kind == "promotion_expired"
     d = events.withColumn("_after", over(F.col("snapshot"), F.col("after"), F.coalesce(created | (promotional & ~ended), F.lit(False)))).withColumn("_before", over(F.col("snapshot"), F.col("before"), F.coalesce(ended, F.lit(False))))
-    d = d.withColumn("_old", told_price(F.col("_before"), promotional)).withColumn("_new", told_price(F.col("_after"), promotional))
-    # where the instant-payment price stayed, the regular one is what changed
-    old, new = json_amount(F.col("before"), "price"), json_amount(F.col("after"), "price")
-    regular = F.coalesce((kind == "price_changed") & F.col("_old.amount").eqNullSafe(F.col("_new.amount")) & (old != new), F.lit(False))
-    as_regular = lambda amount: F.struct(amount.alias("amount"), F.lit("regular").alias("kind"))
-    d = d.withColumns({"_old": F.when(regular, as_regular(old)).otherwise(F.col("_old")), "_new": F.when(regular, as_regular(new)).otherwise(F.col("_new"))})
+    d = with_told_prices(d, {"old": F.col("_before"), "new": F.col("_after")}, promotional)
+    # where the instant-payment price stayed, the regular one is what changed; a price change is never filled up, so its price is its own
+    changed = F.coalesce(kind == "price_changed", F.lit(False))
+    regular = changed & F.coalesce(F.col("_old_amount").eqNullSafe(F.col("_new_amount")) & (F.col("_old_price") != F.col("_new_price")), F.lit(False))
+    told = {f"_{n}_amount": F.when(regular, F.col(f"_{n}_price")).otherwise(F.col(f"_{n}_amount")) for n in ("old", "new")}
+    d = d.withColumns(told | {f"_{n}_kind": F.when(regular, "regular").otherwise(F.col(f"_{n}_kind")) for n in ("old", "new")})
     from_snapshot = F.when(promotional, currency(F.col("snapshot")))
     old_currency, new_currency = F.coalesce(currency(F.col("_before")), from_snapshot), F.coalesce(currency(F.col("_after")), from_snapshot)
+    d = d.withColumns({"_old_currency": old_currency, "_new_currency": new_currency})
+    old_currency, new_currency = F.col("_old_currency"), F.col("_new_currency")
     gone = F.coalesce(kind.isin("offer_removed", "out_of_stock", "promotion_expired"), F.lit(False))
     d = d.withColumn("old_currency", old_currency).withColumn("currency", F.when(gone, F.coalesce(new_currency, old_currency)).otherwise(new_currency))
-    d = d.withColumn("old_price", F.col("_old.amount")).withColumn("new_price", F.when(~gone, F.col("_new.amount"))).withColumn("old_price_kind", F.col("_old.kind")).withColumn("new_price_kind", F.when(~gone, F.col("_new.kind")))
+    d = d.withColumn("old_price", F.col("_old_amount")).withColumn("new_price", F.when(~gone, F.col("_new_amount"))).withColumn("old_price_kind", F.col("_old_kind")).withColumn("new_price_kind", F.when(~gone, F.col("_new_kind")))
     comparable = (kind == "price_changed") & (F.col("old_currency") == F.col("currency"))
     step = F.when(F.col("new_price") < F.col("old_price"), "decreased").when(F.col("new_price") > F.col("old_price"), "increased").when(F.col("new_price") == F.col("old_price"), "unchanged")
-    end = aware_time(F.coalesce(text(F.col("_after"), "promotion_expires_at"), text(text(F.col("_after"), "promotion_payload"), "expires_at")))
+    d = d.withColumn("_ends", F.coalesce(text(F.col("_after"), "promotion_expires_at"), text(text(F.col("_after"), "promotion_payload"), "expires_at")))
+    end = aware_time(F.col("_ends"))
     return d.select(
         *events.columns,
         shown_type(kind).alias("shown_type"),

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import feed as fd
 from ..operators import tables
-from .registry import query, t
+from .registry import dealt, query, t
 
 _P1, _P2 = "(100 + event_id % 50)", "(100 + event_id % 47)"
 
 
 def made_events(spark, sf_dir):
     """Six kinds of events in turn, with payloads as stores write them: sparse, with nulls, promotions and both prices."""
-    e = t(spark, sf_dir, "events").select("event_id")
+    e = dealt(spark, sf_dir, "events").select("event_id")
     n = F.col("event_id")
     p1, p2 = (F.lit(100) + n % 50).cast("string"), (F.lit(100) + n % 47).cast("string")
     pix = F.when(n % 2 == 0, ',"pix_price":90').otherwise("")
