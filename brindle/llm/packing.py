@@ -12,6 +12,7 @@ against the bound of all lengths.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -19,17 +20,18 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, arrow_rows, checkpointed, give_back, pieces_of, unused, utf8
+from .common import KEPT, arrow_rows, checkpointed, give_back, unused, utf8
 
 #: Pieces that one partition packs, and partitions that meet in one at the next round.
 GROUP_PIECES = 32768
 FAN_IN = 8
 #: Words after which a worker starts a new table of ids. The table before is kept until then, and words that
 #: are met again move on from it, so that frequent words stay and those met once go.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 80_000
 
 #: A run of these after letters is encoded apart from them. The apostrophe isn't one: it may start a suffix.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -37,28 +39,46 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 KEPT.append(_ENCODERS)
 #: Texts that come to a worker at a time, and wait for it in the JVM.
 BATCH_TEXTS = 1024
-#: Texts that are split into words at a time.
-SLICE_TEXTS = 128
+#: Bytes of text that are split into words at a time; one text may be longer.
+SLICE_BYTES = 1 << 20
+#: Letters that are letters, composed, with the same single small letter, in every version of Unicode since the
+#: fifth: those of Latin-1 and Extended-A but for U+0130.
+_SETTLED = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+
+
+def _objects(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each."""
+    large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    return texts.view(pa.large_binary() if large else pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class WordEncoder:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and never joins letters across it, so a text's ids are
-    those of its words in a row. Each distinct word is encoded once while it stays in the
-    table. Words of letters only are encoded many at a time: each gives exactly one token
-    that ends a word, the last.
+    those of its words in a row. Arrow splits a slice of texts and tells its distinct words,
+    each is looked up once a slice, and encoded once while it stays in the table. A word of
+    settled letters is one unit to the tokenizer, so its model gets it at once, without the
+    steps before. Words of other letters are encoded many at a time: each gives exactly one
+    token that ends a word, the last.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, at in vocabulary.items():
             self.ends[at] = token.endswith("</w>")
+        self.packed = [struct.pack("<I", i) for i in range(len(self.ends))]
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = re.findall(f"[{_SETTLED}]", "".join(map(chr, range(0x180))))
+        self.settled = "".join(letters)
+        #: What the tokenizer writes for the bytes of a settled letter.
+        self.letters = {ord(c): to_bytes.pre_tokenize_str(c)[0][0] for c in letters if not c.isascii()}
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.marks: dict[bytes, bytes] = {}
@@ -67,6 +87,11 @@ class WordEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _unit(self, key: bytes) -> bytes:
+        packed = self.packed
+        text = key.decode() if key.isascii() else key.decode().translate(self.letters)
+        return b"".join([packed[t.id] for t in self.model.tokenize(text)])
+
     def _mark(self, run: bytes) -> bytes:
         if run not in self.marks:
             if len(self.marks) > 10_000:
@@ -74,20 +99,38 @@ class WordEncoder:
             self.marks[run] = self._one(run.decode())
         return self.marks[run]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of settled letters, and marks behind them; others go to `_learn_others`."""
+        known, before = self.known, self.before
+        raw = pa.array(words, pa.large_binary())
+        text = raw.view(pa.large_string())
+        stem = pc.ascii_rtrim(text, characters=_MARKS.decode())
+        settled = pc.match_substring_regex(stem, f"^[{_SETTLED}]+$")
+        if not pc.all(settled).as_py():
+            self._learn_others(_objects(raw.filter(pc.invert(settled))))
+            raw, text, stem = raw.filter(settled), text.filter(settled), stem.filter(settled)
+        keys = pc.utf8_lower(stem).dictionary_encode()
+        rests = pc.utf8_ltrim(text, characters=self.settled).dictionary_encode()
+        ids = []
+        for key in _objects(keys.dictionary):
+            found = known.get(key) or before.get(key) or self._unit(key)
+            known[key] = found
+            ids.append(found)
+        marks = [self._mark(m) if m else b"" for m in _objects(rests.dictionary)]
+        for word, key, mark in zip(_objects(raw), keys.indices.to_numpy().tolist(), rests.indices.to_numpy().tolist(), strict=True):
+            known[word] = ids[key] + marks[mark] if marks[mark] else ids[key]
+
+    def _learn_others(self, words: list[bytes]) -> None:
         known, plain, later = self.known, {}, []
         for raw in words:
             stem = raw.rstrip(_MARKS)
             rest = raw[len(stem) :]
-            if stem.isalpha():
-                key = stem.lower()
-            else:
-                word = stem.decode()
-                key = word.lower() if word.isalpha() and "\u03a3" not in word and unicodedata.is_normalized("NFC", word) else ""
-                if not key.isalpha() or not unicodedata.is_normalized("NFC", key):
-                    known[raw] = self._one(raw.decode())
-                    continue
-                key = key.encode()
+            word = stem.decode()
+            key = word.lower() if word.isalpha() and "\u03a3" not in word and unicodedata.is_normalized("NFC", word) else ""
+            if not key.isalpha() or not unicodedata.is_normalized("NFC", key):
+                known[raw] = self._one(raw.decode())
+                continue
+            key = key.encode()
             if key not in known:
                 plain[key] = None
             if key != raw:
@@ -106,20 +149,37 @@ class WordEncoder:
         for raw, key, rest in later:
             known[raw] = known[key] + self._mark(rest) if rest else known[key]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = set().union(*split).difference(known) if split else set()
-        if new and before:
-            met = new.intersection(before)
-            known.update((w, before[w]) for w in met)
-            new -= met
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            ids = before.get(words[i])
+            if ids is None:
+                new.append(words[i])
+            else:
+                known[words[i]] = ids
         if new:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for i in missing:
+            found[i] = known[words[i]]
+        return found
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        split = pc.ascii_split_whitespace(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()))
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._look_up(_objects(words.dictionary)), pa.large_binary()).take(words.indices)
+        if ids.nbytes <= 8 * (len(ids) + 1):  # offsets only
+            return [b""] * len(texts)
+        ends = np.frombuffer(ids.buffers()[1], "<i8")[np.asarray(split.offsets)].tolist()
+        data = memoryview(ids.buffers()[2])
+        return [bytes(data[start:end]) for start, end in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -134,6 +194,13 @@ def own_encoder(path: str) -> WordEncoder:
     return encoder(path)
 
 
+def _slices(batch: pa.RecordBatch):
+    """Rows of the batch in a row whose texts, the second column, take SLICE_BYTES together, one text's excess aside."""
+    part = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, payload: str = "ids") -> DataFrame:
     """The documents' token ids, cut into pieces of at most `capacity`.
 
@@ -147,8 +214,8 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 409
 
     def run(batches):
         enc = own_encoder(tokenizer_path)
-        for b in pieces_of(batches, SLICE_TEXTS):
-            data = enc.encode(b.column(1).to_pylist())
+        for b in (s for batch in batches for s in _slices(batch)):
+            data = enc.encode(b.column(1))
             out = [[], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), data, strict=True):
                 ids += end

@@ -103,3 +103,33 @@ def test_feed_reads_each_field_once(spark):
     assert d._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") <= 40
     assert d.rdd.getNumPartitions() > 4
     _as_its_sql(spark, "feed_projection", "events")
+
+
+def test_settled_words_go_to_the_model_at_once(monkeypatch):
+    """op1_best_fit_packing: words of settled letters take none of the tokenizer's steps before its model, a distinct word
+    of a slice is looked up once, and the ids are those of the whole tokenizer."""
+    enc, whole = packing.WordEncoder(queries.tokenizer_path()), packing.WordEncoder(queries.tokenizer_path())
+    letters = [chr(c) for c in range(0x180) if chr(c).isalpha()]
+    texts = ["".join(letters), " ".join(letters), " ".join(f"Wor{c}d{c.upper()}s" for c in letters), "", " ", " \t\n", "\ufb01 \u4e2d\u6587, \u0416\u0443\u043a! e\u0301 J\u030c 7x"]
+    assert enc.encode([t.encode() for t in texts]) == [whole._one(t) for t in texts]
+    assert enc.encode([]) == [] and enc.encode([b"", b" "]) == [b"", b""]
+    assert enc.encode(pa.array([b"skipped", b"a B", b"c"], pa.large_binary()).slice(1)) == [whole._one("a B"), whole._one("c")]
+    looked = []
+    look_up = enc._look_up
+    monkeypatch.setattr(enc, "_look_up", lambda words: (looked.extend(words), look_up(words))[1])
+    monkeypatch.setattr(enc, "tokenizer", None)
+    texts = [" ".join(["Größe größe ÉTÉ été unheard"] * 50), "the same unheard größe"]
+    assert enc.encode([t.encode() for t in texts]) == [whole._one(t) for t in texts]
+    assert len(looked) == len(set(looked)) == 7
+
+
+def test_slices_are_bounded_by_bytes():
+    """op1_best_fit_packing: long texts are split few at a time, short ones many, and every row comes once."""
+    sizes = [10, 0, packing.SLICE_BYTES * 3, 5, packing.SLICE_BYTES - 20, 30, 0, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([b"x" * n for n in sizes], pa.binary())], ["doc_id", "text"])
+    slices = list(packing._slices(batch))
+    assert [i for s in slices for i in s.column(0).to_pylist()] == list(range(len(sizes)))
+    for s in slices:
+        n = [len(t) for t in s.column(1).to_pylist()]
+        assert sum(n) - max(n) < packing.SLICE_BYTES
+    assert not list(packing._slices(batch.slice(0, 0)))
